@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -139,31 +140,42 @@ def continuous_periods(df: DataFrame, keys: list[str], width: int = HOUR_US) ->
     return emitted(merged_lists(partial_lists(usable(df).select(*keys, "start_us", "end_us"), keys, width), keys), keys)
 
 
-def uncovered(scope: DataFrame, cover: DataFrame, keys: list[str], width: int = HOUR_US) -> DataFrame:
-    """Complement of *cover* within *scope*, per key: longest stretches in scope and in no cover.
+def sweep(sets: dict[str, DataFrame], keys: list[str], width: int = HOUR_US) -> DataFrame:
+    """Atomic cells of several interval sets: keys, start_us, end_us and how many of each set hold there.
 
-    Both are periods as :func:`continuous_periods` gives them, so an event changes either state by
-    one. Running sums in time order, by block with carried sums, say where scope holds and cover does
-    not; such a place lasts to the next event, in this block or the next that has one.
+    One column a set, named as it. Running sums of what begins and ends, in time order, by block with
+    carried sums; a cell lasts to the next event, in this block or the next that has one. No interval
+    is compared with another, so there is no range join, and a hot key is spread over its blocks.
     """
-    def events(df: DataFrame, scope_step: int, cover_step: int) -> DataFrame:
-        both = F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")))
-        return df.select(*keys, F.explode(both).alias("e")).select(*keys, F.col("e.t").alias("t"), (F.col("e.d") * scope_step).alias("u"), (F.col("e.d") * cover_step).alias("c"))
-
-    both, ks = null_safe_keys(events(scope, 1, 0).unionByName(events(cover, 0, 1)), keys)
-    at = both.groupBy(*keys, *ks, "t").agg(F.sum("u").alias("u"), F.sum("c").alias("c")).withColumn(BLOCK, block_of(F.col("t"), width))
+    names = list(sets)
+    parts = []
+    for name, df in sets.items():
+        both = F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d"))))
+        parts.append(df.select(*keys, both.alias("_e")).select(*keys, F.col("_e.t").alias("t"), *[(F.col("_e.d") if n == name else F.lit(0)).alias(f"_d{k}") for k, n in enumerate(names)]))
+    events, ks = null_safe_keys(reduce(DataFrame.unionByName, parts), keys)
+    steps = [f"_d{k}" for k in range(len(names))]
+    at = events.groupBy(*keys, *ks, "t").agg(*[F.sum(c).alias(c) for c in steps]).withColumn(BLOCK, block_of(F.col("t"), width))
     w = inside(ks, "t")
-    local = at.withColumn("_u", F.sum("u").over(upto(w))).withColumn("_c", F.sum("c").over(upto(w))).withColumn("_next", F.lead("t").over(w))
-    blocks = at.groupBy(*ks, BLOCK).agg(F.sum("u").alias("_bu"), F.sum("c").alias("_bc"), F.min("t").alias("_bt"))
+    local = at.select("*", F.lead("t").over(w).alias("_next"), *[F.sum(c).over(upto(w)).alias(f"_s{c}") for c in steps])
+    blocks = at.groupBy(*ks, BLOCK).agg(F.min("t").alias("_bt"), *[F.sum(c).alias(f"_b{c}") for c in steps])
     a = across(ks)
-    carry = blocks.select(*ks, BLOCK, F.coalesce(F.sum("_bu").over(before(a)), F.lit(0)).alias("_iu"), F.coalesce(F.sum("_bc").over(before(a)), F.lit(0)).alias("_ic"), F.lead("_bt").over(a).alias("_after"))
+    carry = blocks.select(*ks, BLOCK, F.lead("_bt").over(a).alias("_after"), *[F.coalesce(F.sum(f"_b{c}").over(before(a)), F.lit(0)).alias(f"_i{c}") for c in steps])
     return (
         local.join(carry, [*ks, BLOCK])
-        .where("_u + _iu > 0 AND _c + _ic = 0")
-        .select(*keys, F.col("t").alias("start_us"), F.coalesce("_next", "_after").alias("end_us"))
+        .select(*keys, F.col("t").alias("start_us"), F.coalesce("_next", "_after").alias("end_us"), *[(F.col(f"_s{c}") + F.col(f"_i{c}")).alias(n) for n, c in zip(names, steps, strict=True)])
+        .where("end_us IS NOT NULL")
     )
 
 
+def uncovered(scope: DataFrame, cover: DataFrame, keys: list[str], width: int = HOUR_US) -> DataFrame:
+    """Complement of *cover* within *scope*, per key: longest stretches in scope and in no cover.
+
+    Both are periods as :func:`continuous_periods` gives them, so that neighbouring cells differ in
+    one of the two and each cell in scope and in no cover is a longest stretch.
+    """
+    return sweep({"_u": scope, "_c": cover}, keys, width).where("_u > 0 AND _c = 0").drop("_u", "_c")
+
+
 def periods_and_gaps(turns: DataFrame, scope: DataFrame, file: str = "file_id", channel: str = "channel", speaker: str = "speaker_id", width: int = HOUR_US) -> DataFrame:
     """Periods of every speaker and the stretches of each file and channel that no turn covers.
 
