@@ -30,7 +30,7 @@ def null_safe_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]
     return df.withColumn("_kn", mask), [*out, "_kn"]
 
 
-def block_of(axis: Column, width: int) -> Column:
+def block_of(axis: Column, width: float) -> Column:
     """Block number on an integer axis; floor, so that negative places have blocks too."""
     return F.coalesce(F.floor(axis / F.lit(width)).cast("bigint"), F.lit(-(1 << 62)))
 
@@ -50,3 +50,15 @@ def before(spec: WindowSpec) -> WindowSpec:
 
 def upto(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def counted_rank(df: DataFrame, keys: list[str], axis: str, order: list[Column], width: float, name: str = "rank") -> DataFrame:
+    """Adds *name*, the row number (from 1) within the keys in ascending *axis*, then *order*.
+
+    A group is numbered block by block of *axis* // *width*; what earlier blocks hold is carried.
+    """
+    df, ks = null_safe_keys(df.withColumn(BLOCK, block_of(F.col(axis), width)), keys)
+    blocks = df.groupBy(*ks, BLOCK).agg(F.count("*").alias("_n"))
+    carry = blocks.select(*ks, BLOCK, F.coalesce(F.sum("_n").over(before(across(ks))), F.lit(0)).alias("_c"), F.sum("_n").over(Window.partitionBy(*ks)).alias("_size"))
+    local = df.withColumn("_r", F.row_number().over(inside(ks, F.col(axis), *order)))
+    return local.join(carry, [*ks, BLOCK]).withColumn(name, F.col("_r") + F.col("_c")).drop(*ks, BLOCK, "_r", "_c")

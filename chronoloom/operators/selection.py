@@ -6,14 +6,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.blocked import counted_rank
 
-def evenly_ranked(rows: DataFrame, strata: list[str], order: list[str], take: int) -> DataFrame:
-    """Per stratum up to *take* rows whose ranks are spread evenly from first to last, halves to even."""
-    w = Window.partitionBy(*strata).orderBy(*order)
-    ranked = rows.withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*strata)))
-    n, k = F.col("_n"), F.least(F.col("_n"), F.lit(take))
-    at = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when(k > 1, F.bround(i * (n - 1) / (k - 1))).otherwise(F.lit(0.0)).cast("bigint"))
-    return ranked.where(F.array_contains(at, F.col("_r").cast("bigint"))).drop("_r", "_n")
+
+def evenly_ranked(rows: DataFrame, strata: list[str], axis: str, order: list[str], take: int, width: float) -> DataFrame:
+    """Per stratum up to *take* rows whose ranks on *axis* are spread evenly from first to last, halves to even."""
+    ranked = counted_rank(rows, strata, axis, [F.col(c) for c in order], width, "_rank")
+    n, k = F.col("_size"), F.least(F.col("_size"), F.lit(take))
+    at = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.when(k > 1, F.bround(i * (n - 1) / (k - 1))).otherwise(F.lit(0.0)).cast("bigint"))
+    return ranked.where(F.array_contains(at, F.col("_rank") - 1)).drop("_rank", "_size")
 
 
 def best_within(rows: DataFrame, keys: list[str], weight: str, gain: str, row: str, capacity_share: float) -> DataFrame:
@@ -46,12 +47,11 @@ def best_within(rows: DataFrame, keys: list[str], weight: str, gain: str, row: s
     return ready.groupBy(*keys).applyInPandas(solve, "id BIGINT, w BIGINT, g DOUBLE")
 
 
-def count_curve(rows: DataFrame, keys: list[str], gain: str, order: str, percents: list[int]) -> DataFrame:
+def count_curve(rows: DataFrame, keys: list[str], gain: str, order: str, percents: list[int], width: float) -> DataFrame:
     """Gain kept by the best *percent* of rows, per key and percent (rows rounded down)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(gain), order)
-    ranked = rows.withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    ranked = counted_rank(rows.withColumn("_loss", -F.col(gain)), keys, "_loss", [F.col(order)], width, "_rank")
     at = ranked.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
-    inside = F.col("_r") <= F.floor(F.col("_n") * F.col("percent") / 100)
+    inside = F.col("_rank") <= F.floor(F.col("_size") * F.col("percent") / 100)
     return at.groupBy(*keys, "percent").agg(F.count(F.when(inside, 1)).alias("n_taken"), F.sum(F.when(inside, F.col(gain)).otherwise(0)).alias("gain"), F.sum(gain).alias("total"))
 
 

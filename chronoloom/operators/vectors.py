@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, upto
 from chronoloom.session import cut, drop
 
 
@@ -118,26 +119,37 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, vector: str, row: st
     return listed.select("id", F.col("_l")[0]["label"].alias("label"), F.col("_l")[0]["d"].alias("distance"), F.round(F.get("_l", F.lit(1))["d"] - F.col("_l")[0]["d"], 6).alias("margin"))
 
 
-def conformal_labels(calibration: DataFrame, candidates: DataFrame, epsilon: float) -> DataFrame:
+def conformal_labels(calibration: DataFrame, candidates: DataFrame, epsilon: float, width: float) -> DataFrame:
     """p = (1 + calibration scores at or over the candidate's) / (n + 1) per class; eligible if p > epsilon.
 
     *calibration* (label, score), *candidates* (id, label, score). One eligible label is the answer;
-    none is OUT_OF_DISTRIBUTION, several AMBIGUOUS. Ranks are counted by a window over the union of
-    both, per class in blocks of the score's value, so no calibration score is compared pairwise.
+    none is OUT_OF_DISTRIBUTION, several AMBIGUOUS. Both are ranked together, per class in blocks of
+    *width* on the score, so no score is compared pairwise and no class meets in one task.
     """
     both = calibration.select("label", F.col("score").cast("double").alias("score"), F.lit(None).cast("bigint").alias("id"), F.lit(1).alias("c")).unionByName(candidates.select("label", F.col("score").cast("double").alias("score"), F.col("id").cast("bigint").alias("id"), F.lit(0).alias("c")))
-    w = Window.partitionBy("label").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-    counts = calibration.groupBy("label").agg(F.count("*").alias("n"))
-    p = both.withColumn("_ge", F.sum("c").over(w)).where("c = 0").join(counts, "label", "left").select("id", "label", F.round((1 + F.col("_ge")) / (F.coalesce("n", F.lit(0)) + 1), 9).alias("p"))
+    both = both.where("score IS NOT NULL AND label IS NOT NULL").withColumn(BLOCK, -block_of(F.col("score"), width))
+    blocks = both.groupBy("label", BLOCK).agg(F.sum("c").alias("_n"))
+    carry = blocks.select("label", BLOCK, F.coalesce(F.sum("_n").over(before(across(["label"]))), F.lit(0)).alias("_c"), F.sum("_n").over(Window.partitionBy("label")).alias("n"))
+    w = inside(["label"], F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
+    p = both.withColumn("_ge", F.sum("c").over(w)).where("c = 0").join(carry, ["label", BLOCK]).select("id", "label", F.round((1 + F.col("_ge") + F.col("_c")) / (F.col("n") + 1), 9).alias("p"))
     fits = F.collect_list(F.when(F.col("p") > epsilon, F.col("label")))
-    return p.groupBy("id").agg(fits.alias("_f"), F.max("p").alias("p")).select("id", F.when(F.size("_f") == 1, F.col("_f")[0]).when(F.size("_f") == 0, "OUT_OF_DISTRIBUTION").otherwise("AMBIGUOUS").alias("outcome"), "p")
+    return p.groupBy("id").agg(fits.alias("_f"), F.max("p").alias("p")).select("id", F.when(F.size("_f") == 1, F.get("_f", F.lit(0))).when(F.size("_f") == 0, "OUT_OF_DISTRIBUTION").otherwise("AMBIGUOUS").alias("outcome"), "p")
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds ``rank`` of *value* with ties averaged."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return rows.withColumn("rank", F.rank().over(w) + (ties - 1) / 2)
+def average_ranks(rows: DataFrame, keys: list[str], value: str, width: float, name: str = "rank") -> DataFrame:
+    """Adds *name*, the rank of *value* with ties averaged, counted over the distinct values by block."""
+    values = rows.groupBy(*keys, value).agg(F.count("*").alias("_n")).where(F.col(value).isNotNull()).withColumn(BLOCK, block_of(F.col(value), width))
+    blocks = values.groupBy(*keys, BLOCK).agg(F.sum("_n").alias("_b"))
+    carry = blocks.select(*keys, BLOCK, F.coalesce(F.sum("_b").over(before(across(keys))), F.lit(0)).alias("_c"))
+    local = values.withColumn("_upto", F.sum("_n").over(upto(inside(keys, value)))).join(carry, [*keys, BLOCK])
+    ranks = local.select(*keys, value, (F.col("_upto") + F.col("_c") - (F.col("_n") - 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, value])
+
+
+def spearman(rows: DataFrame, keys: list[str], a: str, b: str, width_a: float, width_b: float) -> DataFrame:
+    """Correlation of the averaged ranks of two columns per key."""
+    ranked = average_ranks(average_ranks(rows.select(*keys, a, b), keys, a, width_a, "_ra"), keys, b, width_b, "_rb")
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.corr("_ra", "_rb"), 6).alias("rho"))
 
 
 def two_clusters(rows: DataFrame, keys: list[str], vector: str, row: str, iterations: int = 30) -> DataFrame:

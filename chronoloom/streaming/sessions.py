@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronoloom.session import shared_dir
+
 
 def windowed_counts(events: DataFrame, at: str, keys: list[str], size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events per window and key; state of windows older than the watermark is dropped."""
@@ -51,8 +54,18 @@ def streaming_hysteresis(frames: DataFrame, key: str, on: float = 0.5, off: floa
     return frames.select(key, "start_us", "end_us", "p").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start_us BIGINT, end_us BIGINT", "opened BIGINT, loud BIGINT, last BIGINT", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All rows a stream of bounded input gives, through a memory table; for checks, not for clusters."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
+    """All that a stream gives of what is there now, as a table in the shared folder.
+
+    Each batch is written whole, with *complete* in place of the one before, so nothing passes the driver.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if complete else "append").parquet(path)
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", path + "-state").outputMode("complete" if complete else "append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
