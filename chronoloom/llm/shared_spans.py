@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.texthash import Rolling, U, chunks, code_points, mix
+from chronoloom.session import cut, drop
 
 LEAST, KMER, HOT = 320, 96, 4096
 
@@ -146,7 +147,7 @@ def graph_edges(documents: DataFrame, doc: str = "doc_id", text: str = "text", l
 
 
 def repeated_edges(edges: DataFrame, hot: int = HOT) -> DataFrame:
-    """Edges of k-mers that occur in two or more records: seed, seg, common, branch, alone, crowded.
+    """The distinct edges of :func:`repeated_seeds`: seed, seg, common, branch, alone, crowded.
 
     ``common``: the edge itself is in two records. ``branch``: its occurrences have different next or
     previous edges, so a path ends here. ``alone``: no other edge has its k-mer. ``crowded``: more than
@@ -156,12 +157,21 @@ def repeated_edges(edges: DataFrame, hot: int = HOT) -> DataFrame:
     segs = edges.groupBy("seed", "seg").agg(
         F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min(left).alias("l1"), F.max(left).alias("l2"), F.min(right).alias("r1"), F.max(right).alias("r2")
     )
-    seeds = segs.groupBy("seed").agg(F.min("d1").alias("s1"), F.max("d2").alias("s2"), F.count("*").alias("n")).where("s1 < s2")
+    seeds = segs.groupBy("seed").agg(F.count("*").alias("n"))
     return segs.join(seeds, "seed").select(
         "seed", "seg", F.expr("d1 < d2").alias("common"), F.expr("l1 <> l2 OR r1 <> r2 OR l1 = 0 OR r1 = 0").alias("branch"), F.expr("n = 1").alias("alone"), (F.col("n") > hot).alias("crowded")
     )
 
 
+def repeated_seeds(edges: DataFrame) -> DataFrame:
+    """Occurrences of edges whose k-mer is in two or more records: most occurrences are not.
+
+    The k-mers are counted by the least and greatest record alone, combined before the shuffle.
+    """
+    seeds = edges.groupBy("seed").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("seed")
+    return edges.join(seeds, "seed", "left_semi")
+
+
 def shared_stretches(documents: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, k: int = KMER, hot: int = HOT) -> DataFrame:
     """Stretches of each record that stand verbatim in another: doc_id, start_char, end_char.
 
@@ -183,7 +193,9 @@ def shared_stretches(documents: DataFrame, doc: str = "doc_id", text: str = "tex
     within one record alone do not count; two rows of one doc_id are one record; offsets are in
     Unicode characters; ties between equal k-mers go to the leftmost; other columns are not read.
     """
-    edges = graph_edges(documents, doc, text, least, k)
+    all_edges = cut(graph_edges(documents, doc, text, least, k), "edges")
+    edges = cut(repeated_seeds(all_edges), "repeated")
+    drop(all_edges)
     known = edges.join(repeated_edges(edges, hot), ["seed", "seg"])
     start = F.shiftright("place", 32)
     lead, span = F.shiftright("place", 16).bitwiseAND(0xFFFF), F.col("place").bitwiseAND(0xFFFF)
