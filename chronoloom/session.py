@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,26 @@ def local_session(app: str = "chronoloom", cores: str = "*", partitions: int = 8
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a Spark application.
+
+    Executors need no copy of the repository: the sources travel as one zip file.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_chronoloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    place = os.path.join(tempfile.mkdtemp(prefix="chronoloom-"), "chronoloom.zip")
+    with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("chronoloom", os.path.relpath(path, root)))
+    context.addPyFile(place)
+    context._chronoloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
