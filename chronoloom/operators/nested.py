@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -96,12 +95,12 @@ def _below(value: Column, path: str, at_root: bool) -> Column:
     head, _, rest = path.partition(_SEP)
     branch = _at(value, head)
     held = F.try_parse_json(F.try_variant_get(branch, "$", "string"))
-    opened = F.when(F.schema_of_variant(branch) == "STRING", F.coalesce(held, branch)).otherwise(branch)
+    opened = F.when(_is_object(branch) | branch.try_cast("array<variant>").isNotNull(), branch).otherwise(F.coalesce(held, branch))
     return _at(opened, rest) if rest else opened
 
 
 def _is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+    return value.try_cast("map<string,variant>").isNotNull()
 
 
 def parsed_reports(reports: DataFrame, row: str, column: str) -> DataFrame:
@@ -133,38 +132,40 @@ def nested_nodes(reports: DataFrame, row: str = "row_id", column: str = "report"
     for kind, path, shape in schema:
         if shape == "array":
             paths.setdefault(kind, []).append(path)
-    level = parsed_reports(reports, row, column).select("row_id", F.lit("").alias("parent"), F.lit("").alias("node"), F.lit("").alias("kind"), "v")
-    kinds, out = [""], []
-    while kinds:
-        entries, after = [], []
+    names = ("parent", "node", "kind", "ordinal", "v", "fresh")
+
+    def entry(parent: Column, node: Column, kind: Column, ordinal: Column, v: Column, fresh: bool) -> Column:
+        return F.struct(*[c.alias(n) for c, n in zip((parent, node, kind, ordinal.cast("int"), v, F.lit(fresh)), names, strict=True)])
+
+    rows = parsed_reports(reports, row, column).select("row_id", entry(F.lit(""), F.lit(""), F.lit(""), F.lit(0), F.col("v"), True).alias("e")).select("row_id", "e.*")
+    held = F.filter(F.array(entry(*[F.col(n) for n in names[:5]], False)), lambda e: (e["kind"] != "") & _is_object(e["v"]))
+    kinds = [""]
+    while any(paths.get(k) for k in kinds):
+        after, found = [], []
         for kind in kinds:
             for path in paths.get(kind, []):
-                value = _below(F.col("v"), path, kind == "") if path else F.col("v")
-                inner = F.expr("NULL").cast("array<variant>") if path == "" else F.when((F.lit(path.rpartition(_SEP)[2]).isin(*lone) if lone else F.lit(False)) & _is_object(value), F.array(value))
-                child = f"{kind}{_SEP * bool(kind and path)}{path}[]"
-                after.append(child)
-                shown = path.replace(_SEP, ".")
-                entries.append(F.struct(
-                    F.lit(child).alias("kind"),
-                    F.concat(F.col("node"), F.when((F.col("node") != "") & F.lit(bool(path)), ".").otherwise(""), F.lit(shown)).alias("stem"),
-                    F.when(F.col("kind") == kind, F.coalesce(value.try_cast("array<variant>"), inner)).alias("items"),
-                ))
-        if not entries:
-            break
-        found = (
-            level.select("row_id", "parent", "node", F.explode(F.filter(F.array(*entries), lambda e: e["items"].isNotNull())).alias("e"))
-            .select("row_id", F.col("parent").alias("_up"), "node", F.col("e.kind").alias("kind"), F.col("e.stem").alias("stem"), F.posexplode("e.items").alias("ordinal", "v"))
-            .where("v IS NOT NULL")
-            .select("row_id", F.col("_up").alias("owner"), F.concat("stem", F.lit("["), "ordinal", F.lit("]")).alias("node"), "kind", "ordinal", "v", _is_object(F.col("v")).alias("object"))
-        )
-        out.append(found.where("object").select("row_id", F.col("owner").alias("parent"), "node", "kind", "ordinal", "v"))
-        # below an object it is the parent; below an array in an array the parent stays
-        level = found.select("row_id", F.when(F.col("object"), F.col("node")).otherwise(F.col("owner")).alias("parent"), "node", "kind", "v")
+                after.append(f"{kind}{_SEP * bool(kind and path)}{path}[]")
+                found.append(_children(kind, path, after[-1], lone, entry))
+        # what is found stays, the level just reached is expanded: one generator a level, nothing read twice
+        rows = rows.select("row_id", F.explode(F.concat(held, *found)).alias("e")).select("row_id", "e.*")
         kinds = after
-    if not out:
-        empty = parsed_reports(reports, row, column).where(F.lit(False))
-        return empty.select("row_id", F.lit("").alias("parent"), F.lit("").alias("node"), F.lit("").alias("kind"), F.lit(0).alias("ordinal"), "v")
-    return reduce(DataFrame.unionByName, out)
+    return rows.where((F.col("kind") != "") & _is_object(F.col("v"))).select("row_id", "parent", "node", "kind", "ordinal", "v")
+
+
+def _children(kind: str, path: str, child: str, lone: tuple[str, ...], entry) -> Column:  # noqa: ANN001
+    """The elements of the arrays at *path* below the rows of *kind* just reached, as an array of rows."""
+    value = _below(F.col("v"), path, kind == "") if path else F.col("v")
+    items = value.try_cast("array<variant>")
+    if path.rpartition(_SEP)[2] in lone and path:
+        items = F.coalesce(items, F.when(_is_object(value), F.array(value)))
+    dot = F.when((F.col("node") != "") & F.lit(bool(path)), ".").otherwise("")
+    # below an object it is the parent; below an array in an array the parent stays
+    parent = F.when((F.col("kind") != "") & _is_object(F.col("v")), F.col("node")).otherwise(F.col("parent"))
+    shown = path.replace(_SEP, ".")
+    made = F.transform(items, lambda x, i: entry(parent, F.concat(F.col("node"), dot, F.lit(shown), F.lit("["), i, F.lit("]")), F.lit(child), i, x, True))
+    kept = F.filter(made, lambda e: e["v"].isNotNull() & ~F.is_variant_null(e["v"]))
+    none = F.filter(F.array(entry(F.lit(""), F.lit(""), F.lit(""), F.lit(0), F.col("v"), True)), lambda e: F.lit(False))
+    return F.when(F.col("fresh") & (F.col("kind") == kind), F.coalesce(kept, none)).otherwise(none)
 
 
 def scalar_rows(reports: DataFrame, row: str = "row_id", column: str = "report", paths: tuple[str, ...] = SCALAR_PATHS) -> DataFrame:
@@ -172,7 +173,7 @@ def scalar_rows(reports: DataFrame, row: str = "row_id", column: str = "report",
     entries = []
     for p in paths:
         value = _below(F.col("v"), p.replace(".", _SEP), True)
-        entries.append(F.when(value.isNotNull() & (F.schema_of_variant(value) != "VOID"), F.lit(p)))
+        entries.append(F.when(value.isNotNull() & ~F.is_variant_null(value), F.lit(p)))
     return parsed_reports(reports, row, column).select("row_id", F.explode(F.array_compact(F.array(*entries))).alias("node"))
 
 
