@@ -30,6 +30,11 @@ def null_safe_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]
     return df.withColumn("_kn", mask), [*out, "_kn"]
 
 
+def restored(keys: list[str]) -> list[Column]:
+    """The keys again from their twins, so that only one of both need be shuffled."""
+    return [F.when(F.col("_kn").bitwiseAND(1 << k) == 0, F.col(f"_k{k}")).alias(name) for k, name in enumerate(keys)]
+
+
 def block_of(axis: Column, width: float) -> Column:
     """Block number on an integer axis; floor, so that negative places have blocks too."""
     return F.coalesce(F.floor(axis / F.lit(width)).cast("bigint"), F.lit(-(1 << 62)))

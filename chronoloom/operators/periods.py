@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, null_safe_keys, upto
+from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, null_safe_keys, restored, upto
+from chronoloom.session import cut
 
 HOUR_US = 3_600_000_000
 LISTS = "starts ARRAY<BIGINT>, ends ARRAY<BIGINT>, counts ARRAY<BIGINT>"
@@ -102,19 +103,20 @@ def emitted(states: DataFrame, keys: list[str]) -> DataFrame:
     its last interval meet the same of other blocks, two rows a block, all others are final.
     """
     e, ks = null_safe_keys(states, keys)
+    e = e.drop(*keys)
     cover = e.select(*ks, BLOCK, F.element_at("ends", -1).alias("_top")).withColumn("_carry", F.max("_top").over(before(across(ks)))).drop("_top")
     rows = (
         e.join(cover, [*ks, BLOCK])
-        .select(*keys, *ks, BLOCK, "_carry", F.size("starts").alias("_n"), F.posexplode(F.arrays_zip("starts", "ends", "counts")).alias("_pos", "_i"))
-        .select(*keys, *ks, BLOCK, F.col("_i.starts").alias("start_us"), F.col("_i.ends").alias("end_us"), F.col("_i.counts").alias("n_rows"),
+        .select(*ks, BLOCK, "_carry", F.size("starts").alias("_n"), F.posexplode(F.arrays_zip("starts", "ends", "counts")).alias("_pos", "_i"))
+        .select(*ks, BLOCK, F.col("_i.starts").alias("start_us"), F.col("_i.ends").alias("end_us"), F.col("_i.counts").alias("n_rows"),
                 F.when(F.coalesce(F.col("_i.starts") <= F.col("_carry"), F.lit(False)), 0).when(F.col("_pos") == F.col("_n") - 1, 1).otherwise(2).alias("_role"))
     )
     ends = (
-        rows.where("_role < 2").groupBy(*keys, *ks, BLOCK, "_role").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_rows").alias("n_rows"))
+        rows.where("_role < 2").groupBy(*ks, BLOCK, "_role").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_rows").alias("n_rows"))
         .withColumn("_chain", F.sum("_role").over(upto(across(ks).orderBy(BLOCK, "_role"))))
-        .groupBy(*keys, *ks, "_chain").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_rows").alias("n_rows"))
+        .groupBy(*ks, "_chain").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n_rows").alias("n_rows"))
     )
-    names = [*keys, "start_us", "end_us", "n_rows"]
+    names = [*restored(keys), "start_us", "end_us", "n_rows"]
     return rows.where("_role = 2").select(*names).unionByName(ends.select(*names))
 
 
@@ -154,7 +156,7 @@ def sweep(sets: dict[str, DataFrame], keys: list[str], width: int = HOUR_US) ->
         parts.append(df.select(*keys, both.alias("_e")).select(*keys, F.col("_e.t").alias("t"), *[(F.col("_e.d") if n == name else F.lit(0)).alias(f"_d{k}") for k, n in enumerate(names)]))
     events, ks = null_safe_keys(reduce(DataFrame.unionByName, parts), keys)
     steps = [f"_d{k}" for k in range(len(names))]
-    at = events.groupBy(*keys, *ks, "t").agg(*[F.sum(c).alias(c) for c in steps]).withColumn(BLOCK, block_of(F.col("t"), width))
+    at = events.groupBy(*ks, "t").agg(*[F.sum(c).alias(c) for c in steps]).withColumn(BLOCK, block_of(F.col("t"), width))
     w = inside(ks, "t")
     local = at.select("*", F.lead("t").over(w).alias("_next"), *[F.sum(c).over(upto(w)).alias(f"_s{c}") for c in steps])
     blocks = at.groupBy(*ks, BLOCK).agg(F.min("t").alias("_bt"), *[F.sum(c).alias(f"_b{c}") for c in steps])
@@ -162,7 +164,7 @@ def sweep(sets: dict[str, DataFrame], keys: list[str], width: int = HOUR_US) ->
     carry = blocks.select(*ks, BLOCK, F.lead("_bt").over(a).alias("_after"), *[F.coalesce(F.sum(f"_b{c}").over(before(a)), F.lit(0)).alias(f"_i{c}") for c in steps])
     return (
         local.join(carry, [*ks, BLOCK])
-        .select(*keys, F.col("t").alias("start_us"), F.coalesce("_next", "_after").alias("end_us"), *[(F.col(f"_s{c}") + F.col(f"_i{c}")).alias(n) for n, c in zip(names, steps, strict=True)])
+        .select(*restored(keys), F.col("t").alias("start_us"), F.coalesce("_next", "_after").alias("end_us"), *[(F.col(f"_s{c}") + F.col(f"_i{c}")).alias(n) for n, c in zip(names, steps, strict=True)])
         .where("end_us IS NOT NULL")
     )
 
@@ -185,7 +187,8 @@ def periods_and_gaps(turns: DataFrame, scope: DataFrame, file: str = "file_id",
     *speaker* is expected in plain form; turns without one are ignored.
     """
     names = [file, channel]
-    by_speaker = merged_lists(partial_lists(usable(turns, speaker).select(*names, speaker, "start_us", "end_us"), [*names, speaker], width), [*names, speaker])
+    # the lists feed two levels of the tree, so they are kept rather than made again
+    by_speaker = cut(merged_lists(partial_lists(usable(turns, speaker).select(*names, speaker, "start_us", "end_us"), [*names, speaker], width), [*names, speaker]), "lists")
     periods = emitted(by_speaker, [*names, speaker])
     cover = emitted(merged_lists(by_speaker, names), names)
     gaps = uncovered(continuous_periods(scope, names, width), cover, names, width)
