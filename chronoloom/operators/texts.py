@@ -71,3 +71,27 @@ def speaker_texts(words: DataFrame, keys: list[str], label: str, order: list[str
     """The words of each speaker in order, joined by blanks."""
     listed = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_t"))))
     return words.groupBy(*keys, label).agg(F.array_join(F.transform(listed, lambda x: x["_t"]), " ").alias("text"), F.count("*").alias("n_words"))
+
+
+def assigned_word_errors(rows: DataFrame, refs: str, hyps: str) -> DataFrame:
+    """Adds errors, ref_words and rate: fewest word errors over all assignments of speakers.
+
+    *refs* and *hyps* are arrays of one text a speaker; the shorter is filled up with empty texts.
+    At most six speakers on either side, since every assignment is tried.
+    """
+    from itertools import permutations
+
+    @F.pandas_udf("errors BIGINT, ref_words BIGINT")
+    def count(r: pd.Series, h: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(r, h, strict=True):
+            x, y = [(t or "").split() for t in (a if a is not None else [])], [(t or "").split() for t in (b if b is not None else [])]
+            if max(len(x), len(y)) > 6:
+                raise ValueError("more than six speakers")
+            x, y = x + [[]] * (len(y) - len(x)), y + [[]] * (len(x) - len(y))
+            cost = [[sum(edit_counts(p, q)) for q in y] for p in x]
+            out.append((min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(len(y)))), sum(map(len, x))))
+        return pd.DataFrame(out, columns=["errors", "ref_words"])
+
+    got = rows.withColumn("_e", count(F.col(refs), F.col(hyps))).select(*rows.columns, "_e.*")
+    return got.withColumn("rate", error_rate(F.col("errors"), F.col("ref_words")))
