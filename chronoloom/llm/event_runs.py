@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, null_safe_keys, upto
+from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, null_safe_keys, restored, upto
 
 HOUR_US = 3_600_000_000
 PAUSE_US = 300_000
@@ -32,6 +32,7 @@ def collapse_runs(events: DataFrame, keys: list[str], label: str, start: str, en
     rows = events.select(*keys, F.col(label).alias("label"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"), F.col(row).cast("bigint").alias("row"))
     rows = rows.where("label IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL AND end > start").withColumn(BLOCK, block_of(F.col("start"), width))
     rows, ks = null_safe_keys(rows, keys)
+    rows = rows.drop(*keys)
     order = ("start", "end", "row")
     w = inside(ks, *order)
     # stretches of one label inside the block, and the latest end before a row in its stretch
@@ -53,7 +54,7 @@ def collapse_runs(events: DataFrame, keys: list[str], label: str, start: str, en
     flagged = local.join(block, [*ks, BLOCK])
     latest = F.greatest(F.col("_m"), F.when(F.col("_s") == 1, F.col("_in")))  # null: first of its stretch
     flagged = flagged.withColumn("_n", F.when(F.col("start") <= latest + pause, 0).otherwise(1)).withColumn("_r", F.sum("_n").over(upto(w)))
-    pieces = flagged.groupBy(*keys, *ks, BLOCK, "_r").agg(
+    pieces = flagged.groupBy(*ks, BLOCK, "_r").agg(
         F.first("label").alias("label"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min(F.struct(*order)).alias("_f"), F.max(F.struct(*order)).alias("_l")
     )
     # piece 0 of a block continues the last run begun before the block
@@ -62,7 +63,7 @@ def collapse_runs(events: DataFrame, keys: list[str], label: str, start: str, en
     home = F.when(F.col("_r") > 0, F.struct(F.col(BLOCK).alias("b"), F.col("_r").alias("r"))).otherwise(F.col("_from"))
     runs = (
         pieces.join(begun, [*ks, BLOCK]).withColumn("_home", home)
-        .groupBy(*keys, *ks, "_home.b", "_home.r")
+        .groupBy(*ks, "_home.b", "_home.r")
         .agg(F.first("label").alias("label"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_events"), F.min("_f").alias("_f"), F.max("_l").alias("_l"))
     )
-    return runs.select(*keys, "label", "start", "end", "n_events", F.col("_f.row").alias("first_row"), F.col("_l.row").alias("last_row"), (F.col("end") - F.col("start")).alias("duration"))
+    return runs.select(*restored(keys), "label", "start", "end", "n_events", F.col("_f.row").alias("first_row"), F.col("_l.row").alias("last_row"), (F.col("end") - F.col("start")).alias("duration"))
