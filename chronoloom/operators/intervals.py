@@ -117,7 +117,7 @@ def padded(df: DataFrame, keys: list[str], pad_us: int, low: Column, high: Colum
 
 def label_runs(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
     """Adjacent intervals of one label that touch become one; a recording is bounded by its length."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "end_us")
+    w = Window.partitionBy(*keys).orderBy("start_us", "end_us", label)
     same = (F.lag(label).over(w) == F.col(label)) & (F.lag("end_us").over(w) >= F.col("start_us"))
     run = F.sum(F.when(same, 0).otherwise(1)).over(w)
     return df.withColumn("_r", run).groupBy(*keys, "_r", label).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).drop("_r")

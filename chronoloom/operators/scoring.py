@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators.blocked import BLOCK, before
 from chronoloom.operators.intervals import interval_join, overlap_us
 from chronoloom.operators.periods import continuous_periods, sweep
+from chronoloom.session import cut
 
 REF = ("REF_00", "REF_01")
 HYP = ("A", "B")
@@ -161,7 +162,7 @@ def bootstrap_ci(scores: DataFrame, value: str, iterations: int = 100, seed: int
     one row a recording and iterations meet only in a sum.
     """
     spark = scores.sparkSession
-    named = scores.select(F.col("recording"), F.col(value).cast("double").alias("_v"))
+    named = cut(scores.select(F.col("recording"), F.col(value).cast("double").alias("_v")), "scores")
     n = named.count()
     if n == 0:
         return spark.createDataFrame([], "n BIGINT, mean DOUBLE, low DOUBLE, high DOUBLE")

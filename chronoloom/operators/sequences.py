@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, upto
+from chronoloom.session import cut
 
 
 def hysteresis_regions(frames: DataFrame, keys: list[str], p: str = "p", on: float = 0.5, off: float = 0.35, min_silence_us: int = 100_000) -> DataFrame:
@@ -60,7 +61,7 @@ def speaker_turns(words: DataFrame, keys: list[str], label: str = "word_label",
     Turn numbers come from flags summed inside blocks of time and carried across, so a long recording
     is many tasks; a turn's words meet by its number.
     """
-    rows = words.withColumn(BLOCK, block_of(F.col("start_us"), width))
+    rows = cut(words.withColumn(BLOCK, block_of(F.col("start_us"), width)), "words")  # read three times
     w = inside(keys, "start_us", "word_id")
     edge = rows.groupBy(*keys, BLOCK).agg(F.max(F.struct("start_us", "word_id", F.col(label).alias("l"), F.col("end_us").alias("e"))).alias("_z"))
     edge = edge.select(*keys, BLOCK, F.lag("_z").over(across(keys)).alias("_p"))

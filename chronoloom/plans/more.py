@@ -208,6 +208,54 @@ def latest_status(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("audio").agg(F.max_by(F.coalesce("quality_status", F.lit("")), F.struct("submitted_at", "row_id")).alias("status"), F.count("*").alias("n_versions"))
 
 
+@query("WITH x AS (SELECT row_id, CASE WHEN report IS NULL THEN 'MISSING' WHEN NOT json_valid(report) THEN 'UNREADABLE' END AS issue FROM run_reports) SELECT * FROM x WHERE issue IS NOT NULL")
+def strict_json_issues(spark: SparkSession, d: str) -> DataFrame:
+    from chronoloom.sources.strict import json_issues
+
+    return json_issues(table(spark, d, "run_reports"), "row_id", "report")
+
+
+@query()
+def cluster_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """One cluster or two among the vectors of each label."""
+    from chronoloom.operators.hypotheses import cluster_decisions as decide
+
+    e = table(spark, d, "embeddings").withColumn("w", 1 + F.col("vec_id") % 5).withColumn("b", F.floor(F.col("vec_id") / 25))
+    out = decide(e, ["label"], "embedding", "w", "b", "vec_id")
+    return out.select("label", "n", F.round("cost_one", 6).alias("cost_one"), F.round("cost_two", 6).alias("cost_two"), F.round("stability", 6).alias("stability"), "decision")
+
+
+@query()
+def rescued_labels(spark: SparkSession, d: str) -> DataFrame:
+    from chronoloom.operators.hypotheses import rescued
+
+    return rescued(TB.label_propagation(spark, d), table(spark, d, "embeddings").select(F.col("vec_id").alias("id")))
+
+
+@query(TL._with(TL.sql_union("m", "SELECT recording, start_us, end_us FROM scope")) + ", p AS (SELECT row_id, recording, (start_us + end_us) // 2 AS mid_us FROM hyp) SELECT p.row_id, p.recording, p.mid_us, CAST(m.start_us * 2 + (2 * (p.mid_us - m.start_us)::HUGEINT * (2 * (m.end_us - m.start_us) + 1000) + (m.end_us - m.start_us)) // (2 * (m.end_us - m.start_us)) AS BIGINT) AS source_us FROM p JOIN m ON m.recording = p.recording AND m.start_us <= p.mid_us AND p.mid_us <= m.end_us")
+def warped_points(spark: SparkSession, d: str) -> DataFrame:
+    """Middles of turns through a stretched time of each scored period."""
+    from chronoloom.operators.periods import continuous_periods
+    from chronoloom.operators.signals import mapped_points
+
+    m = continuous_periods(scope(spark, d), K)
+    seg = m.select("recording", F.col("start_us").alias("view_start"), F.col("end_us").alias("view_end"), (F.col("start_us") * 2).alias("source_start"), (F.col("end_us") * 2 + 1000).alias("source_end"))
+    mids = hyp_spans(spark, d).select("row_id", "recording", F.floor((F.col("start_us") + F.col("end_us")) / 2).alias("mid_us"))
+    return mapped_points(mids, seg, K, "mid_us")
+
+
+@query()
+def assigned_word_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Each item and the next of its suite as two speakers, against the same texts exchanged."""
+    from pyspark.sql import Window
+
+    from chronoloom.operators.texts import assigned_word_errors as errors
+
+    w = Window.partitionBy("suite").orderBy("item_id")
+    e = table(spark, d, "eval_items").select("item_id", F.array("text", F.lead("text").over(w)).alias("refs"), F.array(F.lead("text").over(w), F.lag("text").over(w)).alias("hyps"))
+    return errors(e, "refs", "hyps").select("item_id", "errors", "ref_words", "rate")
+
+
 def queries() -> dict:
     return QUERIES
 

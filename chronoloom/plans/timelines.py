@@ -156,7 +156,7 @@ def padded_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH """ + VIEWS + """, a AS (SELECT recording, label, start_us, end_us, CASE WHEN lag(label) OVER w = label AND lag(end_us) OVER w >= start_us THEN 0 ELSE 1 END AS f FROM ref WINDOW w AS (PARTITION BY recording ORDER BY start_us, end_us, label)),
-b AS (SELECT *, sum(f) OVER (PARTITION BY recording ORDER BY start_us, end_us, label ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT recording, label, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM b GROUP BY recording, label, g""")
+b AS (SELECT *, sum(f) OVER (PARTITION BY recording ORDER BY start_us, end_us, label, f DESC ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT recording, label, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM b GROUP BY recording, label, g""")
 def label_runs(spark: SparkSession, d: str) -> DataFrame:
     return I.label_runs(ref_spans(spark, d).select("recording", "start_us", "end_us", "label"), K)
 

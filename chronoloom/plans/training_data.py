@@ -131,7 +131,7 @@ WITH t AS (SELECT file_id, channel, coalesce({sql_plain('speaker_id')}, '') AS s
   WHERE speaker_id IS NOT NULL AND start_us IS NOT NULL AND end_us > start_us),
 u AS (SELECT file_id, channel, start_us, end_us FROM uem WHERE start_us IS NOT NULL AND end_us > start_us),
 a AS (SELECT *, CASE WHEN start_us <= max(end_us) OVER (PARTITION BY file_id, channel, speaker_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM t),
-b AS (SELECT *, sum(f) OVER (PARTITION BY file_id, channel, speaker_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS g FROM a),
+b AS (SELECT *, sum(f) OVER (PARTITION BY file_id, channel, speaker_id ORDER BY start_us, end_us, f DESC ROWS UNBOUNDED PRECEDING) AS g FROM a),
 periods AS (SELECT file_id, channel, speaker_id, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_rows FROM b GROUP BY file_id, channel, speaker_id, g),
 e AS (SELECT file_id, channel, t, sum(du) AS du, sum(dt) AS dt FROM (
   SELECT file_id, channel, start_us AS t, 1 AS du, 0 AS dt FROM u UNION ALL SELECT file_id, channel, end_us, -1, 0 FROM u

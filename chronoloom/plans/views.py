@@ -64,7 +64,7 @@ def sql_union(name: str, source: str, keys: str = "recording", gap: int = 0) ->
     """CTEs that merge overlapping and touching intervals, within *gap*: {name}(keys, start, end, n_rows)."""
     return f"""
 {name}_1 AS (SELECT *, CASE WHEN start_us <= {gap} + max(end_us) OVER (PARTITION BY {keys} ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM ({source})),
-{name}_2 AS (SELECT *, sum(f) OVER (PARTITION BY {keys} ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS g FROM {name}_1),
+{name}_2 AS (SELECT *, sum(f) OVER (PARTITION BY {keys} ORDER BY start_us, end_us, f DESC ROWS UNBOUNDED PRECEDING) AS g FROM {name}_1),
 {name} AS (SELECT {keys}, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_rows FROM {name}_2 GROUP BY {keys}, g)"""
 
 
