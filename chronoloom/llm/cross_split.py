@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def _scan(t: pa.Table) -> pa.Table:
     hits: set[str] = set()
     if passages:
         automaton.make_automaton()
-        for text in t.filter(pa.compute.invert(t.column("passage"))).column("key").to_pylist():
+        for text in t.filter(pc.invert(t.column("passage"))).column("key").to_pylist():
             hits.update(p for _, p in automaton.iter(text))
     return pa.table({"key": pa.array(sorted(hits), pa.string())})
 
