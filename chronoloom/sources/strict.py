@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def json_issues(rows: DataFrame, row: str, column: str, depth: int = 32, nodes:
         for b in batches:
             found = [json_issue(t, depth, nodes) for t in b.column(1).to_pylist()]
             t = pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["row_id", "issue"])
-            yield t.filter(pa.compute.is_valid(t.column("issue")))
+            yield t.filter(pc.is_valid(t.column("issue")))
 
     return rows.select(F.col(row).cast("bigint").alias("row_id"), F.col(column)).mapInArrow(run, "row_id BIGINT, issue STRING")
 
