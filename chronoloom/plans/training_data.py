@@ -152,6 +152,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"WITH {_RTTM}, {_PRED} SELECT line_id, reason FROM rc WHERE reason IS NOT NULL UNION ALL SELECT line_id, reason FROM pc WHERE reason IS NOT NULL",
         "p6_turns": f"WITH {_RTTM} SELECT line_id, f[2] AS file_id, f[3] AS channel, f[8] AS speaker_id, CAST(round_even(CAST(f[4] AS DECIMAL(30,12)) * 1000000, 0) AS BIGINT) AS start_us, CAST(round_even((CAST(f[4] AS DECIMAL(30,12)) + CAST(f[5] AS DECIMAL(30,12))) * 1000000, 0) AS BIGINT) AS end_us FROM rc WHERE reason IS NULL",
         "p6_predictions": f"WITH {_PRED} SELECT line_id, v[1] AS audio_id, v[2] AS rttm, v[3] AS rttm_sha256, v[4] AS quality_status FROM pc WHERE reason IS NULL",
+        "p6_report": f"WITH {_RTTM}, {_PRED}, x AS (SELECT line_id, reason FROM rc UNION ALL SELECT line_id, reason FROM pc) SELECT fmt, batch, CASE WHEN x.line_id IS NULL THEN 'skip' WHEN reason IS NULL THEN 'load' ELSE 'fail' END AS kind, coalesce(reason, '') AS reason, count(*) AS n_lines FROM raw_lines LEFT JOIN x USING (line_id) GROUP BY 1, 2, 3, 4",
         "p7_found": _p7_sql("SELECT kind, file_id, channel, speaker_id, start_us, end_us FROM x WHERE kind = 'gap' OR n_rows >= 2"),
         "p7_totals": _p7_sql("SELECT kind, file_id, channel, speaker_id, count(*) AS n_stretches, CAST(sum(end_us - start_us) AS BIGINT) AS total_us FROM x GROUP BY 1, 2, 3, 4"),
     }
