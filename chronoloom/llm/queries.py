@@ -98,6 +98,11 @@ m AS (SELECT DISTINCT a.row_id AS train_row, b.row_id AS eval_row, b.side, b.o A
 {tail}"""
 
 
+_COVER = """, l AS (SELECT row_id, side, unnest(['s:' || s, 'g:' || g, 'o:' || o]) AS key FROM x), t AS (SELECT DISTINCT key FROM l WHERE side = 'calibration' AND key IS NOT NULL)
+SELECT l.row_id, l.side, count(l.key) AS n_keys, count(t.key) AS n_matched, round(coalesce(sum(CASE WHEN t.key IS NULL THEN 0 ELSE length(l.key) END) / nullif(sum(length(l.key)), 0), 0), 9) AS covered
+FROM l LEFT JOIN t ON t.key = l.key WHERE l.side IN ('developmentholdout', 'releaseholdout') GROUP BY 1, 2"""
+
+
 def _p5_sql(tail: str) -> str:
     return f"""
 WITH t AS (SELECT row_id, file_id, channel, coalesce({sql_plain('speaker_id')}, '') AS sp, start_us, end_us FROM rttm WHERE speaker_id IS NOT NULL AND start_us IS NOT NULL AND end_us > start_us),
@@ -121,6 +126,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _p3_sql("SELECT DISTINCT least(train_row, eval_row) AS row_a, greatest(train_row, eval_row) AS row_b FROM m"),
         "p3_report": _p3_sql("SELECT side, coalesce(original, '') AS source, count(*) AS n_pairs, count(DISTINCT eval_row) AS n_eval, count(DISTINCT train_row) AS n_train FROM m GROUP BY 1, 2"),
+        "p3_coverage": _p3_sql(_COVER),
         "p4_found": _P4,
         "p5_found": _p5_sql("SELECT first_row_id, last_row_id FROM g WHERE n_events >= 2"),
         "p5_turns": _p5_sql("SELECT file_id, channel, speaker_id, start_us, end_us, n_events, end_us - start_us AS duration_us FROM g"),
