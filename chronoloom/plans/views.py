@@ -10,7 +10,8 @@ from chronoloom.operators.intervals import MINUTE_US  # noqa: F401
 from chronoloom.operators.periods import usable
 from chronoloom.plans.training_data import sql_plain, table
 
-WORD_US, MOST_WORDS = 300_000, 40
+WORD_US = 300_000
+MOST_WORDS = 40  # of the SQL view alone, which ends each turn's words there; words() lays a turn to its end
 
 
 def ref_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -32,8 +33,8 @@ def scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of 300 ms laid end to end in every turn."""
-    n = F.least(F.lit(MOST_WORDS), F.floor((F.col("end_us") - F.col("start_us")) / WORD_US)).cast("int")
+    """Words of 300 ms laid end to end in every turn, to its end."""
+    n = F.floor((F.col("end_us") - F.col("start_us")) / WORD_US).cast("int")
     w = ref_spans(spark, d).withColumn("_k", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))))
     return w.select("recording", "label", F.concat_ws("-", "row_id", "_k").alias("word_id"), (F.col("start_us") + F.col("_k") * WORD_US).alias("start_us"), (F.col("start_us") + (F.col("_k") + 1) * WORD_US).alias("end_us"), F.concat(F.lit("w"), F.pmod(F.col("row_id") * 31 + F.col("_k"), F.lit(97))).alias("text"))
 
