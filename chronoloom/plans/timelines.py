@@ -136,7 +136,7 @@ def overlapped_recordings(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT recording, row_id, unnest(list_sort(list_distinct(list_concat(range(start_us, greatest(start_us, end_us - 10000000) + 1, 5000000), [greatest(start_us, end_us - 10000000)])))) AS window_us FROM scope")
 def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
-    return scope(spark, d).select("recording", "row_id", F.explode(I.window_starts(F.col("start_us"), F.col("end_us"), 10_000_000, 5_000_000)).alias("window_us"))
+    return scope(spark, d).select("recording", "row_id", F.explode(I.window_starts(F.col("start_us"), F.col("end_us"), 10_000_000, 1_000_000)).alias("window_us"))
 
 
 @query("SELECT DISTINCT recording, unnest(range(start_us // 5000000, (end_us - 1) // 5000000 + 1)) * 5000000 AS grid_us FROM ref")
