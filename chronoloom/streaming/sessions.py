@@ -28,7 +28,8 @@ def streaming_hysteresis(frames: DataFrame, key: str, on: float = 0.5, off: floa
 
     Frames (key, start_us, end_us, p) of a key must come in order; a region is emitted once it closes.
     State a key: whether open, where it opened, the end of its last loud frame. A frame that does not
-    begin where the last ended closes the region there.
+    begin where the last ended closes the region there. Regions still open when the stream is drained
+    are in its state, where :func:`drained` finds them.
     """
     def step(ident: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         opened, loud, last = state.get if state.exists else (-1, -1, -1)
@@ -51,13 +52,22 @@ def streaming_hysteresis(frames: DataFrame, key: str, on: float = 0.5, off: floa
         yield pd.DataFrame(out, columns=[key, "start_us", "end_us"])
 
     kind = frames.schema[key].dataType.simpleString()
-    return frames.select(key, "start_us", "end_us", "p").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start_us BIGINT, end_us BIGINT", "opened BIGINT, loud BIGINT, last BIGINT", "append", GroupStateTimeout.NoTimeout)
+    regions = frames.select(key, "start_us", "end_us", "p").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, start_us BIGINT, end_us BIGINT", "opened BIGINT, loud BIGINT, last BIGINT", "append", GroupStateTimeout.NoTimeout)
+    regions._left_open = _open_regions  # type: ignore[attr-defined]
+    return regions
+
+
+def _open_regions(state: DataFrame) -> DataFrame:
+    """The regions that the state of :func:`streaming_hysteresis` still holds open."""
+    held = F.col("value.groupState")
+    return state.where(held["opened"] >= 0).select("key.*", held["opened"].alias("start_us"), held["loud"].alias("end_us"))
 
 
 def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
     """All that a stream gives of what is there now, as a table in the shared folder.
 
     Each batch is written whole, with *complete* in place of the one before, so nothing passes the driver.
+    What an operator would give only later is at the end read from its state.
     """
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -68,4 +78,8 @@ def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
 
     q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", path + "-state").outputMode("complete" if complete else "append").trigger(availableNow=True).start()
     q.awaitTermination()
+    left_open = getattr(stream, "_left_open", None)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path + "-state/state")
+    if left_open and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):  # absent if nothing ever came
+        left_open(spark.read.format("statestore").load(path + "-state")).select(*stream.columns).write.mode("append").parquet(path)
     return spark.read.schema(stream.schema).parquet(path)
