@@ -12,6 +12,8 @@ from chronoloom.session import cut
 
 REF = ("REF_00", "REF_01")
 HYP = ("A", "B")
+#: Least time of a speaker who counts; recordings that are broadcast at most.
+FLOOR_US, MOST_BROADCAST = 250_000, 50_000
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -47,6 +49,8 @@ def cell_sums(cells: DataFrame, keys: list[str]) -> DataFrame:
         "s0_us": one * c["r0"], "s1_us": one * c["r1"],
         "a0_us": one * c["r0"] * F.least(h, F.lit(1)), "a1_us": one * c["r1"] * F.least(h, F.lit(1)),
         "k00": one * c["r0"] * c["h0"] * (1 - c["h1"]), "k01": one * c["r0"] * c["h1"] * (1 - c["h0"]), "k10": one * c["r1"] * c["h0"] * (1 - c["h1"]), "k11": one * c["r1"] * c["h1"] * (1 - c["h0"]),
+        "e00": one * c["r0"] * c["h0"], "e01": one * c["r0"] * c["h1"], "e10": one * c["r1"] * c["h0"], "e11": one * c["r1"] * c["h1"],
+        "n_ref_us": one * r, "n_miss_us": F.when(r <= 1, d * F.greatest(F.lit(0), r - h)).otherwise(0), "n_fa_us": F.when(r <= 1, d * F.greatest(F.lit(0), h - r)).otherwise(0), "n_both_us": F.when(r <= 1, d * F.least(r, h)).otherwise(0),
         "o_tp": F.when((r == 2) & (h == 2), d).otherwise(0), "o_fp": F.when((r < 2) & (h == 2), d).otherwise(0), "o_fn": F.when((r == 2) & (h < 2), d).otherwise(0),
     }
     return cells.groupBy(*keys).agg(*[F.sum(x).cast("bigint").alias(n) for n, x in sums.items()])
@@ -147,31 +151,123 @@ def subgroup_scores(scores: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def bootstrap_draws(n: int, iterations: int, seed: int) -> Column:
-    """Array of (iteration, drawn index) of one population member: how often it is drawn by whom.
+    """Array by iteration of the population index that draw ``_j`` takes.
 
-    Draw j of iteration i takes the first 60 bits of sha256("seed:i:j") modulo n.
+    Draw j of iteration i is the first 8 bytes of sha256("seed:i:j:n") modulo n.
     """
-    return F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), lambda i: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), i, F.lit(":"), F.col("_j")), 256), 1, 15), 16, 10).cast("bigint") % n)
+    drawn = lambda i: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), i, F.lit(":"), F.col("_j"), F.lit(f":{n}")), 256), 1, 16), 16, 10)
+    return F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), lambda i: (drawn(i).cast("decimal(20,0)") % n).cast("bigint"))
 
 
-def bootstrap_ci(scores: DataFrame, value: str, iterations: int = 100, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean of *value* over recordings resampled with replacement.
+def bootstrap_suite(rows: DataFrame, statistics: dict[str, Column], iterations: int = 2_000, seed: int = 17_029, level: float = 0.95) -> DataFrame:
+    """Percentile intervals of *statistics* (aggregates) over recordings resampled with replacement.
 
-    Draws are hashes, so the result is the same on any cluster. Recordings are numbered in order of
-    their hash; draws are made where each draw number lives and joined by index: the index table has
-    one row a recording and iterations meet only in a sum.
+    A row a statistic: metric, confidence_level, point, lower, upper, iterations (samples in which it is
+    defined), seed, n (recordings). A statistic that is null over all recordings has no row.
+
+    Draws are hashes, so the result is the same on any cluster. Recordings are numbered by name; draws
+    are made where each draw number lives and joined by index: the index table has one row a recording
+    and iterations meet only in sums. All statistics use the same draws.
     """
-    spark = scores.sparkSession
-    named = cut(scores.select(F.col("recording"), F.col(value).cast("double").alias("_v")), "scores")
+    spark = rows.sparkSession
+    named = cut(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "recording").withColumn(BLOCK, F.spark_partition_id()), "scores")
     n = named.count()
-    if n == 0:
-        return spark.createDataFrame([], "n BIGINT, mean DOUBLE, low DOUBLE, high DOUBLE")
-    # numbered in order of the hash, block by block of its first three digits
-    hashed = named.withColumn("_h", F.sha2("recording", 256)).withColumn(BLOCK, F.conv(F.substring("_h", 1, 3), 16, 10).cast("bigint"))
-    blocks = hashed.groupBy(BLOCK).agg(F.count("*").alias("_n")).select(BLOCK, F.coalesce(F.sum("_n").over(before(Window.orderBy(BLOCK))), F.lit(0)).alias("_before"))
-    indexed = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(BLOCK).orderBy("_h", "recording")) - 1).join(F.broadcast(blocks), BLOCK).withColumn("_k", F.col("_r") + F.col("_before"))
+    kinds = "metric STRING, confidence_level DOUBLE, point DOUBLE, lower DOUBLE, upper DOUBLE, iterations BIGINT, seed BIGINT, n BIGINT"
+    if n == 0 or iterations <= 0:
+        return spark.createDataFrame([], kinds)
+    # numbered by name, range by range of the names
+    blocks = named.groupBy(BLOCK).agg(F.count("*").alias("_n")).select(BLOCK, F.coalesce(F.sum("_n").over(before(Window.orderBy(BLOCK))), F.lit(0)).alias("_before"))
+    indexed = named.withColumn("_r", F.row_number().over(Window.partitionBy(BLOCK).orderBy("recording")) - 1).join(F.broadcast(blocks), BLOCK).withColumn("_k", F.col("_r") + F.col("_before")).drop("recording", BLOCK, "_r", "_before")
     draws = spark.range(n).select(F.col("id").alias("_j")).select(F.posexplode(bootstrap_draws(n, iterations, seed)).alias("_i", "_k"))
-    means = draws.join(indexed.select("_k", "_v"), "_k").groupBy("_i").agg(F.avg("_v").alias("m"))
+    stats = [x.cast("double").alias(f"_s{k}") for k, x in enumerate(statistics.values())]
+    samples = draws.join(F.broadcast(indexed) if n <= MOST_BROADCAST else indexed, "_k").groupBy("_i").agg(*stats)
     tail = (1 - level) / 2
-    point = named.agg(F.count("*").alias("n"), F.round(F.avg("_v"), 9).alias("mean"))
-    return point.join(means.agg(F.round(F.percentile("m", F.lit(tail)), 9).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 9).alias("high")))
+    entries = lambda f: F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), *f(f"_s{k}")) for k, m in enumerate(statistics)])).alias("e")
+    bounds = samples.agg(*[x for k in range(len(stats)) for x in (F.percentile(f"_s{k}", F.lit(tail)).alias(f"_s{k}l"), F.percentile(f"_s{k}", F.lit(1 - tail)).alias(f"_s{k}u"), F.count(f"_s{k}").alias(f"_s{k}n"))])
+    bounds = bounds.select(entries(lambda c: (F.round(c + "l", 9).alias("lower"), F.round(c + "u", 9).alias("upper"), F.col(c + "n").alias("iterations")))).select("e.*").where("iterations > 0")
+    points = named.agg(*stats).select(entries(lambda c: (F.round(c, 9).alias("point"),))).select("e.*").where("point IS NOT NULL")
+    return points.join(bounds, "metric").select("metric", F.lit(float(level)).alias("confidence_level"), "point", "lower", "upper", "iterations", F.lit(seed).cast("bigint").alias("seed"), F.lit(n).cast("bigint").alias("n"))
+
+
+def bootstrap_ci(scores: DataFrame, value: str, iterations: int = 2_000, seed: int = 17_029, level: float = 0.95) -> DataFrame:
+    """As :func:`bootstrap_suite` for the mean of one column: n, mean, low, high."""
+    own = bootstrap_suite(scores.select("recording", F.col(value).cast("double").alias("_v")), {value: F.avg("_v")}, iterations, seed, level)
+    return own.select("n", F.col("point").alias("mean"), F.col("lower").alias("low"), F.col("upper").alias("high"))
+
+
+def change_boundaries(turns: DataFrame, keys: list[str], labels: tuple[str, str]) -> DataFrame:
+    """Starts (keys, at) at which a label begins that was not there just before.
+
+    There before a point are the labels of earlier turns that reach it; if there are none, those whose
+    turns ended last. At the first turn of a key nothing changes.
+    """
+    at = lambda x, what: F.max(F.when(F.col("label") == x, what))
+    points = turns.where(F.col("label").isin(*labels)).groupBy(*keys, F.col("start_us").alias("at")).agg(*[at(x, F.col("end_us")).alias(f"_e{k}") for k, x in enumerate(labels)])
+    w = before(Window.partitionBy(*keys).orderBy("at"))
+    seen = points.select("*", *[F.max(f"_e{k}").over(w).alias(f"_m{k}") for k in range(2)]).withColumn("_last", F.greatest("_m0", "_m1"))
+    there = lambda k: F.coalesce(F.when(F.col("_last") >= F.col("at"), F.col(f"_m{k}") >= F.col("at")).otherwise(F.col(f"_m{k}") == F.col("_last")), F.lit(False))
+    fresh = [F.col(f"_e{k}").isNotNull() & ~there(k) for k in range(2)]
+    return seen.where(F.col("_last").isNotNull() & (fresh[0] | fresh[1])).select(*keys, "at")
+
+
+def suite_rows(sums: DataFrame, changes: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """What the statistics of :func:`scoring_suite` need of each recording.
+
+    *sums* of :func:`cell_sums`, *changes* of :func:`boundary_matches`, *words* with label and word_label.
+    Speakers count from :data:`FLOOR_US` on. Where both mappings have as much in common, the one whose
+    pairs come first by name is taken.
+    """
+    c = F.col
+    counted = words.groupBy(*keys).agg(F.count("*").alias("w_all"), F.count(F.when(c("word_label").isin(*HYP), 1)).alias("w_given"), *[F.count(F.when((c("label") == REF[0]) & (c("word_label") == a) | (c("label") == REF[1]) & (c("word_label") == b), 1)).alias(n) for n, a, b in (("w_straight", *HYP), ("w_crossed", *HYP[::-1]))])
+    more, less = c("c01") + c("c10"), c("c00") + c("c11")
+    crossed_first = (c("h0_us") == 0) & (c("h1_us") > 0) & (c("r0_us") > 0) | (c("r0_us") == 0) & (c("r1_us") > 0) & (c("h0_us") > 0)
+    m = sums.join(changes, keys, "left").join(counted, keys, "left").withColumn("swapped", (more > less) | (more == less) & crossed_first)
+    material = {x: c(f"{x}_us") >= FLOOR_US for x in ("r0", "r1", "h0", "h1")}
+    number = lambda a, b: material[a].cast("int") + material[b].cast("int")
+    right = [_mapped(c("c00"), c("c01")), _mapped(c("c11"), c("c10"))]
+    hyp = [_mapped(c("h0_us"), c("h1_us")), _mapped(c("h1_us"), c("h0_us"))]
+    # correct time where the reference has one speaker; from it, that of the cells without overlap
+    sole = [_mapped(c("e00"), c("e01")), _mapped(c("e11"), c("e10"))]
+    jer = [F.when(c(f"r{k}_us") > 0, 1 - right[k] / (c(f"r{k}_us") + hyp[k] - right[k])) for k in range(2)]
+    per = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    one, two = number("r0", "r1") == 1, number("r0", "r1") == 2
+    zero = lambda x: F.coalesce(c(x), F.lit(0))
+    return m.select(
+        c(keys[0]).alias("recording"), "ref_us", (c("miss_us") + c("fa_us") + c("both_us") - right[0] - right[1]).alias("error_us"),
+        "n_ref_us", (c("n_miss_us") + c("n_fa_us") + c("n_both_us") - sole[0] - sole[1]).alias("n_error_us"),
+        per(F.coalesce(jer[0], F.lit(0.0)) + F.coalesce(jer[1], F.lit(0.0)), (c("r0_us") > 0).cast("int") + (c("r1_us") > 0).cast("int")).alias("jer"),
+        one.alias("h1"), two.alias("h2"), (two & (number("h0", "h1") == 1)).alias("merged"), (one & (number("h0", "h1") == 2)).alias("split"),
+        F.when(one, F.least("h0_us", "h1_us")).otherwise(0).alias("split_us"), F.when(one, F.when(material["r0"], c("s0_us")).otherwise(c("s1_us"))).otherwise(0).alias("h1_us"),
+        F.least(*[F.when(material[f"r{k}"], per(c(f"a{k}_us"), c(f"s{k}_us"))) for k in range(2)]).alias("coverage"), F.least(*[F.when(material[f"r{k}"], per(sole[k], c(f"a{k}_us"))) for k in range(2)]).alias("accuracy"),
+        *[zero(x).alias(f"b_{x}") for x in ("tp", "fp", "fn")], *[F.when(c("o_tp") + c("o_fn") > 0, c(x)).alias(x) for x in ("o_tp", "o_fp", "o_fn")],
+        zero("w_all").alias("w_all"), zero("w_given").alias("w_given"), F.coalesce(_mapped(c("w_straight"), c("w_crossed")), F.lit(0)).alias("w_right"),
+    )
+
+
+def _share(a: Column, b: Column, none: Column | None = None) -> Column:
+    """sum(a) / sum(b): null where nothing is summed, and where the sum of b is 0 or, with *none*, 1 if that is 0 too, else 0."""
+    share = F.try_divide(F.sum(a).cast("double"), F.sum(b).cast("double"))
+    return share if none is None else F.when(F.sum(none).isNotNull(), F.when(F.sum(none) == 0, 1.0).otherwise(F.coalesce(share, F.lit(0.0))))
+
+
+def _suite() -> dict[str, Column]:
+    c = F.col
+    rate = lambda x, of: F.avg(F.when(c(of), c(x).cast("int")))
+    overlap, changes = c("o_tp") + c("o_fp") + c("o_fn"), c("b_tp") + c("b_fp") + c("b_fn")
+    return {
+        "der_all": _share(c("error_us"), c("ref_us")), "der_nonoverlap": _share(c("n_error_us"), c("n_ref_us")), "jer": F.avg("jer"),
+        "acoustic_complete_merge_rate": rate("merged", "h2"), "unsafe_complete_merge_rate": F.avg(F.when(c("h2"), 0)), "false_h2_rate": rate("split", "h1"),
+        "false_h2_duration_ratio": F.when(F.count(F.when(c("h1"), 1)) > 0, F.coalesce(_share(c("split_us"), c("h1_us")), F.lit(0.0))),
+        "worst_speaker_coverage": F.min("coverage"), "worst_speaker_assigned_accuracy": F.min("accuracy"),
+        "scd_f1": _share(2 * c("b_tp"), c("b_tp") + changes, changes), "overlap_precision": _share(c("o_tp"), c("o_tp") + c("o_fp"), overlap), "overlap_recall": _share(c("o_tp"), c("o_tp") + c("o_fn"), overlap),
+        "word_attribution_precision": _share(c("w_right"), c("w_given")), "word_attribution_coverage": _share(c("w_given"), c("w_all")),
+    }
+
+
+def scoring_suite(rows: DataFrame, iterations: int = 2_000, seed: int = 17_029) -> DataFrame:
+    """:func:`bootstrap_suite` of the scorer's metrics over :func:`suite_rows`.
+
+    No quality status comes with the rows, so no merge counts as unsafe; no micro decisions come either,
+    so their two metrics have no row.
+    """
+    return bootstrap_suite(rows, _suite(), iterations, seed)

@@ -221,7 +221,14 @@ dr AS (SELECT i.i, CAST(('0x' || substr(sha256('7:' || i.i || ':' || j.j), 1, 15
 b AS (SELECT i, avg(der) AS m FROM dr JOIN p USING (k) GROUP BY i)
 SELECT (SELECT count(*) FROM scores) AS n, (SELECT round(avg(der), 9) FROM scores) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM b""")
 def bootstrap_der_ci(spark: SparkSession, d: str) -> DataFrame:
-    return S.bootstrap_ci(_scores(spark, d), "der")
+    """Intervals of the scorer's metrics, recordings resampled 2,000 times."""
+    inside = scope(spark, d)
+    points = lambda spans, labels: I.points_inside(S.change_boundaries(spans, K, labels), inside, K, "at")
+    changes = S.boundary_matches(points(ref_spans(spark, d), S.REF), points(hyp_spans(spark, d), S.HYP), K, "at", 500_000)
+    spoken = words(spark, d).drop("text")
+    held = I.interval_join(spoken, continuous_periods(inside, K).drop("n_rows"), K).where("other_start_us <= start_us AND end_us <= other_end_us").select(*spoken.columns)
+    said = S.attributed_words(held, hyp_spans(spark, d), K)
+    return S.scoring_suite(S.suite_rows(S.cell_sums(_cells(spark, d), K), changes, said, K))
 
 
 @query(_SCORES + " SELECT count(*) AS n_recordings, round(max(abs(coverage_0 - coverage_1)), 9) AS worst_coverage_gap, round(avg(abs(coverage_0 - coverage_1)), 9) AS mean_coverage_gap, round(min(least(accuracy_0, accuracy_1)), 9) AS worst_accuracy FROM scores")
