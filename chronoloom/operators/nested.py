@@ -113,14 +113,14 @@ def parsed_reports(reports: DataFrame, row: str, column: str) -> DataFrame:
     return reports.select(F.col(row).alias("row_id"), F.when(whole, F.try_parse_json(text)).alias("v")).where("v IS NOT NULL")
 
 
-def nested_nodes(reports: DataFrame, row: str = "row_id", column: str = "report", lone: tuple[str, ...] = ARRAY_FIELDS, schema: list[tuple[str, str, str]] | None = None) -> DataFrame:
+def nested_nodes(reports: DataFrame, row: str = "row_id", column: str = "report", lone: tuple[str, ...] = ARRAY_FIELDS, schema: list[tuple[str, str, str]] | None = None, roots: bool = False) -> DataFrame:
     """One row per object inside an array, at any depth: row_id, parent, node, kind, ordinal, v.
 
     Method: infer the merged schema, then explode array level by array level. The arrays of a level
     are the schema's paths below the kinds of that level, so each level is one generator over the
     rows of the one above, carrying the parent's path and the array position; there is no shuffle.
     ``node`` is the surrogate key within a row and ``parent`` that of the nearest enclosing object
-    that stands in an array, '' for the run itself.
+    that stands in an array, '' for the run itself, which with *roots* is a row of kind '' too.
 
     Defined cases: null elements and scalars give no row but keep their position; arrays directly in
     arrays add brackets to the path; a lone object in one of *lone* is an array of one; empty arrays
@@ -138,7 +138,7 @@ def nested_nodes(reports: DataFrame, row: str = "row_id", column: str = "report"
         return F.struct(*[c.alias(n) for c, n in zip((parent, node, kind, ordinal.cast("int"), v, F.lit(fresh)), names, strict=True)])
 
     rows = parsed_reports(reports, row, column).select("row_id", entry(F.lit(""), F.lit(""), F.lit(""), F.lit(0), F.col("v"), True).alias("e")).select("row_id", "e.*")
-    held = F.filter(F.array(entry(*[F.col(n) for n in names[:5]], False)), lambda e: (e["kind"] != "") & _is_object(e["v"]))
+    held = F.filter(F.array(entry(*[F.col(n) for n in names[:5]], False)), lambda e: F.when(e["kind"] == "", F.lit(roots)).otherwise(_is_object(e["v"])))
     kinds = [""]
     while any(paths.get(k) for k in kinds):
         after, found = [], []
@@ -149,7 +149,7 @@ def nested_nodes(reports: DataFrame, row: str = "row_id", column: str = "report"
         # what is found stays, the level just reached is expanded: one generator a level, nothing read twice
         rows = rows.select("row_id", F.explode(F.concat(held, *found)).alias("e")).select("row_id", "e.*")
         kinds = after
-    return rows.where((F.col("kind") != "") & _is_object(F.col("v"))).select("row_id", "parent", "node", "kind", "ordinal", "v")
+    return rows.where(F.when(F.col("kind") == "", F.lit(roots)).otherwise(_is_object(F.col("v")))).select("row_id", "parent", "node", "kind", "ordinal", "v")
 
 
 def _children(kind: str, path: str, child: str, lone: tuple[str, ...], entry) -> Column:  # noqa: ANN001
@@ -177,13 +177,13 @@ def scalar_rows(reports: DataFrame, row: str = "row_id", column: str = "report",
     return parsed_reports(reports, row, column).select("row_id", F.explode(F.array_compact(F.array(*entries))).alias("node"))
 
 
-def flat_table(nodes: DataFrame, kind: str, schema: list[tuple[str, str, str]]) -> DataFrame:
-    """The flat table of one kind of nested object, with typed columns from the merged schema.
+def schema_kinds(schema: list[tuple[str, str, str]]) -> list[str]:
+    """Every kind that rows may have under the merged schema: '' (the runs), then those of its arrays."""
+    return sorted({"", *(f"{k}{_SEP * bool(k and path)}{path}[]" for k, path, shape in schema if shape == "array")})
 
-    Columns: node_key and parent_key (surrogate keys), row_id, ordinal, then one column a scalar path
-    of the kind, DOUBLE or BOOLEAN where all values agree, else STRING. A path whose name clashes
-    with another column, also by case only, gets a number appended.
-    """
+
+def _typed(kind: str, schema: list[tuple[str, str, str]]) -> list[Column]:
+    """A column a scalar path of the kind, as :func:`flat_table` says."""
     shapes: dict[str, set[str]] = {}
     for k, path, shape in schema:
         if k == kind and shape != "array":
@@ -195,6 +195,30 @@ def flat_table(nodes: DataFrame, kind: str, schema: list[tuple[str, str, str]])
             name, n = f"{path.replace(_SEP, '_')}_{n}", n + 1
         taken.add(name.lower())
         kind_of = types.get(next(iter(found)), "string") if len(found) == 1 else "string"
-        cols.append(_at(F.col("v"), path).try_cast(kind_of).alias(name))
+        cols.append(_below(F.col("v"), path, kind == "").try_cast(kind_of).alias(name))
+    return cols
+
+
+def _links() -> list[Column]:
     key = lambda c: F.xxhash64("row_id", F.col(c))
-    return nodes.where(F.col("kind") == kind).select(key("node").alias("node_key"), F.when(F.col("parent") != "", key("parent")).alias("parent_key"), "row_id", "ordinal", *cols)
+    return [key("node").alias("node_key"), F.when(F.col("kind") != "", key("parent")).alias("parent_key"), F.col("row_id"), F.col("ordinal")]
+
+
+def flat_table(nodes: DataFrame, kind: str, schema: list[tuple[str, str, str]]) -> DataFrame:
+    """The flat table of one kind of nested object, with typed columns from the merged schema.
+
+    Columns: node_key and parent_key (surrogate keys), row_id, ordinal, then one column a scalar path
+    of the kind, DOUBLE or BOOLEAN where all values agree, else STRING. A path whose name clashes
+    with another column, also by case only, gets a number appended. Kind '' is the table of the runs,
+    to whose keys the objects below no other object refer; it needs nodes with their roots.
+    """
+    return nodes.where(F.col("kind") == kind).select(*_links(), *_typed(kind, schema))
+
+
+def flat_rows(nodes: DataFrame, schema: list[tuple[str, str, str]]) -> DataFrame:
+    """The rows of all flat tables in one: kind, the links, and the typed columns of the kind as JSON.
+
+    Whatever kinds the data brings are in it, in one pass.
+    """
+    held = [F.when(F.col("kind") == k, F.to_json(F.struct(*cols)) if (cols := _typed(k, schema)) else F.lit("{}")) for k in schema_kinds(schema)]
+    return nodes.select(F.translate("kind", _SEP, ".").alias("kind"), *_links(), F.coalesce(*held).alias("fields"))

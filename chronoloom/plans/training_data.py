@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
-from chronoloom.operators.nested import flat_table, merged_schema, nested_nodes, scalar_rows
+from chronoloom.operators.nested import flat_rows, flat_table, merged_schema, nested_nodes, scalar_rows
 from chronoloom.operators.periods import periods_and_gaps
 from chronoloom.operators.references import Reference, orphan_references, orphan_report
 from chronoloom.sources.lines import classify_lines, failure_report, predictions_loaded, turns_loaded
@@ -44,11 +44,32 @@ def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
     return nested_nodes(table(spark, d, "run_reports")).groupBy(kind).agg(F.count("*").alias("n_objects"), F.countDistinct("row_id").alias("n_reports"))
 
 
-def p2_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The flat child table of decoder candidates, linked to the runs."""
+#: Kinds of nested object in the given reports that have a query of their own; p2_tables has any kind.
+P2_TABLES = {
+    "p2_runs": "", "p2_candidates": "decoder_calibration.candidates[]", "p2_folds": "decoder_calibration.candidates[].folds[]", "p2_overrides": "decoder_calibration.candidates[].folds[].overrides[]",
+    "p2_local_groups": "decoder_calibration.aggregate_diagnostics.local_groups[]", "p2_passes": "cpu_limit.passes[]", "p2_samples": "cpu_limit.passes[].samples[]",
+    "p2_files": "evidence.input.files[]", "p2_chunks": "evidence.input.files[].chunks[]", "p2_reviews": "reviews[]",
+}
+
+
+def _p2_nodes(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     reports = table(spark, d, "run_reports")
     schema = merged_schema(reports, "report")
-    return flat_table(nested_nodes(reports, schema=schema), "decoder_calibration\u0001candidates[]", schema)
+    return nested_nodes(reports, schema=schema, roots=True), schema
+
+
+def _p2_table(name: str):  # noqa: ANN202
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        nodes, schema = _p2_nodes(spark, d)
+        return flat_table(nodes, P2_TABLES[name].replace(".", "\u0001"), schema)
+
+    run.__name__, run.__doc__ = name, f"The flat table of kind {P2_TABLES[name] or 'run'}, linked to its parents."
+    return run
+
+
+def p2_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the runs and of every kind in the merged schema, with their columns as JSON."""
+    return flat_rows(*_p2_nodes(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +103,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_kinds, p2_candidates, p6_found, p6_turns, p6_predictions, p6_report, p7_found, p7_totals)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_kinds, p2_tables, *map(_p2_table, P2_TABLES), p6_found, p6_turns, p6_predictions, p6_report, p7_found, p7_totals)}
 
 
 def sql_plain(column: str) -> str:
