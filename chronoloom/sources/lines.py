@@ -90,9 +90,11 @@ def classify_lines(lines: DataFrame, raw: str = "raw", fmt: str = "fmt") -> Data
     fields = F.when(F.col(fmt) == "rttm", F.split(F.trim(text, F.lit(" \t")), "[ \t]+"))
     pieces = F.split(text, '"', -1)
     head = ",".join(PRED_COLUMNS)
-    # the CSV reader holds 20,480 columns at most; lines beyond the counted bound fail by count or quoting unread
+    # the CSV reader holds 20,480 columns at most; lines beyond the counted bound fail by count or quoting unread.
+    # Commas inside quotes part no columns, but only where the quoting is sound
     commas = F.length(text) - F.length(F.translate(text, ",", ""))
-    parsed = F.when(F.col(fmt) == "pred", F.from_csv(F.when(commas < READER_COLUMNS, text), _SCHEMA, _CSV))
+    readable = (commas < READER_COLUMNS) | (well_quoted(pieces) & (comma_fields(pieces) < READER_COLUMNS))
+    parsed = F.when(F.col(fmt) == "pred", F.from_csv(F.when(readable, text), _SCHEMA, _CSV))
     p = F.col("parsed")
     values = (
         F.coalesce(p["audio_id"].rlike(FILE_ID), F.lit(False))
