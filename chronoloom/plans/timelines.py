@@ -134,7 +134,7 @@ def overlapped_recordings(spark: SparkSession, d: str) -> DataFrame:
     return _cells(spark, d).where("r0 = 1 AND r1 = 1").select("recording").distinct()
 
 
-@query("SELECT recording, row_id, unnest(list_sort(list_distinct(list_concat(range(start_us, greatest(start_us, end_us - 10000000) + 1, 5000000), [greatest(start_us, end_us - 10000000)])))) AS window_us FROM scope")
+@query("SELECT recording, row_id, unnest(list_sort(list_distinct(list_concat(range(start_us, greatest(start_us, end_us - 10000000) + 1, 1000000), [greatest(start_us, end_us - 10000000)])))) AS window_us FROM scope")
 def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return scope(spark, d).select("recording", "row_id", F.explode(I.window_starts(F.col("start_us"), F.col("end_us"), 10_000_000, 1_000_000)).alias("window_us"))
 
@@ -216,10 +216,16 @@ def corpus_subgroups(spark: SparkSession, d: str) -> DataFrame:
     return S.subgroup_scores(_scores(spark, d).withColumn("channel", F.split_part("recording", F.lit("/"), F.lit(2))), ["channel", "swapped"])
 
 
-@query(_SCORES + """, p AS (SELECT der, row_number() OVER (ORDER BY sha256(recording), recording) - 1 AS k, count(*) OVER () AS n FROM scores),
-dr AS (SELECT i.i, CAST(('0x' || substr(sha256('7:' || i.i || ':' || j.j), 1, 15)) AS BIGINT) % (SELECT count(*) FROM scores) AS k FROM range(100) i(i), range((SELECT count(*) FROM scores)) j(j)),
+@query(_SCORES + """, p AS (SELECT der, row_number() OVER (ORDER BY recording) - 1 AS k FROM scores), t AS (SELECT count(*) AS n FROM scores),
+dr AS (SELECT i.i, CAST(CAST(('0x' || substr(sha256('17029:' || i.i || ':' || j.j || ':' || t.n), 1, 16)) AS UBIGINT) % t.n AS BIGINT) AS k FROM t, range(2000) i(i), range(t.n) j(j)),
 b AS (SELECT i, avg(der) AS m FROM dr JOIN p USING (k) GROUP BY i)
-SELECT (SELECT count(*) FROM scores) AS n, (SELECT round(avg(der), 9) FROM scores) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM b""")
+SELECT (SELECT n FROM t) AS n, (SELECT round(avg(der), 9) FROM scores) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM b""")
+def bootstrap_der_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Interval of the mean error rate of the recordings."""
+    return S.bootstrap_ci(_scores(spark, d), "der")
+
+
+@query()
 def bootstrap_der_ci(spark: SparkSession, d: str) -> DataFrame:
     """Intervals of the scorer's metrics, recordings resampled 2,000 times."""
     inside = scope(spark, d)

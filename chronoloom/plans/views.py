@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
-from chronoloom.operators.intervals import MINUTE_US  # noqa: F401
 from chronoloom.operators.periods import usable
 from chronoloom.plans.training_data import sql_plain, table
 
 WORD_US = 300_000
-MOST_WORDS = 40  # of the SQL view alone, which ends each turn's words there; words() lays a turn to its end
 
 
 def ref_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +54,7 @@ hyp AS (SELECT row_id, recording, CASE WHEN row_id % 13 = 0 THEN 'UNKNOWN' WHEN
   FROM (SELECT row_id, recording, label, greatest(0, start_us + (row_id % 7 - 3) * 100000) AS s, end_us - start_us AS n FROM ref)),
 scope AS (SELECT row_id, concat_ws('/', file_id, channel) AS recording, start_us, end_us FROM uem WHERE start_us IS NOT NULL AND end_us > start_us),
 words AS (SELECT recording, label, row_id || '-' || k AS word_id, start_us + k * {WORD_US} AS start_us, start_us + (k + 1) * {WORD_US} AS end_us, 'w' || ((row_id * 31 + k) % 97) AS text
-  FROM (SELECT *, unnest(range(least({MOST_WORDS}, (end_us - start_us) // {WORD_US}))) AS k FROM ref)),
+  FROM (SELECT *, unnest(range((end_us - start_us) // {WORD_US})) AS k FROM ref)),
 frames AS (SELECT l_suppkey AS recording, k * 32000 AS start_us, (k + 1) * 32000 AS end_us, p FROM (SELECT l_suppkey, round(CAST(l_discount AS DOUBLE) * 10, 1) AS p,
   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) - 1 AS k FROM lineitem))"""
 
