@@ -6,24 +6,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.intervals import interval_join
+from chronoloom.operators.blocked import scanned
+from chronoloom.operators.intervals import interval_join, points_inside
+from chronoloom.operators.periods import HOUR_US
 
 
-def change_points(turns: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """Starts where the label was not active before: (keys, at_us, label).
+def change_points(turns: DataFrame, keys: list[str], label: str = "label", scope: DataFrame | None = None, width: int = HOUR_US) -> DataFrame:
+    """Starts where the label was not active before: (keys, at_us, label), inside *scope* if one is given.
 
     Before a point are the turns that began earlier. Those that reach it are active; a start is a
     change if none of them has its label. Where none reaches it, the labels that ended last count.
     A first start is no change. Two running maxima of the ends decide: of all labels and of the own.
     """
-    w = Window.partitionBy(*keys).orderBy("start_us").rangeBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy(*keys, label).orderBy("start_us").rangeBetween(Window.unboundedPreceding, -1)
-    t = turns.select(*keys, "start_us", "end_us", label).withColumn("_all", F.max("end_us").over(w)).withColumn("_own", F.coalesce(F.max("end_us").over(own), F.lit(-(1 << 62))))
+    own = turns.where("start_us IS NOT NULL").groupBy(*keys, label, "start_us").agg(F.max("end_us").alias("_e"))
+    own = scanned(own, [*keys, label], "start_us", [], width, top_before={"_own": F.col("_e")})
+    whole = turns.where("start_us IS NOT NULL").groupBy(*keys, "start_us").agg(F.max("end_us").alias("_e"))
+    whole = scanned(whole, keys, "start_us", [], width, top_before={"_all": F.col("_e")}).where("_all IS NOT NULL").drop("_e")
+    t = own.join(whole, [*keys, "start_us"]).withColumn("_own", F.coalesce("_own", F.lit(-(1 << 62))))
     changed = F.when(F.col("_all") >= F.col("start_us"), F.col("_own") < F.col("start_us")).otherwise(F.col("_own") < F.col("_all"))
-    return t.where(F.col("_all").isNotNull() & changed).select(*keys, F.col("start_us").alias("at_us"), label).distinct()
+    found = t.where(changed).select(*keys, F.col("start_us").alias("at_us"), label)
+    return found if scope is None else points_inside(found, scope, keys, "at_us")
 
 
-def as_of_next(points: DataFrame, turns: DataFrame, keys: list[str], at: str) -> DataFrame:
+def as_of_next(points: DataFrame, turns: DataFrame, keys: list[str], at: str, width: int = HOUR_US) -> DataFrame:
     """For each point the first turn that ends after it: next_row, next_label (null: none).
 
     Points and ends are sorted together once; the next end is the first that follows. Ties of ends
@@ -32,15 +37,14 @@ def as_of_next(points: DataFrame, turns: DataFrame, keys: list[str], at: str) ->
     p = points.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_side"), F.struct(*points.columns).alias("_p"), F.lit(None).cast("struct<r:bigint,l:string>").alias("_q"))
     q = turns.select(*keys, F.col("end_us").alias("_t"), F.lit(-1).alias("_side"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.struct(F.col("row_id").alias("r"), F.col("label").alias("l")).alias("_q"))
     # an end at the point itself is not after it, so ends sort before points of the same time
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_q").rowsBetween(1, Window.unboundedFollowing)
-    found = p.unionByName(q).withColumn("_n", F.first("_q", True).over(w)).where("_side = 0")
+    found = scanned(p.unionByName(q), keys, "_t", ["_side", "_q"], width, after={"_n": F.col("_q")}).where("_side = 0")
     return found.select("_p.*", F.col("_n.r").alias("next_row"), F.col("_n.l").alias("next_label"))
 
 
-def runs_of(rows: DataFrame, keys: list[str], label: str, wanted: str) -> DataFrame:
+def runs_of(rows: DataFrame, keys: list[str], label: str, wanted: str, width: int = HOUR_US) -> DataFrame:
     """Consecutive rows of one label: keys, start_us, end_us, n, total_us."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "row_id")
-    marked = rows.withColumn("_f", F.when(F.lag(label).over(w) == F.col(label), 0).otherwise(1)).withColumn("_r", F.sum("_f").over(w))
+    near = scanned(rows, keys, "start_us", ["row_id"], width, lag={"_l": F.col(label)})
+    marked = scanned(near.withColumn("_f", F.when(F.col("_l") == F.col(label), 0).otherwise(1)), keys, "start_us", ["row_id"], width, total={"_r": F.col("_f")})
     return marked.where(F.col(label) == wanted).groupBy(*keys, "_r").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n"), F.sum(F.col("end_us") - F.col("start_us")).alias("total_us")).drop("_r")
 
 
@@ -75,11 +79,10 @@ def flexible_us(text: Column, name: str) -> Column:
 
 def window_features(samples: DataFrame, keys: list[str], size: int) -> DataFrame:
     """Per window of *size* samples: root mean square, zero-crossing rate, mean absolute step."""
-    w = Window.partitionBy(*keys).orderBy("k")
-    s = samples.withColumn("_p", F.lag("x").over(w)).withColumn("window", F.floor(F.col("k") / size))
-    inside = F.floor((F.col("k") - 1) / size) == F.col("window")
-    crossed = F.when(inside & (F.col("x") * F.col("_p") < 0), 1).otherwise(0)
-    step = F.when(inside, F.abs(F.col("x") - F.col("_p")))
+    s = samples.withColumn("window", F.floor(F.col("k") / size))
+    s = s.withColumn("_p", F.lag("x").over(Window.partitionBy(*keys, "window").orderBy("k")))
+    crossed = F.when(F.col("x") * F.col("_p") < 0, 1).otherwise(0)
+    step = F.abs(F.col("x") - F.col("_p"))
     return s.groupBy(*keys, "window").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("x") * F.col("x"))), 9).alias("rms"), F.round(F.sum(crossed) / F.count("*"), 9).alias("zcr"), F.round(F.coalesce(F.avg(step), F.lit(0.0)), 9).alias("step"))
 
 
@@ -94,15 +97,16 @@ def overlap_added(frames: DataFrame, keys: list[str], value: str, size: int, shi
     return wins.groupBy(*keys, "start_us").agg(F.round(F.sum(weight * scored) / F.sum(weight), 6).alias("mean"), F.count("*").alias("n_windows"))
 
 
-def scheduled(rows: DataFrame, keys: list[str], row: str = "row_id") -> DataFrame:
+def scheduled(rows: DataFrame, keys: list[str], row: str = "row_id", width: int = HOUR_US) -> DataFrame:
     """A largest set of rows that do not overlap: earliest end first, ties by row.
 
-    Rows of different islands of overlap cannot conflict, so each island is scheduled on its own.
+    Rows of different islands of overlap cannot conflict, so each island is scheduled on its own; an
+    island is named by the start of its first row.
     """
-    w = Window.partitionBy(*keys).orderBy("start_us", "end_us", row)
-    reach = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = rows.select(*keys, "start_us", "end_us", F.col(row).alias("row_id")).withColumn("_m", reach)
-    island = island.withColumn("_i", F.sum(F.when(F.col("start_us") < F.col("_m"), 0).otherwise(1)).over(w)).drop("_m")
+    base = rows.select(*keys, "start_us", "end_us", F.col(row).alias("row_id"))
+    island = scanned(base, keys, "start_us", ["end_us", "row_id"], width, top_before={"_m": F.col("end_us")})
+    begins = F.when(F.coalesce(F.col("start_us") < F.col("_m"), F.lit(False)), F.lit(None)).otherwise(F.struct("start_us", "end_us", "row_id"))
+    island = scanned(island.withColumn("_s", begins).drop("_m"), keys, "start_us", ["end_us", "row_id"], width, top={"_i": F.col("_s")})
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         kept, free = [], None
@@ -112,7 +116,8 @@ def scheduled(rows: DataFrame, keys: list[str], row: str = "row_id") -> DataFram
                 free = e
         return pd.DataFrame({"row_id": kept})
 
-    lone = island.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_i")))
+    grouped = island.groupBy(*keys, "_i").agg(F.count("*").alias("_n"))
+    lone = island.join(grouped, [*keys, "_i"])
     return lone.where("_n = 1").select("row_id").unionByName(lone.where("_n > 1").groupBy(*keys, "_i").applyInPandas(choose, "row_id BIGINT"))
 
 

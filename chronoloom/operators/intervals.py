@@ -6,9 +6,10 @@ All intervals are half-open and in whole microseconds. Unions and cells of any n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.operators.blocked import scanned
 from chronoloom.operators.periods import HOUR_US, continuous_periods, sweep
 
 MINUTE_US = 60_000_000
@@ -105,22 +106,21 @@ def duration_class(size: Column) -> Column:
     return F.when(size >= 1_500_000, "ANCHOR").when(size >= 700_000, "SUPPORT").otherwise("MICRO")
 
 
-def padded(df: DataFrame, keys: list[str], pad_us: int, low: Column, high: Column) -> DataFrame:
+def padded(df: DataFrame, keys: list[str], pad_us: int, low: Column, high: Column, width: int = HOUR_US) -> DataFrame:
     """Disjoint regions padded on both sides; neighbours share a small gap, the left its lower half."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "end_us")
-    prev, after = F.lag("end_us").over(w), F.lead("start_us").over(w)
-    left_gap, right_gap = F.col("start_us") - prev, after - F.col("end_us")
+    near = scanned(df, keys, "start_us", ["end_us"], width, lag={"_p": F.col("end_us")}, lead={"_a": F.col("start_us")})
+    left_gap, right_gap = F.col("start_us") - F.col("_p"), F.col("_a") - F.col("end_us")
     left = F.when(left_gap < 2 * pad_us, left_gap - F.floor(left_gap / 2)).otherwise(F.lit(pad_us))
     right = F.when(right_gap < 2 * pad_us, F.floor(right_gap / 2)).otherwise(F.lit(pad_us))
-    return df.withColumn("_l", left).withColumn("_r", right).withColumn("padded_start_us", F.greatest(low, F.col("start_us") - F.col("_l"))).withColumn("padded_end_us", F.least(high, F.col("end_us") + F.col("_r"))).drop("_l", "_r")
+    return near.select(*df.columns, F.greatest(low, F.col("start_us") - left).alias("padded_start_us"), F.least(high, F.col("end_us") + right).alias("padded_end_us"))
 
 
-def label_runs(df: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
-    """Adjacent intervals of one label that touch become one; a recording is bounded by its length."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "end_us", label)
-    same = (F.lag(label).over(w) == F.col(label)) & (F.lag("end_us").over(w) >= F.col("start_us"))
-    run = F.sum(F.when(same, 0).otherwise(1)).over(w)
-    return df.withColumn("_r", run).groupBy(*keys, "_r", label).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).drop("_r")
+def label_runs(df: DataFrame, keys: list[str], label: str = "label", width: int = HOUR_US) -> DataFrame:
+    """Adjacent intervals of one label that touch become one; a run is named by the place where it begins."""
+    near = scanned(df, keys, "start_us", ["end_us", label], width, lag={"_l": F.col(label), "_e": F.col("end_us")})
+    same = F.coalesce((F.col("_l") == F.col(label)) & (F.col("_e") >= F.col("start_us")), F.lit(False))
+    counted = scanned(near.withColumn("_f", F.when(same, 0).otherwise(-1)).drop("_l", "_e"), keys, "start_us", ["end_us", label, "_f"], width, total={"_r": F.col("_f")})
+    return counted.groupBy(*keys, "_r", label).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n")).drop("_r")
 
 
 def with_silence(spans: DataFrame, bounds: DataFrame, keys: list[str], label: str = "NON_SPEECH") -> DataFrame:
@@ -142,7 +142,6 @@ def corrected(spans: DataFrame, corrections: DataFrame, keys: list[str], open_la
     return spans.where(F.col("label") != open_label).select(*names).unionByName(human.select(*names)).unionByName(rest.select(*names))
 
 
-def order_faults(df: DataFrame, keys: list[str]) -> DataFrame:
+def order_faults(df: DataFrame, keys: list[str], width: int = HOUR_US) -> DataFrame:
     """Intervals that begin before their predecessor ended, in order of start and end."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "end_us").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_e", F.max("end_us").over(w)).where("start_us < _e").drop("_e")
+    return scanned(df, keys, "start_us", ["end_us"], width, top_before={"_e": F.col("end_us")}).where("start_us < _e").drop("_e")

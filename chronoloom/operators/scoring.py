@@ -12,6 +12,8 @@ from chronoloom.session import cut
 
 REF = ("REF_00", "REF_01")
 HYP = ("A", "B")
+#: Labels that name no speaker and are scored as silence.
+NEUTRAL = ("UNKNOWN", "NON_SPEECH", "OVERLAP", "OTHER")
 #: Least time of a speaker who counts; recordings that are broadcast at most.
 FLOOR_US, MOST_BROADCAST = 250_000, 50_000
 
@@ -29,12 +31,34 @@ def f_scores(tp: Column, fp: Column, fn: Column) -> list[Column]:
     return [one(ratio(tp, tp + fp)).alias("precision"), one(ratio(tp, tp + fn)).alias("recall"), one(ratio(2 * tp, 2 * tp + fp + fn)).alias("f1")]
 
 
+def label_faults(ref: DataFrame, hyp: DataFrame, keys: list[str], ref_labels: tuple[str, ...] = REF, hyp_labels: tuple[str, ...] = HYP, neutral: tuple[str, ...] = NEUTRAL) -> DataFrame:
+    """Labels of a recording that the two-label scorer cannot take: keys, side, label, n_rows.
+
+    A label is one if it is neither among the two of its side nor *neutral*; null labels count as one.
+    """
+    def odd(df: DataFrame, side: str, known: tuple[str, ...]) -> DataFrame:
+        strange = df.where(~F.coalesce(F.col("label").isin(*known, *neutral), F.lit(False)))
+        return strange.groupBy(*keys, "label").agg(F.count("*").alias("n_rows")).select(*keys, F.lit(side).alias("side"), "label", "n_rows")
+
+    return odd(ref, "reference", ref_labels).unionByName(odd(hyp, "hypothesis", hyp_labels))
+
+
+def scorable(rows: DataFrame, faults: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the recordings without :func:`label_faults`; the scorer takes no others."""
+    return rows.join(faults.select(*keys).distinct(), keys, "left_anti")
+
+
 def two_label_cells(ref: DataFrame, hyp: DataFrame, scope: DataFrame, keys: list[str], ref_labels: tuple[str, str] = REF, hyp_labels: tuple[str, str] = HYP) -> DataFrame:
-    """Atomic cells inside *scope* with r0, r1, h0, h1 (1 where the label is active) and dur."""
+    """Atomic cells inside *scope* with r0, r1, h0, h1 (1 where the label is active) and dur.
+
+    Recordings with a further label have no cells: they are in :func:`label_faults`, with the label.
+    """
     pick = lambda df, label: df.where(F.col("label") == label).select(*keys, "start_us", "end_us")
+    odd = lambda df, known: df.where(~F.coalesce(F.col("label").isin(*known, *NEUTRAL), F.lit(False))).select(*keys, "start_us", "end_us")
     cells = sweep({"r0": pick(ref, ref_labels[0]), "r1": pick(ref, ref_labels[1]), "h0": pick(hyp, hyp_labels[0]), "h1": pick(hyp, hyp_labels[1]), "u": scope.select(*keys, "start_us", "end_us")}, keys)
     flag = lambda c: F.when(F.col(c) > 0, 1).otherwise(0).alias(c)
-    return cells.where("u > 0 AND r0 + r1 + h0 + h1 > 0").select(*keys, "start_us", "end_us", *[flag(c) for c in ("r0", "r1", "h0", "h1")], (F.col("end_us") - F.col("start_us")).alias("dur"))
+    found = cells.where("u > 0 AND r0 + r1 + h0 + h1 > 0").select(*keys, "start_us", "end_us", *[flag(c) for c in ("r0", "r1", "h0", "h1")], (F.col("end_us") - F.col("start_us")).alias("dur"))
+    return scorable(found, odd(ref, ref_labels).unionByName(odd(hyp, hyp_labels)), keys)
 
 
 def cell_sums(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.blocked import counted_rank
+from chronoloom.operators.blocked import counted_rank, scanned
 
 
 def evenly_ranked(rows: DataFrame, strata: list[str], axis: str, order: list[str], take: int, width: float) -> DataFrame:
@@ -21,27 +21,26 @@ def best_within(rows: DataFrame, keys: list[str], weight: str, gain: str, row: s
     """0/1 knapsack per key: the rows of most gain whose weights fit *capacity_share* of the total.
 
     A sparse dynamic programme over distinct (weight, gain) states, dominated ones dropped, in one
-    grouped Arrow function a key. Ties go to the smaller weight, then to rows taken later.
+    grouped Arrow function a key. Of sets with equal gain (to 1e-12) the one whose row numbers come
+    first, compared from the first on, is taken.
     """
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         capacity = int(pdf["w"].sum() * capacity_share)
-        states: list[tuple[int, float, tuple | None]] = [(0, 0.0, None)]
+        # a state is (weight, gain, rows taken); it stays while no lighter or equal one is better
+        states: list[tuple[int, float, tuple[int, ...]]] = [(0, 0.0, ())]
         for i, (w, g) in enumerate(zip(pdf["w"], pdf["g"], strict=True)):
             if g <= 0 or w > capacity:
                 continue
-            more = [(a + int(w), b + g, (i, p)) for a, b, p in states if a + w <= capacity]
-            kept, best = [], -1.0
-            for s in sorted(states + more, key=lambda s: (s[0], -s[1])):
-                if s[1] > best + 1e-12:
+            more = [(a + int(w), b + g, (*c, i)) for a, b, c in states if a + w <= capacity]
+            kept: list[tuple[int, float, tuple[int, ...]]] = []
+            for s in sorted(states + more, key=lambda s: (s[0], -s[1], s[2])):
+                if not kept or s[1] > kept[-1][1] + 1e-12 or (s[1] > kept[-1][1] - 1e-12 and s[2] < kept[-1][2]):
                     kept.append(s)
-                    best = s[1]
             states = kept
-        at, chosen = max(states, key=lambda s: s[1])[2], []
-        while at:
-            chosen.append(at[0])
-            at = at[1]
-        return pdf.loc[sorted(chosen), ["id", "w", "g"]]
+        top = max(s[1] for s in states)
+        chosen = min(s[2] for s in states if s[1] > top - 1e-12)
+        return pdf.loc[list(chosen), ["id", "w", "g"]]
 
     ready = rows.select(*keys, F.col(row).cast("bigint").alias("id"), F.col(weight).cast("bigint").alias("w"), F.col(gain).cast("double").alias("g")).where("id IS NOT NULL AND w IS NOT NULL AND g IS NOT NULL AND w >= 0")
     return ready.groupBy(*keys).applyInPandas(solve, "id BIGINT, w BIGINT, g DOUBLE")
@@ -62,8 +61,19 @@ def first_best(arms: DataFrame, eligible: str, order: list, arm: str) -> DataFra
     return best.where("_b IS NOT NULL").select("_b.*").withColumnRenamed("_e", "accepted")
 
 
-def duplicate_risk(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Share of segments that overlap their predecessor or repeat its text."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "row_id")
-    risky = (F.col("start_us") < F.lag("end_us").over(w)) | (F.col(text) == F.lag(text).over(w))
-    return rows.select(*keys, F.coalesce(risky, F.lit(False)).alias("_r")).groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(F.col("_r"), 1)).alias("n_risky"))
+def duplicate_risk(rows: DataFrame, keys: list[str], ref_chars: str | None = None, hyp_chars: str | None = None, width: int = 3_600_000_000) -> DataFrame:
+    """Risk of duplicated and of lost text per key: n, duplicate_risk, deletion_risk, both within 0 and 1.
+
+    Duplicate: the time that segments, by start and end, have in common with the next one, over the sum
+    of their lengths. Deletion: missing characters over expected ones, where a segment has both counts.
+    """
+    counted = F.lit(False) if ref_chars is None else F.col(ref_chars).isNotNull() & F.col(hyp_chars).isNotNull()
+    want, got = (F.lit(0), F.lit(0)) if ref_chars is None else (F.col(ref_chars), F.col(hyp_chars))
+    near = scanned(rows.where("start_us IS NOT NULL AND end_us IS NOT NULL"), keys, "start_us", ["end_us"], width, lead={"_n": F.struct("start_us", "end_us")})
+    shared = F.greatest(F.lit(0), F.least(F.col("end_us"), F.col("_n.end_us")) - F.greatest(F.col("start_us"), F.col("_n.start_us")))
+    sums = near.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("_n").isNotNull(), shared).otherwise(0)).alias("_o"), F.sum(F.col("end_us") - F.col("start_us")).alias("_s"),
+        F.sum(F.when(counted, F.greatest(F.lit(0), want - got)).otherwise(0)).alias("_m"), F.sum(F.when(counted, want).otherwise(0)).alias("_e"),
+    )
+    share = lambda a, b: F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))), 9)
+    return sums.select(*keys, "n", share("_o", "_s").alias("duplicate_risk"), share("_m", "_e").alias("deletion_risk"))

@@ -2,57 +2,79 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, upto
+from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, scanned, upto, with_halo
+from chronoloom.operators.periods import HOUR_US
 from chronoloom.session import cut
 
 
-def hysteresis_regions(frames: DataFrame, keys: list[str], p: str = "p", on: float = 0.5, off: float = 0.35, min_silence_us: int = 100_000) -> DataFrame:
-    """Core regions of a two-threshold state machine over contiguous frames.
+def hysteresis_regions(frames: DataFrame, keys: list[str], p: str = "p", on: float = 0.5, off: float = 0.35, min_silence_us: int = 100_000, most_us: int | None = None, width: int = HOUR_US) -> DataFrame:
+    """Core regions of a two-threshold state machine over contiguous frames: keys, start_us, end_us, n_frames.
 
     A frame at or over *on* opens; frames under *off* are silence, and the region closes, at the start
     of that silence, on the first later frame that begins *min_silence_us* or more after it. Without a
     fold: silences are runs between louder frames, so the state at a frame is the latest of the last
-    opening and the last closing, two running maxima.
+    opening and the last closing, two running maxima, and the last closing names the region.
+
+    A region longer than *most_us* is cut at every multiple of it from its start (n_frames is then that
+    of the whole region); frames are taken to be no longer than that. Defined cases: frames without a
+    start or p are ignored; a key of one frame is a region if the frame opens; no frames, no regions.
     """
-    w = Window.partitionBy(*keys).orderBy("start_us")
-    loud = F.max(F.when(F.col(p) >= off, F.col("end_us"))).over(upto(w))
-    f = frames.withColumn("_quiet", F.col(p) < off).withColumn("_last_loud", loud)
-    first = F.min("start_us").over(Window.partitionBy(*keys))
-    f = f.withColumn("_since", F.when(F.col("_quiet"), F.coalesce("_last_loud", first)))
-    f = f.withColumn("_opens", F.max(F.when(F.col(p) >= on, F.col("start_us"))).over(upto(w)))
-    f = f.withColumn("_closes", F.max(F.when(F.col("_quiet") & (F.col("start_us") - F.col("_since") >= min_silence_us), F.col("start_us"))).over(upto(w)))
-    f = f.withColumn("_on", F.col("_opens").isNotNull() & (F.col("_closes").isNull() | (F.col("_opens") > F.col("_closes"))))
-    run = F.sum(F.when(F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False)), 1).otherwise(0)).over(upto(w))
-    return (
-        f.withColumn("_r", run).where("_on").groupBy(*keys, "_r")
-        .agg(F.min("start_us").alias("start_us"), F.max(F.when(~F.col("_quiet"), F.col("end_us"))).alias("end_us"), F.count("*").alias("n_frames")).drop("_r")
+    f = frames.where(F.col("start_us").isNotNull() & F.col(p).isNotNull()).withColumn("_quiet", F.col(p) < off)
+    f = scanned(f, keys, "start_us", ["end_us"], width, top={"_loud": F.when(F.col(p) >= off, F.col("end_us")), "_first": -F.col("start_us")})
+    since = F.coalesce("_loud", -F.col("_first"))
+    opens = F.when(F.col(p) >= on, F.col("start_us"))
+    closes = F.when(F.col("_quiet") & (F.col("start_us") - since >= min_silence_us), F.col("start_us"))
+    f = scanned(f, keys, "start_us", ["end_us"], width, top={"_opens": opens, "_closes": closes})
+    found = (
+        f.where("_opens IS NOT NULL AND (_closes IS NULL OR _opens > _closes)").groupBy(*keys, "_closes")
+        .agg(F.min("start_us").alias("start_us"), F.max(F.when(~F.col("_quiet"), F.col("end_us"))).alias("end_us"), F.count("*").alias("n_frames")).drop("_closes")
     )
+    if most_us is None:
+        return found
+    cuts = found.withColumn("_s", F.explode(F.sequence(F.col("start_us"), F.col("end_us") - 1, F.lit(most_us).cast("bigint"))))
+    return cuts.select(*keys, F.col("_s").alias("start_us"), F.least(F.col("_s") + most_us, "end_us").alias("end_us"), "n_frames")
 
 
-def context_change(frames: DataFrame, keys: list[str], value: str, context: int = 15) -> DataFrame:
+def context_change(frames: DataFrame, keys: list[str], value: str, context: int = 15, width: int = HOUR_US) -> DataFrame:
     """Adds ``change``: difference of the means of the *context* frames after and before each frame."""
-    w = Window.partitionBy(*keys).orderBy("start_us")
+    spread, w = with_halo(frames, keys, "start_us", ["end_us"], width, context, context - 1)
     left, right = F.avg(value).over(w.rowsBetween(-context, -1)), F.avg(value).over(w.rowsBetween(0, context - 1))
-    return frames.withColumn("change", F.round(F.abs(right - left), 9))
+    return spread.withColumn("change", F.round(F.abs(right - left), 9)).where("_own").select(*frames.columns, "change")
 
 
-def separated_peaks(events: DataFrame, keys: list[str], score: str, threshold: float, separation_us: int) -> DataFrame:
+def separated_peaks(events: DataFrame, keys: list[str], score: str, threshold: float, separation_us: int, width: int = HOUR_US) -> DataFrame:
     """Local maxima over *threshold*, the strongest kept first and none within *separation_us* of a kept one.
 
-    Peaks further apart cannot affect each other, so clusters of near peaks are thinned on their own,
-    each by a fold over its peaks in order of score and time.
+    Peaks further apart cannot affect each other, so chains of near peaks are thinned on their own, each
+    by one pass in order of score and time that looks at the two kept neighbours alone (two numbers a
+    peak; a chain is one task). Ties go to the earlier peak; rows without a score are no peaks.
     """
-    w = Window.partitionBy(*keys).orderBy("start_us")
-    before_, after = F.lag(score).over(w), F.lead(score).over(w)
-    peaks = events.withColumn("_a", before_).withColumn("_b", after).where((F.col(score) >= threshold) & F.coalesce(F.col(score) >= F.col("_a"), F.lit(True)) & F.coalesce(F.col(score) > F.col("_b"), F.lit(True)))
-    cluster = F.sum(F.when(F.col("start_us") - F.lag("start_us").over(w) < separation_us, 0).otherwise(1)).over(w)
-    grouped = peaks.withColumn("_c", cluster).groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col("start_us").cast("bigint").alias("t")))).alias("peaks"))
-    kept = F.aggregate("peaks", F.expr("CAST(array() AS ARRAY<BIGINT>)"), lambda acc, x: F.when(F.exists(acc, lambda t: F.abs(t - x["t"]) < separation_us), acc).otherwise(F.array_append(acc, x["t"])))
-    return grouped.select(*keys, F.explode(kept).alias("at_us"))
+    x = F.col(score).cast("double")
+    near = scanned(events.where(F.col("start_us").isNotNull()).select(*keys, F.col("start_us").cast("bigint").alias("start_us"), x.alias("_s")), keys, "start_us", ["_s"], width, lag={"_a": F.col("_s")}, lead={"_b": F.col("_s")})
+    peaks = near.where((F.col("_s") >= threshold) & F.coalesce(F.col("_s") >= F.col("_a"), F.lit(True)) & F.coalesce(F.col("_s") > F.col("_b"), F.lit(True))).drop("_a", "_b")
+    chained = scanned(peaks, keys, "start_us", ["_s"], width, lag={"_p": F.col("start_us")})
+    marked = chained.withColumn("_f", F.when(F.col("start_us") - F.col("_p") < separation_us, F.lit(None)).otherwise(F.col("start_us")))
+    grouped = scanned(marked, keys, "start_us", ["_s"], width, top={"_chain": F.col("_f")}).groupBy(*keys, "_chain").agg(F.sort_array(F.collect_list(F.struct((-F.col("_s")).alias("s"), F.col("start_us").alias("t")))).alias("peaks"))
+
+    @F.pandas_udf("array<bigint>")
+    def kept(lists: pd.Series) -> pd.Series:
+        def one(peaks):  # noqa: ANN001, ANN202
+            held: list[int] = []
+            for x in peaks:
+                k = bisect.bisect_left(held, x["t"])
+                if (k == len(held) or held[k] - x["t"] >= separation_us) and (k == 0 or x["t"] - held[k - 1] >= separation_us):
+                    held.insert(k, x["t"])
+            return held
+
+        return lists.map(one)
+
+    return grouped.select(*keys, F.explode(kept("peaks")).alias("at_us"))
 
 
 def speaker_turns(words: DataFrame, keys: list[str], label: str = "word_label", gap_us: int = 1_000_000, width: int = 3_600_000_000) -> DataFrame:
@@ -74,82 +96,107 @@ def speaker_turns(words: DataFrame, keys: list[str], label: str = "word_label",
     return turns.groupBy(*keys, "turn", F.col(label).alias("label")).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n_words"), said.alias("text"))
 
 
-def neighbour_consensus(rows: DataFrame, keys: list[str], label: str, unknown: str, max_gap_us: int) -> DataFrame:
+def neighbour_consensus(rows: DataFrame, keys: list[str], label: str, unknown: str, max_gap_us: int, width: int = HOUR_US) -> DataFrame:
     """Unknown rows whose nearest known neighbours on both sides agree within *max_gap_us*."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "row_id")
     known = F.when(F.col(label) != unknown, F.struct(F.col(label).alias("l"), "start_us", "end_us"))
-    left, right = F.last(known, True).over(before(w)), F.first(known, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    both = rows.withColumn("_l", left).withColumn("_r", right).where(F.col(label) == unknown)
+    both = scanned(rows, keys, "start_us", ["row_id"], width, last={"_l": known}, after={"_r": known}).where(F.col(label) == unknown)
     near = (F.col("start_us") - F.col("_l.end_us") <= max_gap_us) & (F.col("_r.start_us") - F.col("end_us") <= max_gap_us)
     return both.where((F.col("_l.l") == F.col("_r.l")) & near).select(*rows.columns, F.col("_l.l").alias("consensus"))
 
 
-def transition_costs(rows: DataFrame, keys: list[str], base: float = 0.35, reset_us: int = 1_500_000, relief_us: int = 500_000) -> DataFrame:
-    """Adds ``switch_cost``: *base*, less in proportion to the pause before, 0 from *reset_us* on."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "row_id")
-    gap = F.col("start_us") - F.lag("end_us").over(w)
-    return rows.withColumn("gap_us", gap).withColumn("switch_cost", F.when(F.col("gap_us").isNull() | (F.col("gap_us") >= reset_us), F.lit(0.0)).otherwise(F.round(F.lit(base) * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("gap_us")) / F.lit(2 * relief_us))), 9)))
+def transition_costs(rows: DataFrame, keys: list[str], base: float = 0.35, reset_us: int = 1_500_000, relief_us: int = 500_000, width: int = HOUR_US) -> DataFrame:
+    """Adds ``gap_us`` and ``switch_cost``: *base*, less in proportion to the pause before, 0 from *reset_us* on."""
+    gapped = scanned(rows, keys, "start_us", ["row_id"], width, lag={"gap_us": F.col("end_us")}).withColumn("gap_us", F.col("start_us") - F.col("gap_us"))
+    return gapped.withColumn("switch_cost", F.when(F.col("gap_us").isNull() | (F.col("gap_us") >= reset_us), F.lit(0.0)).otherwise(F.round(F.lit(base) * (1 - F.least(F.lit(1.0), F.greatest(F.lit(0), F.col("gap_us")) / F.lit(2 * relief_us))), 9)))
+
 
+def label_transition(previous: Column, current: Column, gap_us: Column, scd: Column, base: float = 0.35, scd_relief: float = 0.2, gap_relief: float = 0.1, uncertain: float = 0.12, reset_us: int = 1_500_000, speakers: tuple[str, ...] = ("A", "B")) -> Column:
+    """Cost of going from one label to the next: 0 after a long pause and for the same label.
 
-def decoded_labels(rows: DataFrame, keys: list[str], emissions: dict[str, Column], reset_us: int = 1_500_000, cost: str = "switch_cost", row: str = "row_id") -> DataFrame:
+    Between speakers *base* less the relief of a change probe (*scd*, null: 0) and of the pause, never
+    below 0; from or to any other label *uncertain*.
+    """
+    gap = F.greatest(F.lit(0), gap_us)
+    relief = F.lit(scd_relief) * F.coalesce(scd, F.lit(0.0)) + F.lit(gap_relief) * F.least(F.lit(1.0), gap / F.lit(max(1, reset_us)))
+    return F.when(gap >= reset_us, 0.0).when(previous == current, 0.0).when(previous.isin(*speakers) & current.isin(*speakers), F.greatest(F.lit(0.0), F.lit(base) - relief)).otherwise(F.lit(uncertain))
+
+
+def decoded_labels(rows: DataFrame, keys: list[str], emissions: dict[str, Column], reset_us: int = 1_500_000, cost: str = "switch_cost", row: str = "row_id", width: int = HOUR_US) -> DataFrame:
     """Cheapest label sequence of each piece of a recording: emissions plus switch costs (row_id, label).
 
     A pause of *reset_us* makes every switch free, so pieces between such pauses are decoded apart, by
-    one grouped Arrow function each; ties prefer the label first in *emissions*. A recording never
-    has to be in one task.
+    one grouped Arrow function each; a piece without such a pause is one task. Of predecessors, and of
+    last labels, that cost the same UNKNOWN is taken first, then the smaller label.
     """
-    w = Window.partitionBy(*keys).orderBy("start_us", row)
-    piece = F.sum(F.when(F.col("start_us") - F.lag("end_us").over(w) < reset_us, 0).otherwise(1)).over(upto(w))
-    labels = list(emissions)
-    ready = rows.withColumn("_piece", piece).select(*keys, "_piece", "start_us", F.col(row).alias("row_id"), F.col(cost).alias("_cost"), *[e.cast("double").alias(f"_e{k}") for k, e in enumerate(emissions.values())])
+    paused = scanned(rows, keys, "start_us", [row], width, lag={"_pe": F.col("end_us")})
+    opens = F.when(F.coalesce(F.col("start_us") - F.col("_pe") < reset_us, F.lit(False)), F.lit(None)).otherwise(F.struct("start_us", row))
+    pieces = scanned(paused.withColumn("_opens", opens), keys, "start_us", [row], width, top={"_piece": F.col("_opens")})
+    labels = sorted(emissions, key=lambda x: (x != "UNKNOWN", x))
+    ready = pieces.select(*keys, "_piece", "start_us", F.col(row).alias("row_id"), F.col(cost).alias("_cost"), *[emissions[x].cast("double").alias(f"_e{k}") for k, x in enumerate(labels)])
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start_us", "row_id"])
         e = pdf[[f"_e{k}" for k in range(len(labels))]].to_numpy()
         switch = pdf["_cost"].to_numpy()
-        best, back = e[0].copy(), []
+        best, back = e[0].tolist(), []
         for t in range(1, len(e)):
-            cheapest = int(best.argmin())
-            stay = best <= best[cheapest] + switch[t]
-            back.append([k if stay[k] else cheapest for k in range(len(labels))])
-            best = [min(best[k], best[cheapest] + switch[t]) for k in range(len(labels))] + e[t]
-        at = int(best.argmin())
+            # labels stand in order of preference, so the first of equals is the one to take
+            options = [[best[a] + (0.0 if a == b else switch[t]) + e[t][b] for a in range(len(labels))] for b in range(len(labels))]
+            back.append([o.index(min(o)) for o in options])
+            best = [min(o) for o in options]
+        at = best.index(min(best))
         path = [at]
         for b in reversed(back):
             at = b[at]
             path.append(at)
-        return pd.DataFrame({"row_id": pdf["row_id"], "label": [labels[k] for k in reversed(path)], "cost": float(best.min())})
+        return pd.DataFrame({"row_id": pdf["row_id"], "label": [labels[k] for k in reversed(path)], "cost": float(min(best))})
 
     return ready.groupBy(*keys, "_piece").applyInPandas(decode, "row_id BIGINT, label STRING, cost DOUBLE")
 
 
-def isolated_runs(rows: DataFrame, keys: list[str], label: str, most_us: int, unknown: str) -> DataFrame:
-    """Single rows no longer than *most_us* between equal neighbours of another label become *unknown*."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "row_id")
-    lone = (F.lag(label).over(w) == F.lead(label).over(w)) & (F.lag(label).over(w) != F.col(label)) & (F.col("end_us") - F.col("start_us") <= most_us)
-    return rows.withColumn(label, F.when(lone, unknown).otherwise(F.col(label)))
+def isolated_runs(rows: DataFrame, keys: list[str], label: str, most_us: int, unknown: str, speakers: tuple[str, ...] | None = None, width: int = HOUR_US) -> DataFrame:
+    """Single rows no longer than *most_us* between equal neighbours of another label become *unknown*.
 
-
-def interleaving(rows: DataFrame, keys: list[str], label: str, first: str, second: str) -> DataFrame:
+    Taken from left to right in place: a row just made *unknown* is what the next one has before it. So
+    whether a row changes depends on whether the one before did: always, never, likewise or the other
+    way round. Since the last row that does not depend on it, the number of turnings decides. Only
+    labels of *speakers* (None: any but *unknown*) change. Defined cases: the first and last row of a
+    key never change; rows without label neither change nor are equal to any; ties of start are ordered
+    by row_id.
+    """
+    x, at = F.col(label), ["row_id"]
+    spoken = x.isin(*speakers) if speakers else x != unknown
+    near = scanned(rows, keys, "start_us", at, width, lag={"_a": F.struct(x.alias("l"))}, lead={"_b": x}, total={"_at": F.lit(1).cast("bigint")})
+    can = spoken & (x != unknown) & (F.col("end_us") - F.col("start_us") <= most_us) & F.col("_a").isNotNull()
+    plain = F.coalesce(can & (F.col("_a.l") == F.col("_b")) & (F.col("_a.l") != x), F.lit(False))
+    after = F.coalesce(can & (F.col("_b") == unknown), F.lit(False))  # where the row before was just made unknown
+    near = near.withColumn("_c0", plain).withColumn("_c1", after).drop("_a", "_b")
+    turned = scanned(near, keys, "start_us", at, width, total={"_n": F.when(F.col("_c0") & ~F.col("_c1"), 1).otherwise(0)})
+    fixed = F.when(F.col("_c0") == F.col("_c1"), F.struct("_at", F.col("_c0").alias("v"), F.col("_n").alias("n")))
+    marked = scanned(turned, keys, "start_us", at, width, top={"_z": fixed})
+    odd = (F.pmod(F.col("_n") - F.coalesce("_z.n", F.lit(0)), F.lit(2)) == 1) != F.coalesce("_z.v", F.lit(False))
+    return marked.withColumn(label, F.when(odd, unknown).otherwise(x)).select(*rows.columns)
+
+
+def interleaving(rows: DataFrame, keys: list[str], label: str, first: str, second: str, width: int = HOUR_US) -> DataFrame:
     """Whether the labels of a recording change both ways: forth, back, both."""
-    w = Window.partitionBy(*keys).orderBy("start_us", "row_id")
-    prev = F.lag(label).over(w)
-    marked = rows.select(*keys, ((prev == first) & (F.col(label) == second)).alias("f"), ((prev == second) & (F.col(label) == first)).alias("b"))
+    before_ = scanned(rows, keys, "start_us", ["row_id"], width, lag={"_p": F.col(label)})
+    prev = F.col("_p")
+    marked = before_.select(*keys, ((prev == first) & (F.col(label) == second)).alias("f"), ((prev == second) & (F.col(label) == first)).alias("b"))
     forth, back = F.coalesce(F.bool_or("f"), F.lit(False)), F.coalesce(F.bool_or("b"), F.lit(False))
     return marked.groupBy(*keys).agg(forth.alias("forth"), back.alias("back"), (forth & back).alias("interleaved"))
 
 
-def counter_deltas(rows: DataFrame, keys: list[str], counter: str, at: str) -> DataFrame:
+def counter_deltas(rows: DataFrame, keys: list[str], counter: str, at: str, width: int = 24 * HOUR_US) -> DataFrame:
     """Adds ``delta`` of a counter to its predecessor; null at the first row and where it was reset."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    d = F.col(counter) - F.lag(counter).over(w)
-    return rows.withColumn("delta", F.when(d >= 0, d))
+    timed = rows.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    d = F.col(counter) - F.col("_p")
+    return scanned(timed, keys, "_t", [counter], width, lag={"_p": F.col(counter)}).withColumn("delta", F.when(d >= 0, d)).select(*rows.columns, "delta")
 
 
-def probe_discontinuities(rows: DataFrame, keys: list[str], vector: str, at: str, least: float = 0.2) -> DataFrame:
+def probe_discontinuities(rows: DataFrame, keys: list[str], vector: str, at: str, least: float = 0.2, width: int = 100_000) -> DataFrame:
     """Neighbouring probes whose cosine distance is *least* or more."""
     from chronoloom.operators.vectors import dot, unit
 
-    w = Window.partitionBy(*keys).orderBy(at)
-    near = rows.withColumn("_u", unit(F.col(vector))).withColumn("_v", F.lag("_u").over(w))
+    near = scanned(rows.withColumn("_u", unit(F.col(vector))), keys, at, [], width, lag={"_v": F.col("_u")})
     return near.withColumn("distance", F.round(1 - dot(F.col("_u"), F.col("_v")), 6)).where(F.col("distance") >= least).drop("_u", "_v")

@@ -81,25 +81,35 @@ def log_mel(samples: Column, rate: int = 16_000, bins: int = 80) -> Column:
     return run(samples)
 
 
-def mapped_points(points: DataFrame, segments: DataFrame, keys: list[str], at: str) -> DataFrame:
+def mapped_points(points: DataFrame, segments: DataFrame, keys: list[str], at: str, width: int = 3_600_000_000) -> DataFrame:
     """Points in view time moved to source time, by the first segment that holds them.
 
     *segments* (keys, view_start, view_end, source_start, source_end) do not overlap but may touch; a
     point at a seam takes the earlier one. Points in no segment are left out. Points and segment
     starts are sorted together once; the latest start is the segment, or, at a seam, the one before.
     """
-    from pyspark.sql import Window
-
     from chronoloom.functions.scalars import mapped_sample
+    from chronoloom.operators.blocked import scanned
 
     seg = F.struct("view_start", "view_end", "source_start", "source_end")
-    w0 = Window.partitionBy(*keys).orderBy("view_start")
-    s = segments.select(*keys, F.col("view_start").alias("_t"), seg.alias("_s"), F.lag(seg).over(w0).alias("_b"), F.lit(0).alias("_side"))
+    s = scanned(segments, keys, "view_start", ["view_end"], width, lag={"_b": seg}).select(*keys, F.col("view_start").alias("_t"), F.lit(0).alias("_side"), F.struct(seg.alias("_s"), F.col("_b")).alias("_q"))
     p = points.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_p"))
-    both = s.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_l", F.last(F.when(F.col("_side") == 0, F.struct("_s", "_b")), True).over(w)).where("_side = 1")
+    found = scanned(s.unionByName(p, allowMissingColumns=True), keys, "_t", ["_side"], width, last={"_l": F.col("_q")}).where("_side = 1")
     use = F.when(F.col("_l._b.view_end") == F.col("_t"), F.col("_l._b")).otherwise(F.col("_l._s"))
     held = found.withColumn("_u", use).where("_u IS NOT NULL AND _t <= _u.view_end")
     u = lambda n: F.col(f"_u.{n}")
     return held.select("_p.*", mapped_sample(F.col("_t"), u("view_start"), u("view_end"), u("source_start"), u("source_end")).alias("source_us"))
+
+
+def doubled(samples: DataFrame, keys: list[str], rows: int = 100_000) -> DataFrame:
+    """Twice the rate: between each sample (keys, k, x) and the next stands their mean, halves away from zero.
+
+    The last sample of a key is followed by itself. Samples are taken in blocks of *rows*.
+    """
+    from chronoloom.functions.scalars import half_away_mean
+    from chronoloom.operators.blocked import scanned
+
+    near = scanned(samples.select(*keys, "k", "x"), keys, "k", [], rows, lead={"_y": F.col("x")})
+    mean = half_away_mean(F.col("x"), F.coalesce("_y", "x"))
+    two = F.explode(F.array(F.struct((F.col("k") * 2).alias("k"), F.col("x").alias("x")), F.struct((F.col("k") * 2 + 1).alias("k"), mean.alias("x")))).alias("e")
+    return near.select(*keys, two).select(*keys, "e.k", "e.x")

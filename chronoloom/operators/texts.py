@@ -73,24 +73,52 @@ def speaker_texts(words: DataFrame, keys: list[str], label: str, order: list[str
     return words.groupBy(*keys, label).agg(F.array_join(F.transform(listed, lambda x: x["_t"]), " ").alias("text"), F.count("*").alias("n_words"))
 
 
+def cheapest_assignment(cost: list[list[int]]) -> int:
+    """Least total of a square cost matrix over all one-to-one assignments, in cubic time.
+
+    Rows are added one by one along a shortest augmenting path, with prices on rows and columns.
+    """
+    n = len(cost)
+    row_price, col_price, owner = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        slack, came, done = [float("inf")] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while owner[at]:
+            done[at] = True
+            r, step, to = owner[at], float("inf"), 0
+            for c in range(1, n + 1):
+                if not done[c]:
+                    d = cost[r - 1][c - 1] - row_price[r] - col_price[c]
+                    if d < slack[c]:
+                        slack[c], came[c] = d, at
+                    if slack[c] < step:
+                        step, to = slack[c], c
+            for c in range(n + 1):
+                if done[c]:
+                    row_price[owner[c]] += step
+                    col_price[c] -= step
+                else:
+                    slack[c] -= step
+            at = to
+        while at:
+            owner[at], at = owner[came[at]], came[at]
+    return sum(cost[owner[c] - 1][c - 1] for c in range(1, n + 1))
+
+
 def assigned_word_errors(rows: DataFrame, refs: str, hyps: str) -> DataFrame:
     """Adds errors, ref_words and rate: fewest word errors over all assignments of speakers.
 
-    *refs* and *hyps* are arrays of one text a speaker; the shorter is filled up with empty texts.
-    At most six speakers on either side, since every assignment is tried.
+    *refs* and *hyps* are arrays of one text a speaker, of any number; the shorter is filled up with
+    empty texts. The assignment is solved as such, not by trying all.
     """
-    from itertools import permutations
-
     @F.pandas_udf("errors BIGINT, ref_words BIGINT")
     def count(r: pd.Series, h: pd.Series) -> pd.DataFrame:
         out = []
         for a, b in zip(r, h, strict=True):
             x, y = [(t or "").split() for t in (a if a is not None else [])], [(t or "").split() for t in (b if b is not None else [])]
-            if max(len(x), len(y)) > 6:
-                raise ValueError("more than six speakers")
             x, y = x + [[]] * (len(y) - len(x)), y + [[]] * (len(x) - len(y))
             cost = [[sum(edit_counts(p, q)) for q in y] for p in x]
-            out.append((min(sum(cost[i][j] for i, j in enumerate(p)) for p in permutations(range(len(y)))), sum(map(len, x))))
+            out.append((cheapest_assignment(cost), sum(map(len, x))))
         return pd.DataFrame(out, columns=["errors", "ref_words"])
 
     got = rows.withColumn("_e", count(F.col(refs), F.col(hyps))).select(*rows.columns, "_e.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators import evidence as E
 from chronoloom.operators import scoring as S
 from chronoloom.operators import vectors as V
+from chronoloom.operators.blocked import counted_rank
 from chronoloom.operators.intervals import cut_regions, duration_class, interval_join
 from chronoloom.operators.sequences import hysteresis_regions
 from chronoloom.plans import tables as TB
@@ -30,10 +31,10 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-@query("""SELECT DISTINCT recording, start_us AS at_us, label FROM (SELECT *, max(end_us) OVER (PARTITION BY recording ORDER BY start_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, max(end_us) OVER (PARTITION BY recording, label ORDER BY start_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM ref)
-WHERE a IS NOT NULL AND CASE WHEN a >= start_us THEN coalesce(o, -1) < start_us ELSE coalesce(o, -1) < a END""")
+@query("""SELECT DISTINCT recording, start_us AS at_us, label FROM (SELECT *, EXISTS (SELECT 1 FROM scope s WHERE s.recording = ref.recording AND s.start_us <= ref.start_us AND ref.start_us < s.end_us) AS held, max(end_us) OVER (PARTITION BY recording ORDER BY start_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a, max(end_us) OVER (PARTITION BY recording, label ORDER BY start_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM ref)
+WHERE held AND a IS NOT NULL AND CASE WHEN a >= start_us THEN coalesce(o, -1) < start_us ELSE coalesce(o, -1) < a END""")
 def change_points(spark: SparkSession, d: str) -> DataFrame:
-    return E.change_points(ref_spans(spark, d), K)
+    return E.change_points(ref_spans(spark, d), K, scope=scope(spark, d))
 
 
 @query("SELECT h.row_id, h.recording, h.mid_us, r.row_id AS next_row, r.label AS next_label FROM (SELECT row_id, recording, (start_us + end_us) // 2 AS mid_us FROM hyp) h LEFT JOIN LATERAL (SELECT row_id, label FROM ref WHERE ref.recording = h.recording AND ref.end_us > h.mid_us ORDER BY end_us, row_id LIMIT 1) r ON true")
@@ -76,11 +77,9 @@ def window_features(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TB._SAMPLES}, f AS (SELECT recording, CAST(k // 20 AS BIGINT) AS w, avg(x * x) AS e FROM s GROUP BY 1, 2), m AS (SELECT recording, avg(e) AS m FROM f GROUP BY 1), a AS (SELECT *, e >= m AS act FROM f JOIN m USING (recording)), i AS (SELECT *, w - row_number() OVER (PARTITION BY recording ORDER BY w) AS g FROM a WHERE act) SELECT recording, min(w) AS first_window, max(w) AS last_window, count(*) AS n_windows FROM i GROUP BY recording, g")
 def energy_regions(spark: SparkSession, d: str) -> DataFrame:
     """Runs of windows at or over the recording's mean energy."""
-    from pyspark.sql import Window
-
     f = TB._samples(spark, d).groupBy("recording", F.floor(F.col("k") / 20).alias("w")).agg(F.avg(F.col("x") * F.col("x")).alias("e"))
     loud = f.join(f.groupBy("recording").agg(F.avg("e").alias("m")), "recording").where("e >= m")
-    runs = loud.withColumn("g", F.col("w") - F.row_number().over(Window.partitionBy("recording").orderBy("w")))
+    runs = counted_rank(loud, ["recording"], "w", [], 100_000, "_n").withColumn("g", F.col("w") - F.col("_n"))
     return runs.groupBy("recording", "g").agg(F.min("w").alias("first_window"), F.max("w").alias("last_window"), F.count("*").alias("n_windows")).drop("g")
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
-from chronoloom.functions.scalars import base32_id, half_away_mean, sample_to_us, softmax
+from chronoloom.functions.scalars import base32_id, sample_to_us, softmax
 from chronoloom.operators import selection as P
+from chronoloom.operators import signals as G
 from chronoloom.operators import sequences as Q
 from chronoloom.operators import texts as X
 from chronoloom.operators import vectors as V
+from chronoloom.operators.blocked import counted_rank
 from chronoloom.plans.training_data import sql_plain, table
 from chronoloom.plans.views import VIEWS, frames, hyp_spans, ref_spans
 from chronoloom.streaming.sessions import drained, sessions, streaming_hysteresis, windowed_counts
@@ -124,7 +126,9 @@ def conformal_labels(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select(F.col("o_orderpriority").alias("label"), F.col("o_totalprice").alias("score"))
     labels = orders.select("label").distinct()
     who = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") * 40).alias("score"))
-    return V.conformal_labels(orders, who.join(F.broadcast(labels.limit(1000))), 0.9, 10_000.0)
+    # every candidate is scored for every class: the classes come as one row, and are unfolded where the candidate lives
+    classes = labels.agg(F.array_sort(F.collect_set("label")).alias("_c"))
+    return V.conformal_labels(orders, who.join(F.broadcast(classes)).select("id", "score", F.explode("_c").alias("label")), 0.9, 10_000.0)
 
 
 @query("WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS b FROM lineitem) SELECT l_returnflag, count(*) AS n, round(corr(a, b), 6) AS rho FROM r GROUP BY 1")
@@ -188,11 +192,11 @@ def knapsack_pick(spark: SparkSession, d: str) -> DataFrame:
     return P.best_within(o, ["o_custkey"], "w", "g", "o_orderkey", 0.4)
 
 
-@query("WITH e AS (SELECT *, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 600000000) AS BIGINT) AS f FROM events), p AS (SELECT user_id, coalesce(s < lag(f) OVER w OR event_type = lag(event_type) OVER w, false) AS r FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id)) SELECT user_id, count(*) AS n, count(*) FILTER (WHERE r) AS n_risky FROM p GROUP BY 1")
+@query("WITH e AS (SELECT *, epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value * 600000000) AS BIGINT) AS f FROM events), p AS (SELECT *, lead(s) OVER w AS ns, lead(f) OVER w AS nf, CAST(event_id % 40 AS BIGINT) AS rc, CASE WHEN event_id % 9 <> 0 THEN CAST(event_id % 37 AS BIGINT) END AS hc FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, f)) SELECT user_id, count(*) AS n, round(least(1, coalesce(CAST(sum(CASE WHEN ns IS NULL THEN 0 ELSE greatest(0, least(f, nf) - greatest(s, ns)) END) AS DOUBLE) / nullif(CAST(sum(f - s) AS DOUBLE), 0), 0)), 9) AS duplicate_risk, round(least(1, coalesce(CAST(sum(CASE WHEN hc IS NULL THEN 0 ELSE greatest(0, rc - hc) END) AS DOUBLE) / nullif(CAST(sum(CASE WHEN hc IS NULL THEN 0 ELSE rc END) AS DOUBLE), 0), 0)), 9) AS deletion_risk FROM p GROUP BY 1")
 def duplicate_risk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("start_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    e = e.select("user_id", F.col("event_id").alias("row_id"), "event_type", "start_us", (F.col("start_us") + F.round(F.col("value") * 600_000_000).cast("bigint")).alias("end_us"))
-    return P.duplicate_risk(e, ["user_id"], "event_type")
+    e = e.select("user_id", "start_us", (F.col("start_us") + F.round(F.col("value") * 600_000_000).cast("bigint")).alias("end_us"), (F.col("event_id") % 40).cast("bigint").alias("rc"), F.when(F.col("event_id") % 9 != 0, (F.col("event_id") % 37).cast("bigint")).alias("hc"))
+    return P.duplicate_risk(e, ["user_id"], "rc", "hc", 24 * 3_600_000_000)
 
 
 @query(f"WITH k AS (SELECT 'session' AS kind, {sql_plain('session_id')} AS key, {sql_plain('split')} AS split FROM split_keys UNION ALL SELECT 'recording', {sql_plain('recording_id')}, {sql_plain('split')} FROM split_keys UNION ALL SELECT 'source', {sql_plain('source_recording_id')}, {sql_plain('split')} FROM split_keys UNION ALL SELECT 'group', {sql_plain('augmentation_group')}, {sql_plain('split')} FROM split_keys UNION ALL SELECT 'speaker', {sql_plain('s')}, {sql_plain('split')} FROM (SELECT unnest(speaker_ids) AS s, split FROM split_keys)) SELECT kind, key, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM k WHERE key IS NOT NULL AND split IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split) > 1")
@@ -256,19 +260,13 @@ _SAMPLES = "s AS (SELECT user_id AS recording, row_number() OVER (PARTITION BY u
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
-    return table(spark, d, "events").select(F.col("user_id").alias("recording"), k.cast("bigint").alias("k"), (F.round(F.col("value") * 10).cast("bigint") - 2000).alias("x"))
+    e = table(spark, d, "events").select(F.col("user_id").alias("recording"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), (F.round(F.col("value") * 10).cast("bigint") - 2000).alias("x"))
+    return counted_rank(e, ["recording"], "_t", [F.col("x")], 24 * 3_600_000_000, "k").select("recording", (F.col("k") - 1).alias("k"), "x")
 
 
 @query(f"WITH {_SAMPLES}, p AS (SELECT *, coalesce(lead(x) OVER (PARTITION BY recording ORDER BY k), x) AS y FROM s), o AS (SELECT recording, k * 2 AS k, x FROM p UNION ALL SELECT recording, k * 2 + 1, CASE WHEN x + y >= 0 THEN (x + y + 1) // 2 ELSE -((-(x + y) + 1) // 2) END FROM p) SELECT recording, CAST(k AS BIGINT) AS k, CAST(x AS BIGINT) AS x FROM o")
 def linear_upsample(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    y = F.coalesce(F.lead("x").over(Window.partitionBy("recording").orderBy("k")), F.col("x"))
-    two = F.explode(F.array(F.struct((F.col("k") * 2).alias("k"), F.col("x").alias("x")), F.struct((F.col("k") * 2 + 1).alias("k"), F.col("m").alias("x")))).alias("e")
-    return _samples(spark, d).withColumn("m", half_away_mean(F.col("x"), y)).select("recording", two).select("recording", "e.k", "e.x")
+    return G.doubled(_samples(spark, d), ["recording"])
 
 
 @query(f"WITH {_SAMPLES} SELECT recording, CAST(k // 2 AS BIGINT) AS k, round(avg(x), 9) AS x FROM s GROUP BY 1, 2")

@@ -76,6 +76,13 @@ def atomic_cells(spark: SparkSession, d: str) -> DataFrame:
     return _cells(spark, d)
 
 
+@query("SELECT recording, 'hypothesis' AS side, 'C' AS label, count(*) AS n_rows FROM hyp WHERE row_id % 401 = 0 GROUP BY 1")
+def label_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Recordings in which a third speaker was heard now and then, with the rows of that label."""
+    heard = hyp_spans(spark, d).withColumn("label", F.when(F.col("row_id") % 401 == 0, "C").otherwise(F.col("label")))
+    return S.label_faults(ref_spans(spark, d), heard, K)
+
+
 @query(_with(_CELLS, _FLAGS) + " SELECT recording, label, CAST(sum(dur) AS BIGINT) AS active_us FROM (SELECT recording, unnest(['REF_00', 'REF_01', 'A', 'B']) AS label, unnest([r0, r1, h0, h1]) AS f, dur FROM cells) WHERE f = 1 GROUP BY 1, 2")
 def speaker_durations(spark: SparkSession, d: str) -> DataFrame:
     active = F.array(*[F.when(F.col(c) == 1, F.lit(n)) for c, n in (("r0", "REF_00"), ("r1", "REF_01"), ("h0", "A"), ("h1", "B"))])
@@ -329,7 +336,15 @@ def interleaving(spark: SparkSession, d: str) -> DataFrame:
     return Q.interleaving(hyp_spans(spark, d), K, "label", "A", "B")
 
 
-@query("WITH " + VIEWS + ", p AS (SELECT *, lag(label) OVER w AS a, lead(label) OVER w AS b FROM hyp WINDOW w AS (PARTITION BY recording ORDER BY start_us, row_id)) SELECT row_id, recording, CASE WHEN a = b AND a <> label AND end_us - start_us <= 350000 THEN 'UNKNOWN' ELSE label END AS label, start_us, end_us FROM p")
+_ISO = """, p AS (SELECT *, lag(label) OVER w AS a, lead(label) OVER w AS b, row_number() OVER w AS k FROM hyp WINDOW w AS (PARTITION BY recording ORDER BY start_us, row_id)),
+can AS (SELECT *, label <> 'UNKNOWN' AND a IS NOT NULL AND end_us - start_us <= 350000 AS can FROM p),
+c AS (SELECT *, coalesce(can AND a = b AND a <> label, false) AS c0, coalesce(can AND b = 'UNKNOWN', false) AS c1 FROM can),
+n AS (SELECT *, sum((c0 AND NOT c1)::INT) OVER (PARTITION BY recording ORDER BY k) AS n FROM c),
+z AS (SELECT *, max(CASE WHEN c0 = c1 THEN {'k': k, 'v': c0, 'n': n} END) OVER (PARTITION BY recording ORDER BY k) AS fx FROM n)
+SELECT row_id, recording, CASE WHEN ((n - fx.n) % 2 = 1) <> fx.v THEN 'UNKNOWN' ELSE label END AS label, start_us, end_us FROM z"""
+
+
+@query("WITH " + VIEWS + _ISO)
 def isolated_runs(spark: SparkSession, d: str) -> DataFrame:
     return Q.isolated_runs(hyp_spans(spark, d), K, "label", 350_000, "UNKNOWN")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
+from chronoloom.operators.blocked import counted_rank
 from chronoloom.operators.periods import usable
 from chronoloom.plans.training_data import sql_plain, table
 
@@ -39,12 +40,10 @@ def words(spark: SparkSession, d: str) -> DataFrame:
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """Contiguous 32 ms frames with a probability, one recording a supplier."""
-    from pyspark.sql import Window
-
-    li = table(spark, d, "lineitem")
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
-    k = F.row_number().over(w) - 1
-    return li.select(F.col("l_suppkey").alias("recording"), k.alias("_k"), (F.round(F.col("l_discount").cast("double") * 10, 1)).alias("p")).select("recording", (F.col("_k").cast("bigint") * 32_000).alias("start_us"), ((F.col("_k").cast("bigint") + 1) * 32_000).alias("end_us"), "p")
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
+    ties = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")]
+    k = (F.col("_k") - 1).cast("bigint")
+    return counted_rank(li, ["l_suppkey"], "l_orderkey", ties, 1_000_000, "_k").select(F.col("l_suppkey").alias("recording"), (k * 32_000).alias("start_us"), ((k + 1) * 32_000).alias("end_us"), F.round(F.col("l_discount").cast("double") * 10, 1).alias("p"))
 
 
 VIEWS = f"""
