@@ -36,7 +36,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_chronoloom_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    place = os.path.join(tempfile.mkdtemp(prefix="chronoloom-"), "chronoloom.zip")
+    folder = tempfile.mkdtemp(prefix="chronoloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    place = os.path.join(folder, "chronoloom.zip")
     with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
             for f in files:
@@ -50,11 +52,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local runs) a temporary folder is chosen and
-    remembered in the session.
+    Only a local session that names none (tests, benches) gets a temporary folder, remembered in the
+    session. On a cluster a folder of one machine would lose what other machines write: an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chronoloom-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder
@@ -62,15 +66,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def kept_until_exit(spark: SparkSession, path: str) -> str:
+    """Have the driver's JVM delete *path* when it ends, unless :func:`drop` does before."""
+    files, place = _hadoop(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Cut the lineage of *df*: write it as a table in the shared folder and read it back.
 
     A written table survives the loss of any executor, is columnar and compressed, and gives the
-    optimizer true sizes. ``path_of`` / ``drop`` remove it when a later cut supersedes it.
+    optimizer true sizes. The table is deleted by :func:`drop` when a later one supersedes it, else
+    when the application ends, since the frames made from it are evaluated lazily.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    kept_until_exit(spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path  # type: ignore[attr-defined]
     return back
@@ -81,6 +99,6 @@ def drop(df: DataFrame) -> None:
     path = getattr(df, "_cut_path", None)
     if path is None:
         return
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, place = _hadoop(df.sparkSession, path)
+    files.delete(place, True)
+    files.cancelDeleteOnExit(place)

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chronoloom.session import shared_dir
+from chronoloom.session import kept_until_exit, shared_dir
 
 
 def windowed_counts(events: DataFrame, at: str, keys: list[str], size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events per window and key; state of windows older than the watermark is dropped."""
+    """Events per window and key.
+
+    In append mode the state of windows older than the watermark is dropped; complete mode keeps all.
+    """
     return events.withWatermark(at, late).groupBy(F.window(at, size).alias("w"), *keys).agg(F.count("*").alias("n_events")).select(F.col("w.start").alias("window_start"), *keys, "n_events")
 
 
@@ -72,6 +75,8 @@ def drained(stream: DataFrame, complete: bool = False) -> DataFrame:
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     spark.createDataFrame([], stream.schema).write.parquet(path)
+    for own in (path, path + "-state"):
+        kept_until_exit(spark, own)
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if complete else "append").parquet(path)
