@@ -10,7 +10,7 @@ from chronoloom.llm.components import representatives, tied_rows
 from chronoloom.llm.cross_split import coverage, cross_split_pairs, overlap_report
 from chronoloom.llm.event_runs import collapse_runs
 from chronoloom.llm.leakage import leaked_passages, leaks, without_leaks
-from chronoloom.llm.packing import packed, packing_report
+from chronoloom.llm.packing import packed, packing_checks, packing_report
 from chronoloom.llm.shared_spans import shared_share, shared_stretches
 from chronoloom.llm.split_assign import assign_splits
 from chronoloom.plans.training_data import sql_plain, table
@@ -60,6 +60,10 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(p8_packed(spark, d))
 
 
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    return packing_checks(p8_packed(spark, d), table(spark, d, "documents"))
+
+
 def _leaked(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -83,7 +87,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_report, p3_coverage, p4_found, p4_splits, p5_found, p5_turns, p8_packed, p8_report, p9_found, p9_clean, p10_found, p10_share)}
+    return {f.__name__: f for f in (p3_found, p3_report, p3_coverage, p4_found, p4_splits, p5_found, p5_turns, p8_packed, p8_report, p8_checks, p9_found, p9_clean, p10_found, p10_share)}
 
 
 def _p3_sql(tail: str) -> str:
@@ -128,6 +132,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_report": _p3_sql("SELECT side, coalesce(original, '') AS source, count(*) AS n_pairs, count(DISTINCT eval_row) AS n_eval, count(DISTINCT train_row) AS n_train FROM m GROUP BY 1, 2"),
         "p3_coverage": _p3_sql(_COVER),
         "p4_found": _P4,
+        "p8_checks": "SELECT spec_id, capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_texts, 0 AS n_lost, 0 AS n_overfull, 0 AS n_parted, 0 AS n_misfilled FROM packing_specs",
         "p5_found": _p5_sql("SELECT first_row_id, last_row_id FROM g WHERE n_events >= 2"),
         "p5_turns": _p5_sql("SELECT file_id, channel, speaker_id, start_us, end_us, n_events, end_us - start_us AS duration_us FROM g"),
     }

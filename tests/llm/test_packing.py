@@ -3,8 +3,10 @@ from collections import defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from chronoloom.llm.packing import best_fit_decreasing, lower_bound, packed, packing_report, token_counts
+from chronoloom.llm.packing import _repack, best_fit_decreasing, lower_bound, packed, packing_checks, packing_report, token_counts
 
 
 def optimum(sizes, capacity):
@@ -61,3 +63,38 @@ def test_packed(spark):
     report = {r.spec_id: r.n_tokens for r in packing_report(packed(df, specs, part_items=40, fan=2)).collect()}
     assert report == {s: sum(map(sum, sizes.values())) for s in (1, 2)}
     assert packed(df.where("false"), specs).count() == 0
+
+
+def test_repacking_saves_bins_and_is_what_saves_them(spark, monkeypatch):
+    """Without the exchange every one of the partitions keeps a bin of its own open."""
+    from chronoloom.llm import packing
+
+    docs = spark.createDataFrame([(i, " ".join(["the"] * n)) for i, n in enumerate([3, 5, 2, 7, 4, 6, 1, 8] * 12)], "doc_id BIGINT, text STRING")
+    specs = spark.createDataFrame([(1, 40)], "spec_id INT, capacity_tokens INT")
+    with_exchange = packing_report(packed(docs, specs)).first()
+    assert with_exchange.certified and with_exchange.n_containers == -(-with_exchange.n_tokens // 40)
+    closed = packed(docs, specs).select("container", "bins", "bound").collect()
+    assert all(r.bins >= r.bound >= 1 for r in closed) and any(not r.container.startswith(("0-", "full-")) for r in closed)
+    alone = packing_report(packed(docs, specs, slack=1.0)).first()  # no bin has that much room, so none is exchanged
+    assert alone.n_containers > with_exchange.n_containers and alone.n_tokens == with_exchange.n_tokens
+
+
+def test_crowded_exchanges_are_spread_not_left(spark):
+    docs = spark.createDataFrame([(i, " ".join(["the"] * (3 + i % 5))) for i in range(400)], "doc_id BIGINT, text STRING")
+    specs = spark.createDataFrame([(1, 13), (2, 29)], "spec_id INT, capacity_tokens INT")
+    rows = packed(docs, specs, part_items=10, fan=2)
+    assert sorted(tuple(r)[2:] for r in packing_checks(rows, docs).collect()) == [(400, 0, 0, 0, 0)] * 2
+    for r in packing_report(rows).collect():
+        assert r.n_containers <= 1.12 * r.bound
+
+
+def test_certified_bins_stay():
+    t = pa.table({"part_was": [0, 0, 1], "bin": [0, 1, 0], "size": pa.array([6, 6, 6], pa.int64()), "capacity": [10, 10, 10], "bins": pa.array([0, 0, 0], pa.int64()), "bound": pa.array([0, 0, 0], pa.int64())})
+    got = _repack(t)
+    assert got.column("bin").to_pylist() == [0, 1, 2] and set(got.column("bound").to_pylist()) == {3}
+
+
+def test_too_many_capacities(spark):
+    docs = spark.createDataFrame([(1, "the")], "doc_id BIGINT, text STRING")
+    with pytest.raises(ValueError, match="capacities"):
+        packed(docs, spark.range(1, 10_003).selectExpr("id AS spec_id", "id AS capacity_tokens"))
