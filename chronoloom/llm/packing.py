@@ -185,20 +185,21 @@ def packed(documents: DataFrame, specs: DataFrame, doc: str = "doc_id", text: st
     now = cut(loose.groupBy("spec_id", "part").applyInArrow(_pack, _COLS), "packed")
     # a certificate is the partition's own: what room it has left may still be filled from another
     open_ = F.col("capacity") - F.col("fill") > F.lit(slack) * F.col("capacity")
-    done, n, step, last = [], parts, 0, None
+    done, n, spread, step, last = [], parts, 1, 0, None
     while True:
         step += 1
         rows, bins = now.where(open_).agg(F.count("*"), F.count_distinct("spec_id", "part", "bin")).first()
         if not rows or (last is not None and bins >= last):
             break
-        groups = -(-n // fan)
-        spread = max(1, -(-rows // (part_items * groups * max(1, len(held)))))
-        last = bins if groups == 1 else None  # nothing is left to meet: only what saves bins goes on
+        last = bins if n == 1 else None  # all has met: only what saves bins goes on
+        group = F.floor(F.col("part") / (spread * fan))
+        n = -(-n // fan)
+        spread = max(1, -(-rows // (part_items * n * max(1, len(held)))))
+        part = group * spread + F.pmod(F.xxhash64("part", "bin", F.lit(step)), F.lit(spread))
+        again = now.where(open_).select("spec_id", "capacity", part.cast("bigint").alias("part"), F.col("part").alias("part_was"), F.lit(step).alias("round"), "doc_id", "piece", "copy", "size", "bin", "fill", "bins", "bound")
         done.append(now.where(~open_))
-        to = F.floor(F.col("part") / fan) * spread + F.pmod(F.xxhash64("part", "bin", F.lit(step)), F.lit(spread))
-        again = now.where(open_).select("spec_id", "capacity", to.cast("bigint").alias("part"), F.col("part").alias("part_was"), F.lit(step).alias("round"), "doc_id", "piece", "copy", "size", "bin", "fill", "bins", "bound")
-        now, n = cut(again.groupBy("spec_id", "part").applyInArrow(_repack, _COLS), "packed"), max(1, groups * spread) if groups > 1 else 1
-        if groups == 1 and spread == 1:
+        now = cut(again.groupBy("spec_id", "part").applyInArrow(_repack, _COLS), "packed")
+        if n == 1 and spread == 1:
             break
     out = reduce(DataFrame.unionByName, [now, *done])
     out = out.select("spec_id", "capacity", "doc_id", "piece", "copy", "size", F.concat_ws("-", "round", "part", "bin").alias("container"), "fill", "bins", "bound")
