@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(app: str = "chronoloom", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -85,13 +85,19 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     optimizer true sizes. The table is deleted by :func:`drop` when a later one supersedes it, else
     when the application ends, since the frames made from it are evaluated lazily.
     """
+    return counted_cut(df, label)[0]
+
+
+def counted_cut(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """As :func:`cut`, with aggregates over the rows that are counted while they are written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    (df.observe(seen, *metrics) if metrics else df).write.parquet(path)
     kept_until_exit(spark, path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path  # type: ignore[attr-defined]
-    return back
+    return back, seen.get if metrics else {}
 
 
 def drop(df: DataFrame) -> None:
