@@ -133,6 +133,12 @@ def oracle_sql() -> dict[str, str]:
         "p3_coverage": _p3_sql(_COVER),
         "p4_found": _P4,
         "p8_checks": "SELECT spec_id, capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_texts, 0 AS n_lost, 0 AS n_overfull, 0 AS n_parted, 0 AS n_misfilled FROM packing_specs",
+        "p10_found": """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 320),
+w AS (SELECT doc_id, i, md5(substr(text, i + 1, 320)) AS h FROM (SELECT doc_id, text, unnest(range(n - 319)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), p AS (SELECT doc_id, i FROM w SEMI JOIN s USING (h)),
+f AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 320 THEN 0 ELSE 1 END AS f FROM p),
+g AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM f)
+SELECT doc_id, min(i) AS start_char, max(i) + 320 AS end_char FROM g GROUP BY doc_id, g""",
         "p5_found": _p5_sql("SELECT first_row_id, last_row_id FROM g WHERE n_events >= 2"),
         "p5_turns": _p5_sql("SELECT file_id, channel, speaker_id, start_us, end_us, n_events, end_us - start_us AS duration_us FROM g"),
     }

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.texthash import Rolling, U, chunks, code_points, mix
-from chronoloom.session import cut, drop
+from chronoloom.session import counted_cut, cut, drop
 
 LEAST, KMER, HOT = 320, 96, 4096
+#: Parts into which the occurrences of a hot k-mer or edge are split where they are joined.
+SALTS = 8
 
 
 def _anchored(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, k: int) -> dict[str, np.ndarray]:
@@ -58,15 +61,12 @@ def _edges(least: int, k: int):
                 sizes = np.array([len(t) for _, t in held], np.int64)
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
                 e = _anchored(code_points([t for _, t in held]), starts, sizes, least, k)
-                ident = (e["seed"] ^ (e["seg"] * U(3))) & U(0x7FFFFFFF)
-                same = e["doc"][1:] == e["doc"][:-1]
-                after = np.r_[np.where(same, ident[1:], U(0)), U(0)]
-                prior = np.r_[U(0), np.where(same, ident[:-1], U(0))]
+                ident = mix(e["seed"] ^ (e["seg"] * U(3))).view(np.int64)
+                after = np.r_[np.where(e["doc"][1:] == e["doc"][:-1], ident[1:], 0), 0]
                 ids = np.array([i for i, _ in held], np.int64)
-                place = (e["at"] << 32) | (e["lead"] << 16) | e["span"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (e["seed"].view(np.int64), e["seg"].view(np.int64), ids[e["doc"]], place, ((prior << U(32)) | after).view(np.int64))],
-                    ["seed", "seg", "doc_id", "place", "link"],
+                    [pa.array(x) for x in (e["seed"].view(np.int64), e["seg"].view(np.int64), ident, after, ids[e["doc"]], e["at"], e["lead"].astype(np.int32), e["span"].astype(np.int32))],
+                    ["seed", "seg", "edge", "after", "doc_id", "at", "lead", "span"],
                 )
 
     return run
@@ -142,25 +142,19 @@ def _exploded(least: int):
 
 
 def graph_edges(documents: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, k: int = KMER) -> DataFrame:
-    """Occurrences of edges: seed (k-mer), seg (content of the edge), doc_id, place, link."""
-    return documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= least).mapInArrow(_edges(least, k), "seed BIGINT, seg BIGINT, doc_id BIGINT, place BIGINT, link BIGINT")
+    """Occurrences of edges: seed (k-mer), seg (content), edge (both), after (edge that follows in the record,
+    0: none), doc_id, at (character), lead (from there to the k-mer), span (windows less one)."""
+    if not 0 < k <= least:
+        raise ValueError("a k-mer must fit a window")
+    kinds = "seed BIGINT, seg BIGINT, edge BIGINT, after BIGINT, doc_id BIGINT, at BIGINT, lead INT, span INT"
+    return documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= least).mapInArrow(_edges(least, k), kinds)
 
 
-def repeated_edges(edges: DataFrame, hot: int = HOT) -> DataFrame:
-    """The distinct edges of :func:`repeated_seeds`: seed, seg, common, branch, alone, crowded.
-
-    ``common``: the edge itself is in two records. ``branch``: its occurrences have different next or
-    previous edges, so a path ends here. ``alone``: no other edge has its k-mer. ``crowded``: more than
-    *hot* have.
-    """
-    left, right = F.shiftrightunsigned("link", 32), F.col("link").bitwiseAND(0x7FFFFFFF)
-    segs = edges.groupBy("seed", "seg").agg(
-        F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.min(left).alias("l1"), F.max(left).alias("l2"), F.min(right).alias("r1"), F.max(right).alias("r2")
-    )
-    seeds = segs.groupBy("seed").agg(F.count("*").alias("n"))
-    return segs.join(seeds, "seed").select(
-        "seed", "seg", F.expr("d1 < d2").alias("common"), F.expr("l1 <> l2 OR r1 <> r2 OR l1 = 0 OR r1 = 0").alias("branch"), F.expr("n = 1").alias("alone"), (F.col("n") > hot).alias("crowded")
-    )
+def _salted(many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """Join of hot keys: rows of *many* are spread by *by*, the one row a key of *few* stands in each part."""
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    right = few.withColumn("_salt", F.explode(F.array(*[F.lit(x).cast("bigint") for x in range(SALTS)])))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def repeated_seeds(edges: DataFrame) -> DataFrame:
@@ -169,7 +163,85 @@ def repeated_seeds(edges: DataFrame) -> DataFrame:
     The k-mers are counted by the least and greatest record alone, combined before the shuffle.
     """
     seeds = edges.groupBy("seed").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("seed")
-    return edges.join(seeds, "seed", "left_semi")
+    return _salted(edges, seeds, ["seed"], "doc_id", "left_semi")
+
+
+def distinct_edges(edges: DataFrame, hot: int = HOT) -> DataFrame:
+    """One row an edge: seed, seg, edge, lead, span, n (occurrences), rep (one of them: doc_id, at), next,
+    common, alone, crowded.
+
+    ``next``: the edge that follows all of its occurrences, if it is one. ``common``: it is in two
+    records. ``alone``: no other edge has its k-mer. ``crowded``: more than *hot* have.
+    """
+    segs = edges.groupBy("seed", "seg", "edge", "lead", "span").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("rep"), F.max("doc_id").alias("_d"), F.min("after").alias("_a"), F.max("after").alias("_z")
+    )
+    seeds = segs.groupBy("seed").agg(F.count("*").alias("_n"))
+    follows = F.when((F.col("_a") == F.col("_z")) & (F.col("_a") != 0), F.col("_a"))
+    return _salted(segs, seeds, ["seed"], "seg").select(
+        "seed", "seg", "edge", "lead", "span", "n", "rep", follows.alias("next"), (F.col("rep.doc_id") < F.col("_d")).alias("common"), F.expr("_n = 1").alias("alone"), (F.col("_n") > hot).alias("crowded")
+    )
+
+
+def compact_paths(common: DataFrame, least: int = LEAST) -> DataFrame:
+    """Nonbranching paths of *common* (edge, next, n, span): edge (the first), n_edges, size in characters.
+
+    An edge continues another where all occurrences of the one are followed by it and it has no others:
+    both occur equally often. Each edge points to the one before it; pointers are joined to the pointers
+    they point to until none moves, so a path takes the logarithm of its edges in rounds.
+    """
+    ahead = common.select(F.col("edge").alias("next"), F.col("n").alias("_n"))
+    back = common.where("next IS NOT NULL").join(ahead, "next").where("n = _n AND edge <> next")
+    now = cut(back.select(F.col("next").alias("edge"), F.col("edge").alias("head"), (F.col("span").cast("bigint") + 1).alias("off"), F.lit(1).cast("bigint").alias("place")), "pointers")
+    moved = 1
+    while moved:
+        far = now.select(F.col("edge").alias("head"), F.col("head").alias("_h"), F.col("off").alias("_o"), F.col("place").alias("_p"))
+        step = now.join(far, "head", "left").select("edge", F.coalesce("_h", "head").alias("head"), (F.col("off") + F.coalesce("_o", F.lit(0))).alias("off"), (F.col("place") + F.coalesce("_p", F.lit(0))).alias("place"), F.col("_h").isNotNull().alias("moved"))
+        after, seen = counted_cut(step, "pointers", F.count(F.when(F.col("moved"), 1)).alias("n"))
+        drop(now)
+        now, moved = after.drop("moved"), seen["n"]
+        now._cut_path = after._cut_path  # type: ignore[attr-defined]
+    placed = common.join(now, "edge", "left").select(F.coalesce("head", "edge").alias("edge"), (F.coalesce("off", F.lit(0)) + F.col("span") + least).alias("_end"), (F.coalesce("place", F.lit(0)) + 1).alias("_place"))
+    return placed.groupBy("edge").agg(F.max("_place").alias("n_edges"), F.max("_end").alias("size"))
+
+
+def verified_paths(documents: DataFrame, edges: DataFrame, segs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """Occurrences of the compacted paths, as far as their texts, read at the source, agree in two records.
+
+    Returns path, n_edges, doc_id, low, high. For use on its own; :func:`shared_stretches` reads the
+    texts of paths and edges at once.
+    """
+    asked = _path_places(edges, segs, least)
+    source = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= least)
+    return _agreed(asked.join(source, "doc_id").select("path", "n_edges", "doc_id", "low", "size", _digest(F.col("low"), F.col("size")).alias("digest")))
+
+
+def _path_places(edges: DataFrame, segs: DataFrame, least: int) -> DataFrame:
+    """Where the first edges of the paths occur: path, n_edges, doc_id, low, size."""
+    paths = compact_paths(segs.where("common").select("edge", "next", "n", "span"), least)
+    return _salted(edges.select("edge", "doc_id", "at"), paths, ["edge"], "doc_id").select(F.col("edge").alias("path"), "n_edges", "doc_id", F.col("at").alias("low"), "size")
+
+
+def _piece(low: Column, size: Column) -> Column:
+    return F.substring(F.col("text"), (low + 1).cast("int"), size.cast("int"))
+
+
+def _digest(low: Column, size: Column) -> Column:
+    return F.md5(_piece(low, size).cast("binary"))
+
+
+def _agreed(read: DataFrame) -> DataFrame:
+    """Of the occurrences of each path those whose text is also that of another record."""
+    same = read.groupBy("path", "digest").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("path", "digest")
+    return _salted(read, same, ["path", "digest"], "doc_id").select("path", "n_edges", "doc_id", "low", (F.col("low") + F.col("size")).alias("high"))
+
+
+def shared_graph(documents: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, k: int = KMER, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """The occurrences of edges with a repeated k-mer, and the distinct edges; both as tables."""
+    all_edges = cut(graph_edges(documents, doc, text, least, k), "edges")
+    edges = cut(repeated_seeds(all_edges), "repeated")
+    drop(all_edges)
+    return edges, cut(distinct_edges(edges, hot), "distinct")
 
 
 def shared_stretches(documents: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, k: int = KMER, hot: int = HOT) -> DataFrame:
@@ -182,56 +254,46 @@ def shared_stretches(documents: DataFrame, doc: str = "doc_id", text: str = "tex
     Method: De Bruijn compaction. Tokens are characters; of the k-mers only those that are smallest
     in some window become nodes, and the text owned by such a k-mer is its edge (a sparse graph with
     one edge in about (least-k)/2 characters). Edges are counted by k-mer and content; those whose
-    k-mer is in two records stay. Joined back to their occurrences, runs of common edges between
-    branches compact into paths, which are shared as they stand. Edges that only one record has may
-    share a part: their text is read at the source coordinates and verified window by window
-    against the other edges of the k-mer, linear in their number. A k-mer with more than *hot*
-    different edges is verified as windows spread by content instead, so it meets in no one task.
-    Copies cost one row an edge and are aggregated on the map side; no pair of records is formed.
+    k-mer is in two records stay. Edges of two records that follow each other without branching are
+    compacted by joins into paths; where a path begins in a record it runs to its end, so a record
+    has one row a path, whose text is read at the source coordinates and must agree in two records.
+    Edges that only one record has may share a part: their text is read too and verified window by
+    window against the other edges of the k-mer, linear in their number. A k-mer with more than
+    *hot* different edges is verified as windows spread by content instead, so it meets in no one
+    task. Occurrences of hot k-mers and paths are salted where they are joined; copies cost one row a
+    path and no pair of records is formed.
 
     Defined cases: null and empty texts and such below *least* characters share nothing; repeats
     within one record alone do not count; two rows of one doc_id are one record; offsets are in
     Unicode characters; ties between equal k-mers go to the leftmost; other columns are not read.
     """
-    all_edges = cut(graph_edges(documents, doc, text, least, k), "edges")
-    edges = cut(repeated_seeds(all_edges), "repeated")
-    drop(all_edges)
-    known = edges.join(repeated_edges(edges, hot), ["seed", "seg"])
-    start = F.shiftright("place", 32)
-    lead, span = F.shiftright("place", 16).bitwiseAND(0xFFFF), F.col("place").bitwiseAND(0xFFFF)
-    whole = known.where("common").select("doc_id", start.alias("low"), (start + span + least).alias("high"), "branch")
-    paths = compact_paths(whole)
-
-    part = (
-        known.where("NOT alone").groupBy("seed", "seg", "common", "crowded")
-        .agg(F.min(F.struct("doc_id", "place")).alias("rep"), F.collect_list(F.when(~F.col("common"), start)).alias("places"))
-        .select("seed", "seg", "common", "crowded", F.col("rep.doc_id").alias("doc_id"), F.col("rep.place").alias("place"), "places")
-    )
+    edges, segs = shared_graph(documents, doc, text, least, k, hot)
+    known = ["seed", "seg", "common", "crowded", "lead", "span"]
+    part = segs.where("NOT alone")
+    at_rep = part.select(*known, F.col("rep.doc_id").alias("doc_id"), F.col("rep.at").alias("low"), F.when(~F.col("common"), F.when(F.col("n") == 1, F.array("rep.at"))).alias("places"), "n")
+    # an edge that one record alone has several times
+    again = edges.join(part.where("NOT common AND n > 1").select("seed", "seg"), ["seed", "seg"], "left_semi").groupBy("seed", "seg").agg(F.collect_list("at").alias("_p"))
+    parts = at_rep.join(again, ["seed", "seg"], "left").select(*known, "doc_id", "low", F.coalesce("places", "_p", F.array().cast("array<bigint>")).alias("places"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    asked = parts.select(nothing("bigint").alias("path"), nothing("bigint").alias("n_edges"), "doc_id", "low", (F.col("span") + least).cast("bigint").alias("size"), *known, "places").unionByName(_path_places(edges, segs, least), allowMissingColumns=True)
     source = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= least)
-    read = part.join(source, "doc_id").select(
-        "seed", "seg", "common", "crowded", "doc_id", "places", lead.cast("int").alias("lead"), span.cast("int").alias("span"),
-        F.substring("text", (start + 1).cast("int"), (span + least).cast("int")).alias("body"),
-    )
-    few = read.where("NOT crowded").select("seed", "common", "doc_id", "places", "lead", "span", "body").repartition("seed").sortWithinPartitions("seed")
+    low, size, is_path = F.col("low"), F.col("size"), F.col("path").isNotNull()
+    read = cut(asked.join(source, "doc_id").select(*asked.columns, F.when(~is_path, _piece(low, size)).alias("body"), F.when(is_path, _digest(low, size)).alias("digest")), "read")
+    paths = _agreed(read.where(is_path)).select("doc_id", "low", "high")
+
+    bodies = read.where(~is_path)
+    few = bodies.where("NOT crowded").select("seed", "common", "doc_id", "places", "lead", "span", "body").repartition("seed").sortWithinPartitions("seed")
     verified = few.mapInArrow(_compared(least), "doc_id BIGINT, places ARRAY<BIGINT>, low BIGINT, high BIGINT")
     verified = verified.select("doc_id", F.explode("places").alias("p"), "low", "high").select("doc_id", (F.col("p") + F.col("low")).alias("low"), (F.col("p") + F.col("high")).alias("high"))
 
-    many = read.where("crowded").select("seed", "seg", "common", "doc_id", "span", "body").mapInArrow(_exploded(least), "key BIGINT, seed BIGINT, seg BIGINT, doc_id BIGINT, common BOOLEAN, offset BIGINT")
+    many = bodies.where("crowded").select("seed", "seg", "common", "doc_id", "span", "body").mapInArrow(_exploded(least), "key BIGINT, seed BIGINT, seg BIGINT, doc_id BIGINT, common BOOLEAN, offset BIGINT")
     equal = many.groupBy("key").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.max("common").alias("any")).where("d1 < d2 OR any").select("key")
     wide = (
-        many.where("NOT common").join(equal, "key").select("seed", "seg", "offset")
-        .join(known.where("crowded AND NOT common").select("seed", "seg", "doc_id", start.alias("p")), ["seed", "seg"])
+        _salted(many.where("NOT common"), equal, ["key"], "doc_id").select("seed", "seg", "offset")
+        .join(bodies.where("crowded AND NOT common").select("seed", "seg", "doc_id", F.explode("places").alias("p")), ["seed", "seg"])
         .select("doc_id", (F.col("p") + F.col("offset")).alias("low"), (F.col("p") + F.col("offset") + least).alias("high"))
     )
-    return merged_stretches(paths.unionByName(verified).unionByName(wide))
-
-
-def compact_paths(whole: DataFrame) -> DataFrame:
-    """Runs of overlapping common edges up to the next branch, as one row each."""
-    w = Window.partitionBy("doc_id").orderBy("low")
-    joined = F.coalesce((F.col("low") <= F.lag("high").over(w)) & ~F.lag("branch").over(w), F.lit(False))
-    path = F.sum(F.when(joined, 0).otherwise(1)).over(w)
-    return whole.withColumn("_p", path).groupBy("doc_id", "_p").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_p")
+    return merged_stretches(reduce(DataFrame.unionByName, [paths, verified, wide]))
 
 
 def merged_stretches(intervals: DataFrame) -> DataFrame:

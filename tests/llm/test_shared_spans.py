@@ -1,7 +1,8 @@
 import random
 from collections import defaultdict
 
-from chronoloom.llm.shared_spans import shared_share, shared_stretches
+from chronoloom.llm import shared_spans
+from chronoloom.llm.shared_spans import compact_paths, shared_graph, shared_share, shared_stretches, verified_paths
 
 
 def brute(docs, least):
@@ -63,3 +64,44 @@ def test_share_and_empty(spark):
     got = {r.doc_id: (r.text_chars, r.n_stretches, r.shared_chars, r.share) for r in shared_share(docs, shared_stretches(docs, least=20, k=6)).collect()}
     assert got == {1: (40, 1, 40, 1.0), 2: (40, 1, 40, 1.0), 3: (0, 0, 0, 0.0)}
     assert found(spark, [], 20, 6) == []
+
+
+def test_paths_compact_to_their_ends(spark):
+    chain = [(i, i + 1 if i % 50 else None, 3, 2) for i in range(1, 51)]  # 1 -> 2 -> ... -> 50
+    branch = [(100, 101, 4, 1), (101, None, 2, 5), (102, 103, 2, 0), (103, None, 2, 0), (104, 104, 2, 7)]  # 100 goes on elsewhere too
+    got = {r.edge: (r.n_edges, r["size"]) for r in compact_paths(spark.createDataFrame(chain + branch, "edge BIGINT, next BIGINT, n BIGINT, span INT"), 20).collect()}
+    assert got == {1: (50, 49 * 3 + 2 + 20), 100: (1, 21), 101: (1, 25), 102: (2, 21), 104: (1, 27)}
+    assert compact_paths(spark.createDataFrame([], "edge BIGINT, next BIGINT, n BIGINT, span INT"), 20).count() == 0
+
+
+def test_rows_come_by_the_compacted_paths(spark, monkeypatch):
+    """A copied text is few paths of many edges, and without the paths nothing of it is found."""
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh") for _ in range(900))
+    docs = [(1, text), (2, "x" * 7 + text), (3, text[100:500])]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    edges, segs = shared_graph(df, least=40, k=12)
+    paths = verified_paths(df, edges, segs, least=40)
+    assert paths.count() * 3 < edges.count() and paths.agg({"n_edges": "max"}).first()[0] > 5
+    assert all(docs[r.doc_id - 1][1][r.low : r.high] in docs[0][1] for r in paths.collect())
+    assert found(spark, docs, 40, 12) == brute(docs, 40)
+    monkeypatch.setattr(shared_spans, "compact_paths", lambda common, least: common.select("edge", *[common.n.alias(x) for x in ("n_edges", "size")]).where("false"))
+    assert found(spark, docs, 40, 12) != brute(docs, 40)
+
+
+def test_texts_must_agree_at_their_places(spark, monkeypatch):
+    """Edges whose hashes agree though their texts do not are found out at the source."""
+    rng = random.Random(6)
+    docs = [(i, "".join(rng.choice("abcdefgh") for _ in range(100))) for i in range(3)]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, text STRING")
+    edges, segs = shared_graph(df, least=40, k=12)
+    assert edges.count() == 0 and segs.count() == 0
+    forged = spark.createDataFrame([(1, 1, 9, 0, d, 0, 0, 0) for d in (0, 1)], "seed BIGINT, seg BIGINT, edge BIGINT, after BIGINT, doc_id BIGINT, at BIGINT, lead INT, span INT")
+    assert verified_paths(df, forged, shared_spans.distinct_edges(forged), least=40).count() == 0
+
+
+def test_a_hot_key(spark):
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(60))
+    docs = [(i, "".join(rng.choice("abcdefgh") for _ in range(30)) + (shared if i % 10 else "") + "".join(rng.choice("abcdefgh") for _ in range(30))) for i in range(60)]
+    assert found(spark, docs, 40, 12) == brute(docs, 40)
