@@ -10,10 +10,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.llm.texthash import U, mix
+from chronoloom.session import cut
 
 WORDS = 12
 BLOCK_WORDS = 1_000_000
@@ -101,8 +103,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc: str = "doc_id",
     Method: the items' n-grams of normalised words (all words of a shorter item) form a hash set that
     is broadcast; the token windows of each document are scanned against it in whole arrays, and hits
     are verified word by word. The set is broadcast only up to *block_chars* characters of items;
-    more are taken block by block, each over all documents. The documents are read once a block,
-    never shuffled, and whatever their number no task holds more than a batch.
+    more are taken block by block, each over all documents: its hits are written and its set is
+    destroyed before the next one is collected, so the driver holds one block whatever their number.
+    The documents are read once a block, never shuffled, and no task holds more than a batch.
 
     Defined cases: null and empty texts and items without words leak nothing; repeated documents and
     items are reported each; an item of under *n* words must stand as a whole; words are Unicode.
@@ -110,7 +113,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc: str = "doc_id",
     source = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
     spark = documents.sparkSession
 
-    def scan(block: DataFrame) -> DataFrame:
+    def scan(block: DataFrame) -> tuple[DataFrame, Broadcast]:
         grams = spark.sparkContext.broadcast(NGrams([(r.item_id, words_of(r.text)) for r in block.collect()], n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +122,17 @@ def leaked_passages(documents: DataFrame, items: DataFrame, doc: str = "doc_id",
                 out = _scan_batch(g, b.column(0).to_pylist(), b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "first_word", "n_words"])
 
-        return source.mapInArrow(run, "doc_id BIGINT, item_id BIGINT, first_word INT, n_words INT")
-
-    return reduce(DataFrame.unionByName, [scan(x) for x in item_blocks(items, item, item_text, block_chars)])
+        return source.mapInArrow(run, "doc_id BIGINT, item_id BIGINT, first_word INT, n_words INT"), grams
+
+    blocks = item_blocks(items, item, item_text, block_chars)
+    if len(blocks) == 1:
+        return scan(blocks[0])[0]
+    parts = []
+    for block in blocks:
+        found, grams = scan(block)
+        parts.append(cut(found, "leaks"))
+        grams.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _scan_batch(g: NGrams, docs: list[int], texts: list[str], most: int = 200_000) -> list[tuple[int, int, int, int]]:

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
-from chronoloom.llm.components import representatives, tied_rows
-from chronoloom.llm.cross_split import coverage, cross_split_pairs, overlap_report
+from chronoloom.llm.components import representatives
+from chronoloom.llm.cross_split import coverage, cross_split_pairs, overlap_report, row_links
 from chronoloom.llm.event_runs import collapse_runs
 from chronoloom.llm.leakage import leaked_passages, leaks, without_leaks
 from chronoloom.llm.packing import packed, packing_checks, packing_report
 from chronoloom.llm.shared_spans import shared_share, shared_stretches
-from chronoloom.llm.split_assign import assign_splits
+from chronoloom.llm.split_assign import assign_splits, split_balance
 from chronoloom.plans.training_data import sql_plain, table
+from chronoloom.session import cut
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,13 +30,25 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return coverage(table(spark, d, "split_keys"))
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return row_links(table(spark, d, "split_keys"))
+
+
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    return assign_splits(table(spark, d, "split_keys"), table(spark, d, "split_targets"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    keys = {"r": plain_form(F.col("recording_id")), "s": plain_form(F.col("session_id")), "g": plain_form(F.col("augmentation_group"))}
-    return representatives(tied_rows(table(spark, d, "split_keys"), "row_id", keys))
+    """The sets that stay together, of the rows as they were assigned."""
+    return representatives(_assigned(spark, d))
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    return assign_splits(table(spark, d, "split_keys"), table(spark, d, "split_targets")).select("row_id", "split")
+    return _assigned(spark, d).select("row_id", "split")
+
+
+def p4_balance(spark: SparkSession, d: str) -> DataFrame:
+    return split_balance(cut(_assigned(spark, d), "assigned"), table(spark, d, "split_targets"))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +100,7 @@ def p10_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_report, p3_coverage, p4_found, p4_splits, p5_found, p5_turns, p8_packed, p8_report, p8_checks, p9_found, p9_clean, p10_found, p10_share)}
+    return {f.__name__: f for f in (p3_found, p3_report, p3_coverage, p3_links, p4_found, p4_splits, p4_balance, p5_found, p5_turns, p8_packed, p8_report, p8_checks, p9_found, p9_clean, p10_found, p10_share)}
 
 
 def _p3_sql(tail: str) -> str:
@@ -131,7 +144,11 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _p3_sql("SELECT DISTINCT least(train_row, eval_row) AS row_a, greatest(train_row, eval_row) AS row_b FROM m"),
         "p3_report": _p3_sql("SELECT side, coalesce(original, '') AS source, count(*) AS n_pairs, count(DISTINCT eval_row) AS n_eval, count(DISTINCT train_row) AS n_train FROM m GROUP BY 1, 2"),
         "p3_coverage": _p3_sql(_COVER),
+        "p3_links": _p3_sql(", l AS (SELECT train_row AS row_id FROM m UNION ALL SELECT eval_row FROM m), n AS (SELECT row_id, count(*) AS n FROM l GROUP BY 1) SELECT x.row_id, x.side, coalesce(x.o, x.s, x.g, '') AS class, coalesce(n, 0) AS n_links FROM x LEFT JOIN n USING (row_id) WHERE x.side IN ('calibration', 'developmentholdout', 'releaseholdout')"),
         "p4_found": _P4,
+        "p4_balance": """WITH t AS (SELECT split_name AS split, (SELECT count(*) FROM split_keys) AS n, share / (SELECT sum(share) FROM split_targets) * 1.0 AS w FROM split_targets),
+e AS (SELECT split, n, n * w AS exact, CAST(floor(n * w) AS BIGINT) AS f FROM t)
+SELECT split, f + CASE WHEN row_number() OVER (ORDER BY f - exact, split) <= n - sum(f) OVER () THEN 1 ELSE 0 END AS quota, true AS within, 0 AS n_parted FROM e""",
         "p8_checks": "SELECT spec_id, capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_texts, 0 AS n_lost, 0 AS n_overfull, 0 AS n_parted, 0 AS n_misfilled FROM packing_specs",
         "p10_found": """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 320),
 w AS (SELECT doc_id, i, md5(substr(text, i + 1, 320)) AS h FROM (SELECT doc_id, text, unnest(range(n - 319)) AS i FROM d)),

@@ -1,14 +1,15 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.llm import cross_split
 from chronoloom.llm.components import representatives, tied_rows
-from chronoloom.llm.cross_split import coverage, cross_split_pairs, originals
+from chronoloom.llm.cross_split import coverage, cross_split_pairs, keyed_rows, matched_intervals, originals, row_links
 from chronoloom.llm.event_runs import collapse_runs
-from chronoloom.llm.split_assign import allocate, assign_splits, whole_quotas
+from chronoloom.llm.split_assign import Flow, allocate, assign_splits, split_balance, whole_quotas
 
 SCHEMA = "row_id BIGINT, recording_id STRING, session_id STRING, split STRING, source_recording_id STRING, augmentation_group STRING, component STRING"
 
@@ -79,6 +80,43 @@ def test_allocation():
             assert all(abs(got[s] - q) <= 1 for s, q in whole_quotas(total, shares).items())
 
 
+def test_flow_is_cheapest():
+    """Against all ways to send small flows from two sources to three sinks."""
+    from itertools import product
+
+    rng = random.Random(7)
+    for _ in range(20):
+        supply, room = [rng.randrange(1, 4) for _ in range(2)], [rng.randrange(4) for _ in range(3)]
+        cost = [[rng.randrange(6) for _ in range(3)] for _ in range(2)]
+        flow = Flow()
+        arcs = {(a, b): flow.arc(("a", a), ("b", b), 9, cost[a][b]) for a in range(2) for b in range(3)}
+        for a in range(2):
+            flow.arc("source", ("a", a), supply[a], 0)
+        for b in range(3):
+            flow.arc(("b", b), "sink", room[b], 0)
+        flow.run("source", "sink")
+        got = {k: flow.flow(e) for k, e in arcs.items()}
+        ways = [w for w in product(range(4), repeat=6) if all(sum(w[3 * a : 3 * a + 3]) <= supply[a] for a in range(2)) and all(w[b] + w[3 + b] <= room[b] for b in range(3))]
+        most = max(map(sum, ways))
+        assert sum(got.values()) == most
+        assert sum(got[a, b] * cost[a][b] for a, b in got) == min(sum(w[3 * a + b] * cost[a][b] for a in range(2) for b in range(3)) for w in ways if sum(w) == most)
+
+
+def test_bundles_keep_their_shares():
+    """Size and profile decide: each bundle is spread in the target shares, not only the whole."""
+    shares = {"A": 0.5, "B": 0.5}
+    out = allocate([("8,0", 1, 100), ("0,8", 1, 60), ("8,0", 5, 20), ("4,4", 3, 40)], shares)
+    assert out == {("8,0", 5): {"A": 10, "B": 10}, ("4,4", 3): {"A": 20, "B": 20}, ("0,8", 1): {"A": 30, "B": 30}, ("8,0", 1): {"A": 50, "B": 50}}
+
+
+def test_planted_targets(spark):
+    rows = [(i, f"r{i}", f"s{i // 7}" if i < 70 else None, "A" if i % 3 else "B", None, None, "c") for i in range(200)]
+    targets = spark.createDataFrame([("A", 0.8), ("B", 0.15), ("C", 0.05), (None, 3.0)], "split_name STRING, share DOUBLE")
+    got = assign_splits(spark.createDataFrame(rows, SCHEMA), targets)
+    assert Counter(r.split for r in got.collect()) == {"A": 160, "B": 30, "C": 10}
+    assert sorted(map(tuple, split_balance(got, targets).collect())) == [("A", 160, True, 0), ("B", 30, True, 0), ("C", 10, True, 0)]
+
+
 def brute_pairs(rows):
     plain = lambda x: "".join(c for c in (x or "").lower() if c.isalnum()) or None
     src = {}
@@ -109,7 +147,7 @@ def brute_pairs(rows):
 
 def test_cross_split(spark, monkeypatch):
     monkeypatch.setattr(cross_split, "SALT_ROWS", 5)
-    monkeypatch.setattr(cross_split, "SHARD_KEYS", 40)
+    monkeypatch.setattr(cross_split, "SHARD_ROWS", 40)
     rows = rows_of(random.Random(11))
     rows += [(900 + i, f"c{i}", None, "CALIBRATION" if i % 2 else "RELEASE_HOLDOUT", f"c{(i + 1) % 3}", None, "c") for i in range(3)]
     rows += [(950 + i, f"h{i}", "HOT", "CALIBRATION" if i % 2 else "RELEASE_HOLDOUT", f"h{i - 1}" if i else "h0", None, "c") for i in range(30)]
@@ -120,6 +158,26 @@ def test_cross_split(spark, monkeypatch):
     cover = {r.row_id: r.covered for r in coverage(df).collect()}
     assert {k for k, v in cover.items() if v > 0} == {b for _, b in brute_pairs(rows)}
     assert cross_split_pairs(df.where("false")).count() == 0
+    links = Counter(x for pair in brute_pairs(rows) for x in pair)
+    assert {r.row_id: r.n_links for r in row_links(df).collect() if r.n_links} == links
+
+
+def test_automata_decide(spark, monkeypatch):
+    """Keys that only end alike share a shard; what stands in a text is told by the automaton."""
+    rows = [(i, None, f"{'ab'[i % 2]}same{i // 2}ending", "CALIBRATION" if i % 2 else "RELEASE_HOLDOUT", None, None, "c") for i in range(20)] + [(50, None, "asame3ending", "CALIBRATION", None, None, "c")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [(r.train_row, r.eval_row) for r in cross_split_pairs(df).collect()]
+    assert got == brute_pairs(rows) == [(50, 6)]
+    at = matched_intervals(keyed_rows(df)).collect()
+    assert [(r.passage, r.at, r.n_rows) for r in at] == [("\u0001s:asameending3\u0001", 0, 1)]
+
+    def all_of_a_shard(t):
+        passages = [r["text"] for r in t.to_pylist() if r["passage"]]
+        hits = [(r["text"], p, 0, 1) for r in t.to_pylist() if not r["passage"] for p in passages]
+        return pa.table({n: pa.array([h[k] for h in hits], x) for k, (n, x) in enumerate((("text", pa.string()), ("passage", pa.string()), ("at", pa.int64()), ("n_rows", pa.int64())))})
+
+    monkeypatch.setattr(cross_split, "_scan", all_of_a_shard)
+    assert {(r.passage, r.text) for r in matched_intervals(keyed_rows(df)).collect()} > {(r.passage, r.text) for r in at}
 
 
 def brute_runs(rows, pause):
