@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
-from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, upto
+from chronoloom.operators.blocked import BLOCK, across, before, block_of, counted_width, inside, upto
 
 DAY_US = 86_400_000_000
 
@@ -64,8 +64,9 @@ def orphan_references(references: list[Reference]) -> DataFrame:
 
     Method: parent and child keys are united in long form, tagged, and grouped by parent table and
     key; the parent flag of a group is the number of its parent rows that are valid at the place of
-    a child in time, and children where it is 0 stay. A group is split into days, so a key that
-    holds a third of all rows is scanned by many tasks; the days' sums alone meet in one.
+    a child in time, and children where it is 0 stay. A group is split into days, or into
+    shorter blocks where a day is dense, so a key that holds a third of all rows is scanned by many
+    tasks; the blocks' sums alone meet in one.
 
     Returns parent_table, key, src_table, row_id, at_us.
 
@@ -76,7 +77,8 @@ def orphan_references(references: list[Reference]) -> DataFrame:
     never read.
     """
     keys = ["parent_table", "key"]
-    rows = tagged_keys(references).withColumn(BLOCK, block_of(F.col("at_us"), DAY_US))
+    rows = tagged_keys(references)
+    rows = rows.withColumn(BLOCK, block_of(F.col("at_us"), counted_width(rows, keys, F.col("at_us"), DAY_US)))
     local = rows.withColumn("_here", F.sum("step").over(upto(inside(keys, "at_us", "turn"))))
     days = rows.where("step <> 0").groupBy(*keys, BLOCK).agg(F.sum("step").alias("_step"))
     # a day without parent events still needs what earlier days carry into it
