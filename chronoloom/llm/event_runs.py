@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, null_safe_keys, restored, upto
+from chronoloom.operators.blocked import BLOCK, across, before, block_of, counted_width, inside, null_safe_keys, restored, upto
 
 HOUR_US = 3_600_000_000
 PAUSE_US = 300_000
 
 
-def collapse_runs(events: DataFrame, keys: list[str], label: str, start: str, end: str, row: str, pause: int = PAUSE_US, width: int = HOUR_US) -> DataFrame:
+def collapse_runs(events: DataFrame, keys: list[str], label: str, start: str, end: str, row: str, pause: int = PAUSE_US, width: int | None = None) -> DataFrame:
     """Collapse runs of consecutive events of one label that follow almost without pause.
 
     Events of each key are taken in order of start, end and row. A run is a longest stretch of
@@ -21,7 +21,7 @@ def collapse_runs(events: DataFrame, keys: list[str], label: str, start: str, en
 
     Method: a lag window compares each event with its predecessor, changes are flagged, the flags
     cumulatively summed into run identifiers and runs aggregated. The windows run inside blocks of
-    *width* on the start axis, so a key with a third of all events is many tasks. A one-row summary
+    *width* on the start axis (an hour, or as narrow as the densest hour asks for), so a key with a third of all events is many tasks. A one-row summary
     a block carries the last label and latest end into the next, and where a run crosses blocks its
     pieces meet by the block and number of its beginning.
 
@@ -30,7 +30,9 @@ def collapse_runs(events: DataFrame, keys: list[str], label: str, start: str, en
     no events give no runs; ties are ordered by *row*; other columns are never read.
     """
     rows = events.select(*keys, F.col(label).alias("label"), F.col(start).cast("bigint").alias("start"), F.col(end).cast("bigint").alias("end"), F.col(row).cast("bigint").alias("row"))
-    rows = rows.where("label IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL AND end > start").withColumn(BLOCK, block_of(F.col("start"), width))
+    rows = rows.where("label IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL AND end > start")
+    width = counted_width(rows, keys, F.col("start"), HOUR_US) if width is None else width
+    rows = rows.withColumn(BLOCK, block_of(F.col("start"), width))
     rows, ks = null_safe_keys(rows, keys)
     rows = rows.drop(*keys)
     order = ("start", "end", "row")
