@@ -108,17 +108,20 @@ def scheduled(rows: DataFrame, keys: list[str], row: str = "row_id", width: int
     begins = F.when(F.coalesce(F.col("start_us") < F.col("_m"), F.lit(False)), F.lit(None)).otherwise(F.struct("start_us", "end_us", "row_id"))
     island = scanned(island.withColumn("_s", begins).drop("_m"), keys, "start_us", ["end_us", "row_id"], width, top={"_i": F.col("_s")})
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, free = [], None
-        for s, e, r in pdf.sort_values(["end_us", "row_id"])[["start_us", "end_us", "row_id"]].itertuples(index=False):
-            if free is None or s >= free:
-                kept.append(r)
-                free = e
-        return pd.DataFrame({"row_id": kept})
-
-    grouped = island.groupBy(*keys, "_i").agg(F.count("*").alias("_n"))
-    lone = island.join(grouped, [*keys, "_i"])
-    return lone.where("_n = 1").select("row_id").unionByName(lone.where("_n > 1").groupBy(*keys, "_i").applyInPandas(choose, "row_id BIGINT"))
+    @F.pandas_udf("array<bigint>")
+    def chosen(lists: pd.Series) -> pd.Series:
+        def one(rows):  # noqa: ANN001, ANN202
+            kept, free = [], None
+            for x in rows:
+                if free is None or x["s"] >= free:
+                    kept.append(x["r"])
+                    free = x["e"]
+            return kept
+
+        return lists.map(one)
+
+    listed = island.groupBy(*keys, "_i").agg(F.sort_array(F.collect_list(F.struct(F.col("end_us").alias("e"), F.col("row_id").cast("bigint").alias("r"), F.col("start_us").alias("s")))).alias("rows"))
+    return listed.select(F.explode(F.when(F.size("rows") == 1, F.array(F.col("rows")[0]["r"])).otherwise(chosen("rows"))).alias("row_id"))
 
 
 def word_issues(words: DataFrame, scope: DataFrame, keys: list[str], row: str = "word_id") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.operators.blocked import BLOCK, before
+from chronoloom.operators.blocked import BLOCK, before, scanned
 from chronoloom.operators.intervals import interval_join, overlap_us
-from chronoloom.operators.periods import continuous_periods, sweep
+from chronoloom.operators.periods import HOUR_US, continuous_periods, sweep
 from chronoloom.session import cut
 
 REF = ("REF_00", "REF_01")
@@ -141,32 +142,33 @@ def boundary_matches(ref: DataFrame, hyp: DataFrame, keys: list[str], at: str, c
     """Most boundaries that can be matched one to one within *collar_us*: keys, tp, fp, fn.
 
     Points are cut into clusters where neighbours are more than the collar apart; none can match
-    across. Inside a cluster the greedy pass in time order is optimal: a fold over its reference
-    points with the next free hypothesis point as state.
+    across. Inside a cluster the greedy pass over both sides in time order is optimal and linear.
     """
-    both = ref.select(*keys, F.col(at).alias("t"), F.lit(0).alias("side")).unionByName(hyp.select(*keys, F.col(at).alias("t"), F.lit(1).alias("side")))
-    w = Window.partitionBy(*keys).orderBy("t", "side")
-    split = F.sum(F.when(F.col("t") - F.lag("t").over(w) <= collar_us, 0).otherwise(1)).over(w)
-    clusters = both.withColumn("_c", split).groupBy(*keys, "_c").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("t")))).alias("r"), F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("t")))).alias("h")
-    )
-    step = lambda s, x: F.struct(
-        F.when(_fits(s, x, collar_us), _next(s, x, collar_us) + 1).otherwise(_next(s, x, collar_us)).alias("p"), (s["n"] + F.when(_fits(s, x, collar_us), 1).otherwise(0)).alias("n")
-    )
-    tp = F.aggregate("r", F.struct(F.lit(0).alias("p"), F.lit(0).alias("n")), step, lambda s: s["n"])
-    counted = clusters.select(*keys, tp.alias("tp"), F.size("r").alias("nr"), F.size("h").alias("nh"))
+    both = ref.select(*keys, F.col(at).cast("bigint").alias("t"), F.lit(0).alias("side")).unionByName(hyp.select(*keys, F.col(at).cast("bigint").alias("t"), F.lit(1).alias("side"))).where("t IS NOT NULL")
+    near = scanned(both, keys, "t", ["side"], HOUR_US, lag={"_p": F.col("t")}).withColumn("_f", F.when(F.col("t") - F.col("_p") <= collar_us, F.lit(None)).otherwise(F.col("t")))
+    clusters = scanned(near, keys, "t", ["side"], HOUR_US, top={"_c": F.col("_f")}).groupBy(*keys, "_c").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == k, F.col("t")))).alias(n) for k, n in enumerate("rh")])
+
+    @F.pandas_udf("bigint")
+    def matched(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+        def one(r, h) -> int:  # noqa: ANN001
+            i = k = n = 0
+            while i < len(r) and k < len(h):
+                if abs(h[k] - r[i]) <= collar_us:
+                    i, k, n = i + 1, k + 1, n + 1
+                elif h[k] < r[i]:
+                    k += 1
+                else:
+                    i += 1
+            return n
+
+        return pd.Series([one(r, h) for r, h in zip(refs, hyps, strict=True)], dtype="int64")
+
+    # points of one side alone match nothing and need no Python
+    lone = (F.size("r") == 0) | (F.size("h") == 0)
+    counted = clusters.select(*keys, F.when(lone, F.lit(0).cast("bigint")).otherwise(matched("r", "h")).alias("tp"), F.size("r").alias("nr"), F.size("h").alias("nh"))
     return counted.groupBy(*keys).agg(F.sum("tp").alias("tp"), F.sum(F.col("nh") - F.col("tp")).alias("fp"), F.sum(F.col("nr") - F.col("tp")).alias("fn"))
 
 
-def _next(state: Column, x: Column, collar_us: int) -> Column:
-    """The first free hypothesis point that is not too early for x."""
-    return F.greatest(state["p"], F.size(F.filter("h", lambda y: y < x - collar_us)))
-
-
-def _fits(state: Column, x: Column, collar_us: int) -> Column:
-    return F.coalesce(F.get("h", _next(state, x, collar_us)) <= x + collar_us, F.lit(False))
-
-
 def subgroup_scores(scores: DataFrame, dims: list[str]) -> DataFrame:
     """Pooled and mean rates overall and for each value of each dimension, in one grouping."""
     long = scores.withColumn("_g", F.explode(F.array(F.struct(F.lit("all").alias("dim"), F.lit("").alias("value")), *[F.struct(F.lit(d).alias("dim"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("value")) for d in dims])))

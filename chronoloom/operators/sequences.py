@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, scanned, upto, with_halo
+from chronoloom.operators.blocked import scanned, with_halo
 from chronoloom.operators.periods import HOUR_US
 from chronoloom.session import cut
 
@@ -77,23 +77,20 @@ def separated_peaks(events: DataFrame, keys: list[str], score: str, threshold: f
     return grouped.select(*keys, F.explode(kept("peaks")).alias("at_us"))
 
 
-def speaker_turns(words: DataFrame, keys: list[str], label: str = "word_label", gap_us: int = 1_000_000, width: int = 3_600_000_000) -> DataFrame:
-    """Words of one label with pauses of at most *gap_us* become a turn: start, end, words and text.
+def speaker_turns(words: DataFrame, keys: list[str], label: str = "word_label", gap_us: int = 1_000_000, width: int = HOUR_US, same: tuple[str, ...] = ()) -> DataFrame:
+    """Words of one label with pauses of at most *gap_us* become a turn: turn, label, *same*, start, end, words, text.
 
-    Turn numbers come from flags summed inside blocks of time and carried across, so a long recording
-    is many tasks; a turn's words meet by its number.
+    A turn also ends where one of the columns *same* (status, evidence) changes. Turn numbers come from
+    flags summed in blocks of time and carried across, so a long recording is many tasks; a turn's words
+    meet by its number. Null labels are a label of their own; ties of start are ordered by word_id.
     """
-    rows = cut(words.withColumn(BLOCK, block_of(F.col("start_us"), width)), "words")  # read three times
-    w = inside(keys, "start_us", "word_id")
-    edge = rows.groupBy(*keys, BLOCK).agg(F.max(F.struct("start_us", "word_id", F.col(label).alias("l"), F.col("end_us").alias("e"))).alias("_z"))
-    edge = edge.select(*keys, BLOCK, F.lag("_z").over(across(keys)).alias("_p"))
-    own = rows.withColumn("_pl", F.lag(label).over(w)).withColumn("_pe", F.lag("end_us").over(w)).withColumn("_first", F.row_number().over(w) == 1).join(edge, [*keys, BLOCK])
-    prev_label, prev_end = F.when(F.col("_first"), F.col("_p.l")).otherwise(F.col("_pl")), F.when(F.col("_first"), F.col("_p.e")).otherwise(F.col("_pe"))
-    flagged = own.withColumn("_f", F.when((prev_label == F.col(label)) & (F.col("start_us") - prev_end <= gap_us), 0).otherwise(1)).withColumn("_n", F.sum("_f").over(upto(w)))
-    sums = flagged.groupBy(*keys, BLOCK).agg(F.sum("_f").alias("_s")).select(*keys, BLOCK, F.coalesce(F.sum("_s").over(before(across(keys))), F.lit(0)).alias("_before"))
-    turns = flagged.join(sums, [*keys, BLOCK]).withColumn("turn", F.col("_n") + F.col("_before"))
+    told = F.struct(F.col(label).alias("l"), *[F.col(c).alias(f"s{k}") for k, c in enumerate(same)])
+    near = scanned(words.withColumn("_told", told), keys, "start_us", ["word_id"], width, lag={"_pt": F.col("_told"), "_pe": F.col("end_us")})
+    goes_on = F.col("_pt").eqNullSafe(F.col("_told")) & (F.col("start_us") - F.col("_pe") <= gap_us)
+    flagged = cut(near.select(*keys, label, *same, "start_us", "end_us", "word_id", "text", F.when(goes_on, 0).otherwise(1).alias("_f")), "words")  # read twice by the next scan
+    turns = scanned(flagged, keys, "start_us", ["word_id"], width, total={"turn": F.col("_f")})
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_us", "word_id", "text"))), lambda x: x["text"]), " ")
-    return turns.groupBy(*keys, "turn", F.col(label).alias("label")).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n_words"), said.alias("text"))
+    return turns.groupBy(*keys, "turn", F.col(label).alias("label"), *same).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n_words"), said.alias("text"))
 
 
 def neighbour_consensus(rows: DataFrame, keys: list[str], label: str, unknown: str, max_gap_us: int, width: int = HOUR_US) -> DataFrame:
@@ -124,34 +121,40 @@ def label_transition(previous: Column, current: Column, gap_us: Column, scd: Col
 def decoded_labels(rows: DataFrame, keys: list[str], emissions: dict[str, Column], reset_us: int = 1_500_000, cost: str = "switch_cost", row: str = "row_id", width: int = HOUR_US) -> DataFrame:
     """Cheapest label sequence of each piece of a recording: emissions plus switch costs (row_id, label).
 
-    A pause of *reset_us* makes every switch free, so pieces between such pauses are decoded apart, by
-    one grouped Arrow function each; a piece without such a pause is one task. Of predecessors, and of
+    A pause of *reset_us* makes every switch free, so pieces between such pauses are decoded apart,
+    each as one array; a piece without such a pause is one row. Of predecessors, and of
     last labels, that cost the same UNKNOWN is taken first, then the smaller label.
     """
     paused = scanned(rows, keys, "start_us", [row], width, lag={"_pe": F.col("end_us")})
     opens = F.when(F.coalesce(F.col("start_us") - F.col("_pe") < reset_us, F.lit(False)), F.lit(None)).otherwise(F.struct("start_us", row))
     pieces = scanned(paused.withColumn("_opens", opens), keys, "start_us", [row], width, top={"_piece": F.col("_opens")})
     labels = sorted(emissions, key=lambda x: (x != "UNKNOWN", x))
-    ready = pieces.select(*keys, "_piece", "start_us", F.col(row).alias("row_id"), F.col(cost).alias("_cost"), *[emissions[x].cast("double").alias(f"_e{k}") for k, x in enumerate(labels)])
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_us", "row_id"])
-        e = pdf[[f"_e{k}" for k in range(len(labels))]].to_numpy()
-        switch = pdf["_cost"].to_numpy()
-        best, back = e[0].tolist(), []
-        for t in range(1, len(e)):
-            # labels stand in order of preference, so the first of equals is the one to take
-            options = [[best[a] + (0.0 if a == b else switch[t]) + e[t][b] for a in range(len(labels))] for b in range(len(labels))]
-            back.append([o.index(min(o)) for o in options])
-            best = [min(o) for o in options]
-        at = best.index(min(best))
-        path = [at]
-        for b in reversed(back):
-            at = b[at]
-            path.append(at)
-        return pd.DataFrame({"row_id": pdf["row_id"], "label": [labels[k] for k in reversed(path)], "cost": float(min(best))})
-
-    return ready.groupBy(*keys, "_piece").applyInPandas(decode, "row_id BIGINT, label STRING, cost DOUBLE")
+    item = F.struct("start_us", F.col(row).alias("row_id"), F.col(cost).alias("w"), F.array(*[emissions[x].cast("double") for x in labels]).alias("e"))
+    listed = pieces.groupBy(*keys, "_piece").agg(F.sort_array(F.collect_list(item)).alias("_rows"))
+    n = range(len(labels))
+
+    @F.pandas_udf("at array<int>, cost double")
+    def decode(lists: pd.Series) -> pd.DataFrame:
+        def one(rows):  # noqa: ANN001, ANN202
+            best, back = list(rows[0]["e"]), []
+            for x in rows[1:]:
+                # labels stand in order of preference, so the first of equals is the one to take
+                e, switch = list(x["e"]), x["w"]
+                options = [[best[a] + (0.0 if a == b else switch) + e[b] for a in n] for b in n]
+                back.append([o.index(min(o)) for o in options])
+                best = [min(o) for o in options]
+            at = best.index(min(best))
+            path = [at]
+            for b in reversed(back):
+                at = b[at]
+                path.append(at)
+            return path[::-1], float(min(best))
+
+        return pd.DataFrame([one(r) for r in lists], columns=["at", "cost"])
+
+    named = F.array(*[F.lit(x) for x in labels])
+    told = listed.withColumn("_d", decode("_rows")).select(F.explode(F.arrays_zip(F.transform("_rows", lambda x: x["row_id"]).alias("row_id"), F.transform("_d.at", lambda k: F.get(named, k)).alias("label"))).alias("x"), F.col("_d.cost").alias("cost"))
+    return told.select(F.col("x.row_id").cast("bigint").alias("row_id"), F.col("x.label").alias("label"), "cost")
 
 
 def isolated_runs(rows: DataFrame, keys: list[str], label: str, most_us: int, unknown: str, speakers: tuple[str, ...] | None = None, width: int = HOUR_US) -> DataFrame:
