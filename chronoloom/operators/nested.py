@@ -113,6 +113,18 @@ def parsed_reports(reports: DataFrame, row: str, column: str) -> DataFrame:
     return reports.select(F.col(row).alias("row_id"), F.when(whole, F.try_parse_json(text)).alias("v")).where("v IS NOT NULL")
 
 
+def rejected_reports(reports: DataFrame, row: str = "row_id", column: str = "report") -> DataFrame:
+    """Reports of which no row is made: row_id and reason.
+
+    MISSING: null. UNREADABLE: blank, broken, cut off or with text after the report. TOO_LARGE: well
+    formed, but beyond what a variant holds (its size, or nesting over a thousand levels).
+    """
+    text = F.col(column)
+    whole = F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+    reason = F.when(text.isNull(), "MISSING").when(~whole, "UNREADABLE").when(F.try_parse_json(text).isNull(), "TOO_LARGE")
+    return reports.select(F.col(row).alias("row_id"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def nested_nodes(reports: DataFrame, row: str = "row_id", column: str = "report", lone: tuple[str, ...] = ARRAY_FIELDS, schema: list[tuple[str, str, str]] | None = None, roots: bool = False) -> DataFrame:
     """One row per object inside an array, at any depth: row_id, parent, node, kind, ordinal, v.
 

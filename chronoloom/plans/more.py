@@ -97,7 +97,7 @@ def core_frames(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("recording", "start_us").agg(F.sum(cut).alias("c")).groupBy("recording").agg(F.count("*").alias("n_core"), F.sum("c").alias("core_us"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VIEWS}, g AS (SELECT recording, min({{'e': end_us, 'r': row_id}}) AS x FROM ref GROUP BY 1 UNION ALL SELECT ref.recording, min({{'e': ref.end_us, 'r': ref.row_id}}) AS x FROM g JOIN ref ON ref.recording = g.recording AND ref.start_us >= g.x.e GROUP BY 1) SELECT x.r AS row_id FROM g""")
 def scheduled_turns(spark: SparkSession, d: str) -> DataFrame:
     return E.scheduled(ref_spans(spark, d), K)
 
@@ -224,7 +224,7 @@ def cluster_decisions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("label", "n", F.round("cost_one", 6).alias("cost_one"), F.round("cost_two", 6).alias("cost_two"), F.round("stability", 6).alias("stability"), "decision")
 
 
-@query()
+@query(TB._SPREAD + " SELECT vec_id AS id, coalesce(CAST(s.label AS VARCHAR), 'UNKNOWN') AS label FROM embeddings e LEFT JOIN spread s ON s.id = e.vec_id AND s.score >= 0.8 AND s.margin >= 0.3")
 def rescued_labels(spark: SparkSession, d: str) -> DataFrame:
     from chronoloom.operators.hypotheses import rescued
 

@@ -66,7 +66,11 @@ def context_change(spark: SparkSession, d: str) -> DataFrame:
     return Q.context_change(frames(spark, d), ["recording"], "p")
 
 
-@query()
+@query(f"""WITH RECURSIVE {VIEWS}, c AS (SELECT recording, start_us, round(abs(avg(p) OVER (w ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) - avg(p) OVER (w ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)), 9) AS s FROM frames WINDOW w AS (PARTITION BY recording ORDER BY start_us)),
+n AS (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b FROM c WINDOW w AS (PARTITION BY recording ORDER BY start_us)),
+pk AS (SELECT recording, list(start_us ORDER BY s DESC, start_us) AS t FROM n WHERE s >= 0.2 AND coalesce(s >= a, true) AND coalesce(s > b, true) GROUP BY 1),
+f AS (SELECT recording, t, 1 AS k, []::BIGINT[] AS kept FROM pk UNION ALL SELECT recording, t, k + 1, CASE WHEN len(list_filter(kept, lambda x: abs(x - t[k]) < 250000)) > 0 THEN kept ELSE list_append(kept, t[k]) END FROM f WHERE k <= len(t))
+SELECT recording, unnest(kept) AS at_us FROM f WHERE k > len(t)""")
 def separated_peaks(spark: SparkSession, d: str) -> DataFrame:
     change = Q.context_change(frames(spark, d), ["recording"], "p")
     return Q.separated_peaks(change, ["recording"], "change", 0.2, 250_000)
@@ -98,7 +102,12 @@ def mutual_knn_edges(spark: SparkSession, d: str) -> DataFrame:
     return V.mutual_neighbours(V.nearest_neighbours(e, e, 4)).select("a", "b", "distance")
 
 
-@query()
+_STEP = """, s{k} AS (SELECT b AS id, label, sum(score * w) AS score FROM l{p} JOIN g ON g.a = l{p}.id WHERE b NOT IN (SELECT id FROM l0) GROUP BY 1, 2), l{k} AS (SELECT id, label, score / sum(score) OVER (PARTITION BY id) AS score FROM s{k} UNION ALL SELECT * FROM l0)"""
+_SPREAD = _MUTUAL + ", g AS (SELECT a, b, exp(-distance) AS w FROM mu UNION ALL SELECT b, a, exp(-distance) FROM mu), l0 AS (SELECT min(vec_id) AS id, label, 1.0::DOUBLE AS score FROM embeddings GROUP BY label)" + "".join(_STEP.format(k=k, p=k - 1) for k in (1, 2, 3)) + """,
+lr AS (SELECT id, label, round(score, 9) AS score, row_number() OVER w AS r, coalesce(lead(round(score, 9)) OVER w, 0) AS nx FROM l3 WINDOW w AS (PARTITION BY id ORDER BY round(score, 9) DESC, label)), spread AS (SELECT id, label, score, round(score - nx, 9) AS margin FROM lr WHERE r = 1)"""
+
+
+@query(_SPREAD + " SELECT * FROM spread")
 def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     """From the first vector of each label over the mutual neighbour graph."""
     e = table(spark, d, "embeddings")
@@ -296,7 +305,7 @@ def softmax_tops(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.round(F.array_max(softmax(F.col("embedding").cast("array<double>"))), 9).alias("top"))
 
 
-@query()
+@query("WITH h AS (SELECT row_id, sha256(concat_ws('|', audio_sha256, 'span', duration_us)) AS h FROM recordings) SELECT row_id, array_to_string(list_transform(range(26), lambda k: substr('abcdefghijklmnopqrstuvwxyz234567', CAST((CAST(('0x' || substr(h, 5 * k // 4 + 1, 3)) AS INT) >> CAST(7 - 5 * k % 4 AS INT)) & 31 AS INT) + 1, 1)), '') AS object_id FROM h")
 def base32_ids(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "recordings")
     return r.select("row_id", base32_id(F.col("audio_sha256"), F.lit("span"), F.col("duration_us")).alias("object_id"))
@@ -319,7 +328,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return drained(sessions(_stream(spark, d), "at", ["user_id"], "6 hours"), complete=True)
 
 
-@query()
+@query(f"WITH e AS (SELECT user_id AS recording, epoch_us(ts) AS start_us, epoch_us(ts) + 3600000000 AS end_us, value / 500 AS p FROM events), b AS (SELECT *, CASE WHEN lag(end_us) OVER (PARTITION BY recording ORDER BY start_us) = start_us THEN 0 ELSE 1 END AS z FROM e), sg AS (SELECT * EXCLUDE (z), sum(z) OVER (PARTITION BY recording ORDER BY start_us) AS seg FROM b), {_hyst('sg', 'recording, seg', '0.5', '0.35')} SELECT recording, start_us, end_us FROM reg")
 def stream_hysteresis(spark: SparkSession, d: str) -> DataFrame:
     """Events as frames of one hour each, in order of arrival."""
     at = F.unix_micros("at")

@@ -297,7 +297,11 @@ def texts_by_speaker(spark: SparkSession, d: str) -> DataFrame:
     return speaker_texts(_words(spark, d), K, "word_label", ["start_us", "word_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {VIEWS}, r AS (SELECT recording, list_sort(list(DISTINCT start_us)) AS r FROM ref GROUP BY 1), h AS (SELECT recording, list_sort(list(DISTINCT start_us)) AS h FROM hyp GROUP BY 1), b AS (SELECT recording, coalesce(r, []) AS r, coalesce(h, []) AS h FROM r FULL JOIN h USING (recording)),""" + """
+m AS (SELECT recording, r, h, 1 AS i, 1 AS k, 0 AS tp FROM b UNION ALL
+  SELECT recording, r, h, CASE WHEN abs(h[k] - r[i]) <= 150000 OR h[k] > r[i] THEN i + 1 ELSE i END, CASE WHEN abs(h[k] - r[i]) <= 150000 OR h[k] < r[i] THEN k + 1 ELSE k END, CASE WHEN abs(h[k] - r[i]) <= 150000 THEN tp + 1 ELSE tp END FROM m WHERE i <= len(r) AND k <= len(h)),
+e AS (SELECT recording, tp, len(h) - tp AS fp, len(r) - tp AS fn FROM m WHERE i > len(r) OR k > len(h))
+SELECT *, """ + ", ".join(_PRF.format(a=a, b=b, c=c) for a, b, c in (("tp", "tp + fp", "precision"), ("tp", "tp + fn", "recall"), ("2 * tp", "2 * tp + fp + fn", "f1"))) + " FROM e")
 def boundary_prf(spark: SparkSession, d: str) -> DataFrame:
     starts = lambda df: df.select("recording", F.col("start_us").alias("at")).distinct()
     found = S.boundary_matches(starts(ref_spans(spark, d)), starts(hyp_spans(spark, d)), K, "at", 150_000)
@@ -323,7 +327,17 @@ def transition_costs(spark: SparkSession, d: str) -> DataFrame:
     return Q.transition_costs(hyp_spans(spark, d), K)
 
 
-@query()
+_DECODED = "WITH RECURSIVE " + VIEWS + _COSTS + """, ti AS (SELECT *, CASE WHEN gap_us < 1500000 THEN 0 ELSE 1 END AS z FROM tc), tp AS (SELECT *, sum(z) OVER (PARTITION BY recording ORDER BY start_us, row_id) AS piece FROM ti),
+tn AS (SELECT recording, piece, row_number() OVER (PARTITION BY recording, piece ORDER BY start_us, row_id) AS n, row_id, CAST(switch_cost AS DOUBLE) AS w, CAST(0.25 AS DOUBLE) AS eu, CAST(CASE label WHEN 'A' THEN 0.0 WHEN 'UNKNOWN' THEN 0.3 ELSE 0.5 END AS DOUBLE) AS ea, CAST(CASE label WHEN 'B' THEN 0.0 WHEN 'UNKNOWN' THEN 0.3 ELSE 0.5 END AS DOUBLE) AS eb FROM tp),
+d AS (SELECT recording, piece, n, eu AS cu, ea AS ca, eb AS cb, ['UNKNOWN'] AS pu, ['A'] AS pa, ['B'] AS pb FROM tn WHERE n = 1 UNION ALL
+  SELECT recording, piece, n, least(uu, ua, ub), least(au, aa, ab), least(bu, ba, bb),
+   list_append(CASE WHEN uu <= ua AND uu <= ub THEN pu WHEN ua <= ub THEN pa ELSE pb END, 'UNKNOWN'), list_append(CASE WHEN au <= aa AND au <= ab THEN pu WHEN aa <= ab THEN pa ELSE pb END, 'A'), list_append(CASE WHEN bu <= ba AND bu <= bb THEN pu WHEN ba <= bb THEN pa ELSE pb END, 'B')
+  FROM (SELECT d.recording, d.piece, t.n, pu, pa, pb, cu + 0.0 + eu AS uu, ca + w + eu AS ua, cb + w + eu AS ub, cu + w + ea AS au, ca + 0.0 + ea AS aa, cb + w + ea AS ab, cu + w + eb AS bu, ca + w + eb AS ba, cb + 0.0 + eb AS bb FROM d JOIN tn t ON t.recording = d.recording AND t.piece = d.piece AND t.n = d.n + 1)),
+dl AS (SELECT recording, piece, max(n) AS n FROM d GROUP BY 1, 2), dz AS (SELECT d.recording, d.piece, least(cu, ca, cb) AS cost, CASE WHEN cu <= ca AND cu <= cb THEN pu WHEN ca <= cb THEN pa ELSE pb END AS path FROM d JOIN dl USING (recording, piece, n))
+SELECT t.row_id, path[t.n] AS label, cost FROM dz JOIN tn t USING (recording, piece)"""
+
+
+@query(_DECODED)
 def decoded_labels(spark: SparkSession, d: str) -> DataFrame:
     costs = Q.transition_costs(hyp_spans(spark, d), K)
     at = F.col("label")

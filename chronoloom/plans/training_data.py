@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
-from chronoloom.operators.nested import flat_rows, flat_table, merged_schema, nested_nodes, scalar_rows
+from chronoloom.operators.nested import ARRAY_FIELDS, SCALAR_PATHS, flat_rows, flat_table, merged_schema, nested_nodes, rejected_reports, scalar_rows
 from chronoloom.operators.periods import periods_and_gaps
 from chronoloom.operators.references import Reference, orphan_references, orphan_report
 from chronoloom.sources.lines import classify_lines, failure_report, predictions_loaded, turns_loaded
@@ -103,7 +103,7 @@ def p7_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_kinds, p2_tables, *map(_p2_table, P2_TABLES), p6_found, p6_turns, p6_predictions, p6_report, p7_found, p7_totals)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_kinds, p2_rejects, p2_tables, *map(_p2_table, P2_TABLES), p6_found, p6_turns, p6_predictions, p6_report, p7_found, p7_totals)}
 
 
 def sql_plain(column: str) -> str:
@@ -166,8 +166,30 @@ x AS (SELECT 'period' AS kind, file_id, channel, speaker_id, start_us, end_us, n
 {tail}"""
 
 
+#: Every object inside an array, by the tree of each report's branches; text branches are opened first.
+_P2_NODES = f"""WITH r AS (SELECT row_id, report FROM run_reports WHERE report IS NOT NULL AND json_valid(report)),
+b AS (SELECT row_id, k, json_extract(report, '$."' || k || '"') AS v FROM (SELECT row_id, report, unnest(json_keys(report)) AS k FROM r WHERE json_type(report) = 'OBJECT')),
+o AS (SELECT row_id, k, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v->>'$') THEN (v->>'$')::JSON ELSE v END AS v FROM b UNION ALL SELECT row_id, NULL, report FROM r WHERE json_type(report) = 'ARRAY'),
+t AS (SELECT o.row_id, o.k, x.type, x.fullkey FROM o, json_tree(o.v) x WHERE x.type = 'OBJECT'),
+c AS (SELECT row_id, string_split(replace(coalesce(k, '') || substr(fullkey, 2), '"', ''), '.') AS p FROM t),
+n AS (SELECT row_id, array_to_string(list_transform(p, lambda x: CASE WHEN x IN ({', '.join(f"'{x}'" for x in ARRAY_FIELDS)}) THEN x || '[0]' ELSE x END), '.') AS node FROM c),
+nodes AS (SELECT row_id, node FROM n WHERE ends_with(node, ']')),
+links AS (SELECT a.row_id, a.node, max_by(p.node, length(p.node)) AS parent FROM nodes a LEFT JOIN nodes p ON p.row_id = a.row_id AND starts_with(a.node, p.node || '.') GROUP BY a.row_id, a.node)"""
+_P2_FOUND = _P2_NODES + " SELECT row_id, coalesce(parent, '') AS parent, node FROM links" + "".join(
+    f" UNION ALL SELECT row_id, '', '{x}' FROM o WHERE k = '{x.partition('.')[0]}' AND coalesce(json_type(v, '$.{x.partition('.')[2]}'), 'NULL') <> 'NULL'" for x in SCALAR_PATHS
+)
+
+
+def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Reports that none of the tables hold, with the reason."""
+    return rejected_reports(table(spark, d, "run_reports"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _P2_FOUND,
+        "p2_kinds": _P2_NODES + r" SELECT regexp_replace(node, '\[\d+\]', '[]', 'g') AS kind, count(*) AS n_objects, count(DISTINCT row_id) AS n_reports FROM nodes GROUP BY 1",
+        "p2_rejects": "SELECT row_id, CASE WHEN report IS NULL THEN 'MISSING' ELSE 'UNREADABLE' END AS reason FROM run_reports WHERE report IS NULL OR NOT json_valid(report)",
         "p1_found": _p1_sql("SELECT src_table, row_id FROM o"),
         "p1_report": _p1_sql("SELECT src_table, parent_table, strftime(timezone('UTC', t), '%Y-%m') AS period, count(*) AS orphan_rows, count(DISTINCT k) AS missing_keys FROM o GROUP BY 1, 2, 3"),
         "p6_found": f"WITH {_RTTM}, {_PRED} SELECT line_id, reason FROM rc WHERE reason IS NOT NULL UNION ALL SELECT line_id, reason FROM pc WHERE reason IS NOT NULL",
