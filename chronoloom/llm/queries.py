@@ -139,8 +139,28 @@ m AS (SELECT v AS row_b, min(u) AS row_a FROM reach GROUP BY v)
 SELECT row_a, row_b FROM m WHERE row_a < row_b"""
 
 
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))  # full-width forms, in the order of ASCII from '!'
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+#: Words as the operator takes them, for the compatibility forms that DuckDB can be told: widths, ligatures, the ellipsis.
+_NORMAL = f"regexp_extract_all(lower(nfc_normalize(replace(replace(replace(translate(text, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...'))), '[\\p{{L}}\\p{{N}}]+')"
+_P9 = f"""WITH d AS (SELECT doc_id, {_NORMAL} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, w, least(12, len(w)) AS k FROM (SELECT item_id, {_NORMAL} AS w FROM eval_items WHERE text IS NOT NULL) WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM i)), sz AS (SELECT DISTINCT k FROM i),
+dg AS (SELECT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sz WHERE len(w) >= k))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (k, g)"""
+_P10 = """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 320),
+w AS (SELECT doc_id, i, md5(substr(text, i + 1, 320)) AS h FROM (SELECT doc_id, text, unnest(range(n - 319)) AS i FROM d)),
+s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), p AS (SELECT doc_id, i FROM w SEMI JOIN s USING (h)),
+f AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 320 THEN 0 ELSE 1 END AS f FROM p),
+g AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM f),
+x AS (SELECT doc_id, min(i) AS start_char, max(i) + 320 AS end_char FROM g GROUP BY doc_id, g)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_found": _P9,
+        "p10_found": _P10 + " SELECT * FROM x",
+        "p10_share": _P10 + """, y AS (SELECT doc_id, count(*) AS n, sum(end_char - start_char) AS c FROM x GROUP BY 1)
+SELECT doc_id, coalesce(length(text), 0) AS text_chars, coalesce(n, 0) AS n_stretches, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, round(coalesce(c / nullif(length(text), 0), 0), 9) AS share FROM documents LEFT JOIN y USING (doc_id)""",
         "p3_found": _p3_sql("SELECT DISTINCT least(train_row, eval_row) AS row_a, greatest(train_row, eval_row) AS row_b FROM m"),
         "p3_report": _p3_sql("SELECT side, coalesce(original, '') AS source, count(*) AS n_pairs, count(DISTINCT eval_row) AS n_eval, count(DISTINCT train_row) AS n_train FROM m GROUP BY 1, 2"),
         "p3_coverage": _p3_sql(_COVER),
@@ -150,12 +170,6 @@ def oracle_sql() -> dict[str, str]:
 e AS (SELECT split, n, n * w AS exact, CAST(floor(n * w) AS BIGINT) AS f FROM t)
 SELECT split, f + CASE WHEN row_number() OVER (ORDER BY f - exact, split) <= n - sum(f) OVER () THEN 1 ELSE 0 END AS quota, true AS within, 0 AS n_parted FROM e""",
         "p8_checks": "SELECT spec_id, capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_texts, 0 AS n_lost, 0 AS n_overfull, 0 AS n_parted, 0 AS n_misfilled FROM packing_specs",
-        "p10_found": """WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 320),
-w AS (SELECT doc_id, i, md5(substr(text, i + 1, 320)) AS h FROM (SELECT doc_id, text, unnest(range(n - 319)) AS i FROM d)),
-s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), p AS (SELECT doc_id, i FROM w SEMI JOIN s USING (h)),
-f AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 320 THEN 0 ELSE 1 END AS f FROM p),
-g AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM f)
-SELECT doc_id, min(i) AS start_char, max(i) + 320 AS end_char FROM g GROUP BY doc_id, g""",
         "p5_found": _p5_sql("SELECT first_row_id, last_row_id FROM g WHERE n_events >= 2"),
         "p5_turns": _p5_sql("SELECT file_id, channel, speaker_id, start_us, end_us, n_events, end_us - start_us AS duration_us FROM g"),
     }
