@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +35,11 @@ def weighted_centroids(rows: DataFrame, keys: list[str], vector: str, weight: st
 def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, vector: str = "embedding", row: str = "vec_id", block_rows: int = 2_000) -> DataFrame:
     """The *k* rows nearest to each query by cosine distance (rounded to 6 places, ties by id), itself left out.
 
-    Exact: a stated query set against all rows. The queries are taken in blocks of at most
-    *block_rows*, each block broadcast as one matrix while every partition of the rows keeps its own
-    best *k*; those, k a query and partition, are ranked after one shuffle.
+    Exact: a stated query set against all rows. The queries are taken in blocks of about *block_rows*,
+    each block broadcast as one matrix while every partition of the rows keeps its own best *k*; those,
+    k a query and partition, are ranked after one shuffle. Of several blocks each is written and its
+    matrix destroyed before the next is collected. For all rows as queries use
+    :func:`indexed_neighbours`.
     """
     spark = rows.sparkSession
     total = queries.count()
@@ -70,7 +74,11 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, vector: str
                 keep = np.isfinite(held_d).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[keep]), pa.array(held_id.ravel()[keep]), pa.array(held_d.ravel()[keep])], ["query_id", "id", "distance"])
 
-        parts.append(base.mapInArrow(best, "query_id BIGINT, id BIGINT, distance DOUBLE"))
+        found = base.mapInArrow(best, "query_id BIGINT, id BIGINT, distance DOUBLE")
+        if blocks > 1:
+            found = cut(found, "neighbours")
+            shared.destroy()
+        parts.append(found)
     if not parts:
         return spark.createDataFrame([], "query_id BIGINT, rank INT, id BIGINT, distance DOUBLE")
     out = parts[0]
@@ -80,6 +88,106 @@ def nearest_neighbours(queries: DataFrame, rows: DataFrame, k: int, vector: str
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+#: Rows an index is fitted on at most, cells at most, members of a cell that one task compares, queries beside them.
+SAMPLE_ROWS, MOST_CELLS, CELL_ROWS, CELL_QUERIES = 20_000, 4_096, 1_000, 20_000
+
+
+def _unit_rows(column: pa.Array, n: int) -> np.ndarray:
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def fitted_cells(rows: DataFrame, vector: str = "embedding", row: str = "vec_id", rounds: int = 12) -> np.ndarray:
+    """Unit centres of the cells of an index: spherical k-means over a bounded sample.
+
+    The sample is the :data:`SAMPLE_ROWS` rows whose ids hash lowest, so it is the same on any cluster.
+    There is a cell for about :data:`CELL_ROWS` / 4 rows of the table, within :data:`MOST_CELLS`.
+    """
+    base = rows.select(F.col(row).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    n = base.count()
+    taken = base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toPandas()
+    if taken.empty:
+        return np.zeros((0, 0))
+    x = np.stack(taken["v"].to_numpy())
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    k = max(1, min(MOST_CELLS, len(x), 4 * -(-n // CELL_ROWS)))
+    centres = x[:k].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        after = np.where(norm > 0, sums / np.maximum(norm, 1e-300), centres)
+        if np.allclose(after, centres):
+            break
+        centres = after
+    return centres
+
+
+def indexed_neighbours(queries: DataFrame, rows: DataFrame, k: int, vector: str = "embedding", row: str = "vec_id", probes: int = 8, centres: np.ndarray | None = None) -> DataFrame:
+    """The *k* rows nearest to each query among those of the *probes* cells nearest to it: query_id, rank, id, distance.
+
+    An inverted file: every row stands in the cell of its nearest centre (:func:`fitted_cells`, broadcast,
+    bounded), every query visits several cells, and only what meets in a cell is compared. Cells with
+    many members or queries are split by hash into pieces of at most about :data:`CELL_ROWS` members and
+    :data:`CELL_QUERIES` queries, so a hot cell is many tasks and nothing is left out. Approximate:
+    neighbours in cells not visited are missed; with as many probes as cells it is exact. Distances are
+    rounded to 6 places, ties by id, a row is not its own neighbour; null vectors are left out.
+    """
+    spark = rows.sparkSession
+    kinds = "query_id BIGINT, rank INT, id BIGINT, distance DOUBLE"
+    centres = fitted_cells(rows, vector, row) if centres is None else centres
+    if not len(centres):
+        return spark.createDataFrame([], kinds)
+    shared = spark.sparkContext.broadcast(centres)
+    probes = min(probes, len(centres))
+
+    def placed(n: int):  # noqa: ANN202
+        def run(batches):  # noqa: ANN001, ANN202
+            for b in batches:
+                if b.num_rows:
+                    near = np.argsort(-(_unit_rows(b.column("v"), b.num_rows) @ shared.value.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+                    take = pa.array(np.repeat(np.arange(b.num_rows), n))
+                    yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), b.column("id").take(take), b.column("v").take(take)], ["cell", "id", "v"])
+
+        return run
+
+    base = lambda df: df.select(F.col(row).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    members = cut(base(rows).mapInArrow(placed(1), "cell INT, id BIGINT, v ARRAY<DOUBLE>"), "cells")
+    asked = cut(base(queries).mapInArrow(placed(probes), "cell INT, id BIGINT, v ARRAY<DOUBLE>"), "asked")
+    pieces = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    plan = pieces(members, CELL_ROWS, "_m").join(pieces(asked, CELL_QUERIES, "_q"), "cell")  # a row a cell
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(F.broadcast(plan), "cell").select("cell", part("_m").alias("m"), each("_q").alias("q"), F.lit(False).alias("asks"), "id", "v")
+    right = asked.join(F.broadcast(plan), "cell").select("cell", each("_m").alias("m"), part("_q").alias("q"), F.lit(True).alias("asks"), "id", "v")
+
+    def compare(t: pa.Table) -> pa.Table:
+        asks = t.column("asks").to_numpy(zero_copy_only=False)
+        ids = t.column("id").to_numpy()
+        x = _unit_rows(t.column("v").combine_chunks(), t.num_rows)
+        own, out = ids[~asks], []
+        for lo in range(0, int(asks.sum()), 500):
+            who = ids[asks][lo : lo + 500]
+            d = np.round(1 - x[asks][lo : lo + 500] @ x[~asks].T, 6)
+            d[who[:, None] == own[None, :]] = np.inf
+            order = np.lexsort((np.broadcast_to(own, d.shape), d), axis=1)[:, :k]
+            dist = np.take_along_axis(d, order, 1)
+            keep = np.isfinite(dist).ravel()
+            out.append(pa.table({"query_id": np.repeat(who, order.shape[1])[keep], "id": own[order].ravel()[keep], "distance": dist.ravel()[keep]}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+
+    found = left.unionByName(right).groupBy("cell", "m", "q").applyInArrow(compare, "query_id BIGINT, id BIGINT, distance DOUBLE")
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def neighbour_recall(exact: DataFrame, found: DataFrame) -> DataFrame:
+    """Share of the exact neighbours that were found: n_queries, n_exact, n_found, recall (1 where there are none)."""
+    hit = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("_h")), ["query_id", "id"], "left")
+    return hit.agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_exact"), F.count("_h").alias("n_found"), F.round(F.coalesce(F.try_divide(F.count("_h").cast("double"), F.count("*").cast("double")), F.lit(1.0)), 9).alias("recall"))
+
+
 def mutual_neighbours(neighbours: DataFrame) -> DataFrame:
     """Edges a < b where each is among the other's neighbours."""
     a = neighbours.select(F.col("query_id").alias("a"), F.col("id").alias("b"), "distance")
@@ -110,13 +218,26 @@ def propagated_labels(edges: DataFrame, seeds: DataFrame, steps: int = 3) -> Dat
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, vector: str, row: str, most: int = 1_000) -> DataFrame:
     """Nearest centroid of each row, its distance and the margin to the next; ties by label.
 
-    *centroids* (label, centroid) are broadcast up to *most*; beyond it they are joined by shuffle.
+    *centroids* (label, centroid) are taken as one array where there are *most* at most, and compared
+    where the row lives, without a shuffle; more are taken in blocks of about *most*, and the two best of
+    each block are compared again.
     """
-    c = centroids.select("label", "centroid")
-    small = c.limit(most + 1).count() <= most
-    pairs = rows.select(F.col(row).alias("id"), unit(F.col(vector)).alias("_v")).join(F.broadcast(c) if small else c)
-    listed = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.round(1 - dot("_v", "centroid"), 6).alias("d"), "label"))).alias("_l"))
-    return listed.select("id", F.col("_l")[0]["label"].alias("label"), F.col("_l")[0]["d"].alias("distance"), F.round(F.get("_l", F.lit(1))["d"] - F.col("_l")[0]["d"], 6).alias("margin"))
+    c = centroids.where("centroid IS NOT NULL").select("label", "centroid")
+    blocks = max(1, -(-c.count() // most))
+    own = rows.select(F.col(row).alias("id"), unit(F.col(vector)).alias("_v"))
+
+    def two_best(cs: DataFrame) -> DataFrame:
+        held = F.broadcast(cs.agg(F.collect_list(F.struct("label", "centroid")).alias("_c")))  # one row, bounded
+        near = F.slice(F.array_sort(F.transform("_c", lambda x: F.struct(F.round(1 - dot(F.col("_v"), x["centroid"]), 6).alias("d"), x["label"].alias("label")))), 1, 2)
+        return own.join(held).select("id", near.alias("_l"))
+
+    if blocks == 1:
+        listed = two_best(c)
+    else:
+        parts = [two_best(c.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == b)) for b in range(blocks)]
+        listed = reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_l"))), 1, 2).alias("_l"))
+    first, second = F.get("_l", F.lit(0)), F.get("_l", F.lit(1))
+    return listed.where(F.size("_l") > 0).select("id", first["label"].alias("label"), first["d"].alias("distance"), F.round(second["d"] - first["d"], 6).alias("margin"))
 
 
 def conformal_labels(calibration: DataFrame, candidates: DataFrame, epsilon: float, width: float) -> DataFrame:

@@ -93,6 +93,22 @@ def cosine_knn(spark: SparkSession, d: str) -> DataFrame:
     return V.nearest_neighbours(e.where("vec_id % 100 = 0"), e, 8)
 
 
+@query("SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 100 = 0")
+def knn_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index over all rows finds nine in ten of the neighbours that brute force finds, or more."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 100 = 0")
+    told = V.neighbour_recall(V.nearest_neighbours(asked, e, 8), V.indexed_neighbours(asked, e, 8))
+    return told.select("n_queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query()
+def indexed_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Mutual neighbours of all rows by the index."""
+    e = table(spark, d, "embeddings")
+    return V.mutual_neighbours(V.indexed_neighbours(e, e, 4)).select("a", "b", "distance")
+
+
 _MUTUAL = f"WITH {_UNIT}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DIST} AS distance FROM u a JOIN u b ON a.vec_id <> b.vec_id), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 4), mu AS (SELECT k.a, k.b, k.distance FROM k JOIN k r ON k.a = r.b AND k.b = r.a WHERE k.a < k.b)"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+
 def _us(seconds: Column) -> Column:
     """Decimal seconds as whole microseconds, half to even."""
     return F.bround(seconds * F.lit(1_000_000).cast("decimal(8,0)")).cast("bigint")
@@ -52,8 +53,13 @@ WORDS = "recording_id STRING, word_id STRING, start_us BIGINT, end_us BIGINT, te
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """Word lists as JSON lines under a closed schema: a malformed line fails the read."""
-    return spark.read.schema(WORDS).option("mode", "FAILFAST").json(path).withColumns({"attributable": F.coalesce("attributable", F.lit(True)), "overlap_flag": F.coalesce("overlap_flag", F.lit(False))})
+    """Word lists as JSON lines under a closed schema: a malformed line or an unknown field fails the read."""
+    names = [x.split()[0] for x in WORDS.split(", ")]
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    strange = F.array_except(F.json_object_keys("value"), F.array(*[F.lit(x) for x in names]))
+    held = F.when(F.size(strange) > 0, F.raise_error(F.concat(F.lit("unknown field: "), F.array_join(strange, ", "))).cast("string")).otherwise(F.col("value"))
+    rows = lines.select(F.from_json(held, WORDS, {"mode": "FAILFAST"}).alias("w")).select("w.*")
+    return rows.withColumns({"attributable": F.coalesce("attributable", F.lit(True)), "overlap_flag": F.coalesce("overlap_flag", F.lit(False))})
 
 
 class _Frames(InputPartition):
