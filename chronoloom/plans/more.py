@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators import evidence as E
 from chronoloom.operators import scoring as S
-from chronoloom.operators import vectors as V
-from chronoloom.operators.blocked import counted_rank
-from chronoloom.operators.intervals import cut_regions, duration_class, interval_join
+from chronoloom.operators import tallies as Y
+from chronoloom.operators.intervals import cut_regions
 from chronoloom.operators.sequences import hysteresis_regions
 from chronoloom.plans import tables as TB
 from chronoloom.plans import timelines as TL
@@ -76,11 +75,7 @@ def window_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TB._SAMPLES}, f AS (SELECT recording, CAST(k // 20 AS BIGINT) AS w, avg(x * x) AS e FROM s GROUP BY 1, 2), m AS (SELECT recording, avg(e) AS m FROM f GROUP BY 1), a AS (SELECT *, e >= m AS act FROM f JOIN m USING (recording)), i AS (SELECT *, w - row_number() OVER (PARTITION BY recording ORDER BY w) AS g FROM a WHERE act) SELECT recording, min(w) AS first_window, max(w) AS last_window, count(*) AS n_windows FROM i GROUP BY recording, g")
 def energy_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of windows at or over the recording's mean energy."""
-    f = TB._samples(spark, d).groupBy("recording", F.floor(F.col("k") / 20).alias("w")).agg(F.avg(F.col("x") * F.col("x")).alias("e"))
-    loud = f.join(f.groupBy("recording").agg(F.avg("e").alias("m")), "recording").where("e >= m")
-    runs = counted_rank(loud, ["recording"], "w", [], 100_000, "_n").withColumn("g", F.col("w") - F.col("_n"))
-    return runs.groupBy("recording", "g").agg(F.min("w").alias("first_window"), F.max("w").alias("last_window"), F.count("*").alias("n_windows")).drop("g")
+    return Y.loud_runs(TB._samples(spark, d), K, 20)
 
 
 @query(f"WITH {VIEWS}, w AS (SELECT recording, start_us, p, start_us // 32000 AS k, unnest(range(CAST(greatest(0, ceil((start_us // 32000 - 29) / 10)) AS BIGINT), start_us // 320000 + 1)) AS n FROM frames), h AS (SELECT *, 0.54 - 0.46 * cos(6.283185307179586 * (k - n * 10) / 29) AS wt FROM w) SELECT recording, start_us, round(sum(wt * (p + n % 2)) / sum(wt), 6) AS mean, count(*) AS n_windows FROM h GROUP BY 1, 2")
@@ -90,11 +85,8 @@ def overlap_added(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VIEWS}, {TB._hyst('frames', 'recording', '0.5', '0.35')}, j AS (SELECT f.recording, f.start_us, f.end_us, CAST(sum(least(f.end_us, r.end_us) - greatest(f.start_us, r.start_us)) AS BIGINT) AS core_us FROM frames f JOIN reg r ON r.recording = f.recording AND r.start_us < f.end_us AND f.start_us < r.end_us GROUP BY ALL) SELECT recording, count(*) AS n_core, CAST(sum(core_us) AS BIGINT) AS core_us FROM j GROUP BY 1")
 def core_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Frames that lie in a core region, cut at its edges."""
     f = frames(spark, d)
-    both = interval_join(f, hysteresis_regions(f, K), K, width=640_000)
-    cut = F.least("end_us", "other_end_us") - F.greatest("start_us", "other_start_us")
-    return both.groupBy("recording", "start_us").agg(F.sum(cut).alias("c")).groupBy("recording").agg(F.count("*").alias("n_core"), F.sum("c").alias("core_us"))
+    return Y.core_share(f, hysteresis_regions(f, K), K)
 
 
 @query(f"""WITH RECURSIVE {VIEWS}, g AS (SELECT recording, min({{'e': end_us, 'r': row_id}}) AS x FROM ref GROUP BY 1 UNION ALL SELECT ref.recording, min({{'e': ref.end_us, 'r': ref.row_id}}) AS x FROM g JOIN ref ON ref.recording = g.recording AND ref.start_us >= g.x.e GROUP BY 1) SELECT x.r AS row_id FROM g""")
@@ -126,36 +118,17 @@ def short_turn_metrics(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("label").agg(F.count("*").alias("n_short"), given.alias("n_assigned"), S.ratio(right, given).alias("precision"), S.ratio(none, F.count("*")).alias("unknown_rate"))
 
 
-@query("""WITH """ + VIEWS + """, q AS (SELECT recording, count(DISTINCT label) FILTER (WHERE label <> 'UNKNOWN') AS n_labels, round(CAST(coalesce(sum(end_us - start_us) FILTER (WHERE label = 'UNKNOWN'), 0) AS DOUBLE) / CAST(sum(end_us - start_us) AS DOUBLE), 9) AS unknown_share, count(*) AS n FROM hyp GROUP BY 1)
-SELECT recording, n_labels, unknown_share, CASE WHEN n < 5 THEN 'UNSUPPORTED' WHEN n_labels < 2 OR unknown_share > 0.2 THEN 'REVIEW_REQUIRED' WHEN unknown_share > 0.1 THEN 'PASS_WITH_UNATTRIBUTED' WHEN unknown_share > 0.05 THEN 'PASS_STANDARD' ELSE 'PASS_HIGH' END AS status,
- concat_ws('+', CASE WHEN n < 5 THEN 'FEW_SPANS' END, CASE WHEN n_labels < 2 THEN 'ONE_LABEL' END, CASE WHEN unknown_share > 0.1 THEN 'MUCH_UNKNOWN' END) AS reasons FROM q""")
-def quality_ladder(spark: SparkSession, d: str) -> DataFrame:
-    size = F.col("end_us") - F.col("start_us")
-    unknown = F.col("label") == "UNKNOWN"
-    q = hyp_spans(spark, d).groupBy("recording").agg(F.countDistinct(F.when(~unknown, F.col("label"))).alias("n_labels"), S.ratio(F.sum(F.when(unknown, size).otherwise(0)), F.sum(size)).alias("unknown_share"), F.count("*").alias("n"))
-    u = F.col("unknown_share")
-    status = F.when(F.col("n") < 5, "UNSUPPORTED").when((F.col("n_labels") < 2) | (u > 0.2), "REVIEW_REQUIRED").when(u > 0.1, "PASS_WITH_UNATTRIBUTED").when(u > 0.05, "PASS_STANDARD").otherwise("PASS_HIGH")
-    reasons = F.concat_ws("+", F.when(F.col("n") < 5, "FEW_SPANS"), F.when(F.col("n_labels") < 2, "ONE_LABEL"), F.when(u > 0.1, "MUCH_UNKNOWN"))
-    return q.select("recording", "n_labels", "unknown_share", status.alias("status"), reasons.alias("reasons"))
-
-
 @query("""SELECT r.row_id, r.recording, r.s AS start_us, r.kind, e.label IS NOT NULL AS embedded, CASE WHEN e.label IS NULL THEN 'DEFERRED' ELSE kind END AS evidence, round(greatest(0.000001, (e.label + 1) / 10) * least(r.n, 5000000), 6) AS weight FROM
 (SELECT row_id, recording, s, least(s + 2000000, end_us) - s AS n, CASE WHEN least(s + 2000000, end_us) - s >= 1500000 THEN 'ANCHOR' WHEN least(s + 2000000, end_us) - s >= 700000 THEN 'SUPPORT' ELSE 'MICRO' END AS kind FROM (SELECT *, unnest(range(start_us, end_us, 2000000)) AS s FROM ref)) r LEFT JOIN embeddings e ON e.vec_id = r.row_id""")
 def anchor_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of turns with their embeddings: class, whether deferred, and weight by quality and length."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("q"))
-    p = cut_regions(ref_spans(spark, d).drop("label"), 2_000_000).join(e, "row_id", "left")
-    size = F.col("end_us") - F.col("start_us")
-    weight = F.round(F.greatest(F.lit(0.000001), (F.col("q") + 1) / 10) * F.least(size, F.lit(5_000_000)), 6)
-    return p.select("row_id", "recording", "start_us", duration_class(size).alias("kind"), F.col("q").isNotNull().alias("embedded"), F.when(F.col("q").isNull(), "DEFERRED").otherwise(F.col("kind")).alias("evidence"), F.when(F.col("q").isNotNull(), weight).otherwise(F.round(F.lit(0.000001) * F.least(size, F.lit(5_000_000)), 6)).alias("weight"))
+    """Pieces of turns with the quality of their vectors."""
+    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), ((F.col("label") + 1) / 10).alias("q"))
+    return Y.anchor_evidence(cut_regions(ref_spans(spark, d).drop("label"), 2_000_000).drop("kind"), q).drop("end_us")
 
 
 @query("SELECT recording, label, first_us, CAST(row_number() OVER (PARTITION BY recording ORDER BY first_us, label) AS INT) AS speaker_no FROM (SELECT recording, label, min(start_us) AS first_us FROM hyp WHERE label <> 'UNKNOWN' GROUP BY 1, 2)")
 def speaker_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    f = hyp_spans(spark, d).where("label <> 'UNKNOWN'").groupBy("recording", "label").agg(F.min("start_us").alias("first_us"))
-    return f.withColumn("speaker_no", F.row_number().over(Window.partitionBy("recording").orderBy("first_us", "label")))
+    return Y.speaker_order(hyp_spans(spark, d), K)
 
 
 @query(TB.SQL["nearest_centroid"].replace("SELECT id, label, distance, round(m, 6) AS margin FROM r WHERE k = 1", "SELECT id, CASE WHEN distance > 0.6 THEN 'OUTLIER' WHEN round(m, 6) < 0.05 THEN 'UNKNOWN' ELSE CAST(label AS VARCHAR) END AS assignment FROM r WHERE k = 1"))
@@ -168,20 +141,16 @@ def local_assignment(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH q AS (SELECT label, embedding::DOUBLE[] AS a, list_transform(embedding::DOUBLE[], lambda x: round_even(x * 127, 0) / 127) AS b FROM embeddings), c AS (SELECT label, list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b)) AS cos FROM q) SELECT label, count(*) AS n, round(quantile_cont(cos, 0.5), 6) AS median_cosine, round(min(cos), 6) AS worst_cosine, min(cos) >= 0.99 AS passed FROM c GROUP BY 1")
 def quantization_parity(spark: SparkSession, d: str) -> DataFrame:
     """Vectors against their eight-bit lattice: cosine per label."""
-    e = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("a")).withColumn("b", F.transform("a", lambda x: F.bround(x * 127) / 127))
-    cos = V.dot(F.col("a"), F.col("b")) / F.sqrt(V.dot(F.col("a"), F.col("a")) * V.dot(F.col("b"), F.col("b")))
-    return e.select("label", cos.alias("c")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.percentile("c", F.lit(0.5)), 6).alias("median_cosine"), F.round(F.min("c"), 6).alias("worst_cosine"), (F.min("c") >= 0.99).alias("passed"))
+    return Y.lattice_parity(table(spark, d, "embeddings"), ["label"], "embedding")
 
 
 @query("WITH r AS (SELECT row_id, CASE WHEN json_valid(report) THEN CASE WHEN json_type(report, '$.cpu_limit') = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(report, '$.cpu_limit')) THEN json_extract_string(report, '$.cpu_limit')::JSON END ELSE json_extract(report, '$.cpu_limit') END END AS c, CASE WHEN json_valid(report) THEN TRY_CAST(json_extract_string(report, '$.rtf') AS DOUBLE) END AS rtf FROM run_reports), v AS (SELECT row_id, rtf, TRY_CAST(json_extract_string(c, '$.throttled_wall_ratio') AS DOUBLE) AS t FROM r) SELECT row_id, CASE WHEN rtf IS NULL THEN 'NOT_EVALUATED' WHEN rtf <= 0.25 THEN 'PASS' ELSE 'FAIL' END AS speed, CASE WHEN t IS NULL THEN 'NOT_EVALUATED' WHEN t <= 0.01 THEN 'PASS' ELSE 'FAIL' END AS throttle FROM v")
 def run_gates(spark: SparkSession, d: str) -> DataFrame:
-    from chronoloom.functions.scalars import threshold_outcome
     from chronoloom.operators.nested import _below
 
     r = table(spark, d, "run_reports").select("row_id", F.try_parse_json("report").alias("v"))
-    t = F.try_variant_get(_below(F.col("v"), "cpu_limit\u0001throttled_wall_ratio", True), "$", "double")
-    gate = lambda x, most: threshold_outcome(x, F.lit(most), F.lit(False))
-    return r.select("row_id", gate(F.try_variant_get("v", "$.rtf", "double"), 0.25).alias("speed"), gate(t, 0.01).alias("throttle"))
+    throttled = F.try_variant_get(_below(F.col("v"), "cpu_limit\u0001throttled_wall_ratio", True), "$", "double")
+    return Y.gates(r, "row_id", {"speed": (F.try_variant_get("v", "$.rtf", "double"), 0.25, False), "throttle": (throttled, 0.01, False)})
 
 
 @query(f"WITH l AS (SELECT coalesce({sql_plain('split')}, '') AS split, sha256(concat_ws('|', audio_id, audio_sha256, rttm_sha256, uem_sha256)) AS h FROM manifest), p AS (SELECT split, substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS dg, count(*) AS n FROM l GROUP BY 1, 2) SELECT split, sha256(string_agg(dg, '' ORDER BY p, dg)) AS digest, CAST(sum(n) AS BIGINT) AS n_rows FROM p GROUP BY 1")
@@ -203,8 +172,8 @@ def canonical_rows(spark: SparkSession, d: str) -> DataFrame:
 def latest_status(spark: SparkSession, d: str) -> DataFrame:
     from chronoloom.functions.ids import plain_form
 
-    p = table(spark, d, "predictions").withColumn("audio", plain_form(F.col("audio_id"))).where("audio IS NOT NULL")
-    return p.groupBy("audio").agg(F.max_by(F.coalesce("quality_status", F.lit("")), F.struct("submitted_at", "row_id")).alias("status"), F.count("*").alias("n_versions"))
+    p = table(spark, d, "predictions").withColumn("audio", plain_form(F.col("audio_id")))
+    return Y.latest_values(p, "audio", "quality_status", "submitted_at")
 
 
 @query("WITH x AS (SELECT row_id, CASE WHEN report IS NULL THEN 'MISSING' WHEN NOT json_valid(report) THEN 'UNREADABLE' END AS issue FROM run_reports) SELECT * FROM x WHERE issue IS NOT NULL")

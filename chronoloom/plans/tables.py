@@ -12,8 +12,10 @@ from chronoloom.functions.scalars import base32_id, sample_to_us, softmax
 from chronoloom.operators import selection as P
 from chronoloom.operators import signals as G
 from chronoloom.operators import sequences as Q
+from chronoloom.operators import tallies as Y
 from chronoloom.operators import texts as X
 from chronoloom.operators import vectors as V
+from chronoloom.operators.audits import pcm_stats
 from chronoloom.operators.blocked import counted_rank
 from chronoloom.plans.training_data import sql_plain, table
 from chronoloom.plans.views import VIEWS, frames, hyp_spans, ref_spans
@@ -226,59 +228,43 @@ def duplicate_risk(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH k AS (SELECT 'session' AS kind, {sql_plain('session_id')} AS key, {sql_plain('split')} AS split FROM split_keys UNION ALL SELECT 'recording', {sql_plain('recording_id')}, {sql_plain('split')} FROM split_keys UNION ALL SELECT 'source', {sql_plain('source_recording_id')}, {sql_plain('split')} FROM split_keys UNION ALL SELECT 'group', {sql_plain('augmentation_group')}, {sql_plain('split')} FROM split_keys UNION ALL SELECT 'speaker', {sql_plain('s')}, {sql_plain('split')} FROM (SELECT unnest(speaker_ids) AS s, split FROM split_keys)) SELECT kind, key, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM k WHERE key IS NOT NULL AND split IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split) > 1")
 def split_leakage(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "split_keys")
-    named = [("session", F.array("session_id")), ("recording", F.array("recording_id")), ("source", F.array("source_recording_id")), ("group", F.array("augmentation_group")), ("speaker", F.coalesce("speaker_ids", F.array().cast("array<string>")))]
-    tag = lambda n: lambda x: F.struct(F.lit(n).alias("kind"), plain_form(x).alias("key"))
-    long = k.select(plain_form(F.col("split")).alias("split"), F.explode(F.flatten(F.array(*[F.transform(a, tag(n)) for n, a in named]))).alias("e"))
-    keys = long.select("split", "e.*").where("key IS NOT NULL AND split IS NOT NULL")
-    return keys.groupBy("kind", "key").agg(F.countDistinct("split").alias("n_splits"), F.count("*").alias("n_rows")).where("n_splits > 1")
+    named = {"session": "session_id", "recording": "recording_id", "source": "source_recording_id", "group": "augmentation_group", "speaker": "speaker_ids"}
+    return Y.split_leakage(table(spark, d, "split_keys"), "split", named)
 
 
 @query(f"WITH {VIEWS}, j AS (SELECT CASE WHEN r.label = 'REF_00' THEN 'A' ELSE 'B' END AS before, h.label AS after, h.end_us - h.start_us AS n FROM ref r JOIN hyp h USING (row_id)) SELECT before, after, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS total_us FROM j GROUP BY 1, 2")
 def label_parity(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of the same rows in two versions: rows and time by old and new label."""
-    old = ref_spans(spark, d).select("row_id", F.when(F.col("label") == "REF_00", "A").otherwise("B").alias("before"))
-    new = hyp_spans(spark, d).select("row_id", F.col("label").alias("after"), (F.col("end_us") - F.col("start_us")).alias("n"))
-    return old.join(new, "row_id").groupBy("before", "after").agg(F.count("*").alias("n_rows"), F.sum("n").alias("total_us"))
+    """Labels of the same rows in two versions."""
+    old = ref_spans(spark, d).withColumn("label", F.when(F.col("label") == "REF_00", "A").otherwise("B"))
+    return Y.label_parity(old, hyp_spans(spark, d))
 
 
 @query(f"SELECT {sql_plain('audio_id')} AS audio, rttm_sha256, arg_min(row_id, (submitted_at, row_id)) AS first_row, count(*) AS n_submitted FROM predictions WHERE {sql_plain('audio_id')} IS NOT NULL AND rttm_sha256 IS NOT NULL GROUP BY 1, 2")
 def idempotent_submissions(spark: SparkSession, d: str) -> DataFrame:
-    """Submissions by key: the first row counts, later ones of the key are repeats of it."""
-    p = table(spark, d, "predictions").withColumn("audio", plain_form(F.col("audio_id"))).where("audio IS NOT NULL AND rttm_sha256 IS NOT NULL")
-    return p.groupBy("audio", "rttm_sha256").agg(F.min_by("row_id", F.struct("submitted_at", "row_id")).alias("first_row"), F.count("*").alias("n_submitted"))
+    p = table(spark, d, "predictions").withColumn("audio", plain_form(F.col("audio_id")))
+    return Y.first_submissions(p, ["audio", "rttm_sha256"], "submitted_at")
 
 
 @query("SELECT coalesce(CASE quality_status WHEN 'PASS_HIGH' THEN 'SPEAKERS' WHEN 'PASS_STANDARD' THEN 'SPEAKERS' WHEN 'PASS_WITH_UNATTRIBUTED' THEN 'PARTIAL' WHEN 'REVIEW_REQUIRED' THEN 'NEUTRAL' END, 'NONE') AS mode, count(*) AS n_rows FROM predictions GROUP BY 1")
 def status_modes(spark: SparkSession, d: str) -> DataFrame:
-    s = F.col("quality_status")
-    mode = F.when(s.isin("PASS_HIGH", "PASS_STANDARD"), "SPEAKERS").when(s == "PASS_WITH_UNATTRIBUTED", "PARTIAL").when(s == "REVIEW_REQUIRED", "NEUTRAL").otherwise("NONE")
-    return table(spark, d, "predictions").groupBy(mode.alias("mode")).agg(F.count("*").alias("n_rows"))
+    return table(spark, d, "predictions").groupBy(Y.summary_mode(F.col("quality_status")).alias("mode")).agg(F.count("*").alias("n_rows"))
 
 
 @query(f"WITH i AS (SELECT row_id, unnest([CASE WHEN {sql_plain('audio_id')} IS NULL THEN 'AUDIO_ID' END, CASE WHEN audio_sha256 IS NULL OR NOT regexp_full_match(audio_sha256, '[0-9a-f]{{64}}') THEN 'AUDIO_HASH' END, CASE WHEN coalesce(sample_rate_hz, 0) NOT IN (8000, 16000) THEN 'SAMPLE_RATE' END, CASE WHEN speaker_count IS NULL OR speaker_count < 1 THEN 'SPEAKER_COUNT' END, CASE WHEN speaker_group_ids IS NULL OR len(speaker_group_ids) <> speaker_count THEN 'SPEAKER_GROUPS' END, CASE WHEN conditions IS NULL THEN 'CONDITIONS' END]) AS issue FROM manifest) SELECT row_id, issue FROM i WHERE issue IS NOT NULL")
 def manifest_issues(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col
-    rules = [
-        ("AUDIO_ID", plain_form(c("audio_id")).isNull()), ("AUDIO_HASH", ~F.coalesce(c("audio_sha256").rlike(r"^[0-9a-f]{64}\z"), F.lit(False))), ("SAMPLE_RATE", ~F.coalesce(c("sample_rate_hz").isin(8000, 16000), F.lit(False))),
-        ("SPEAKER_COUNT", F.coalesce(c("speaker_count"), F.lit(0)) < 1), ("SPEAKER_GROUPS", c("speaker_group_ids").isNull() | F.coalesce(F.array_size("speaker_group_ids") != c("speaker_count"), F.lit(False))), ("CONDITIONS", c("conditions").isNull()),
-    ]
-    return table(spark, d, "manifest").select("row_id", F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]))).alias("issue"))
+    return Y.manifest_issues(table(spark, d, "manifest"))
 
 
 @query(f"WITH l AS (SELECT 'split' AS dim, {sql_plain('split')} AS value FROM manifest UNION ALL SELECT 'gender', gender_pair FROM manifest UNION ALL SELECT 'rate', CAST(sample_rate_hz AS VARCHAR) FROM manifest UNION ALL SELECT 'condition', unnest(conditions) FROM manifest) SELECT dim, coalesce(value, '') AS value, count(*) AS n_rows FROM l GROUP BY 1, 2")
 def readiness_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = lambda dim, v: F.struct(F.lit(dim).alias("dim"), v.alias("value"))
-    dims = F.concat(F.array(e("split", plain_form(F.col("split"))), e("gender", F.col("gender_pair")), e("rate", F.col("sample_rate_hz").cast("string"))), F.transform(F.coalesce("conditions", F.array().cast("array<string>")), lambda x: e("condition", x)))
-    return table(spark, d, "manifest").select(F.explode(dims).alias("e")).groupBy("e.dim", F.coalesce("e.value", F.lit("")).alias("value")).agg(F.count("*").alias("n_rows"))
+    dims = {"split": plain_form(F.col("split")), "gender": F.col("gender_pair"), "rate": F.col("sample_rate_hz")}
+    return Y.value_counts(table(spark, d, "manifest"), dims, {"condition": "conditions"})
 
 
 @query("WITH s AS (SELECT l_suppkey AS recording, CAST(l_quantity AS BIGINT) AS x FROM lineitem), g AS (SELECT recording, count(*) AS n, CAST(sum(x * x) AS BIGINT) AS squares, max(abs(x)) AS peak FROM s GROUP BY 1) SELECT *, round(greatest(1, least(4, 40 / sqrt(squares / n), 50 / peak)), 9) AS gain, CASE WHEN 40 / sqrt(squares / n) <= 1 THEN 'LOUD' WHEN 50 / peak < least(4, 40 / sqrt(squares / n)) THEN 'PEAK_LIMITED' ELSE 'RAISED' END AS reason FROM g")
 def global_gain(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("l_quantity").cast("bigint")
-    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("recording")).agg(F.count("*").alias("n"), F.sum(x * x).alias("squares"), F.max(F.abs(x)).alias("peak"))
-    want, room = 40 / F.sqrt(F.col("squares") / F.col("n")), 50 / F.col("peak")
-    return g.select("*", F.round(F.greatest(F.lit(1.0), F.least(F.lit(4.0), want, room)), 9).alias("gain"), F.when(want <= 1, "LOUD").when(room < F.least(F.lit(4.0), want), "PEAK_LIMITED").otherwise("RAISED").alias("reason"))
+    x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("recording"), F.col("l_quantity").cast("bigint").alias("x"))
+    return Y.raised_gain(pcm_stats(x, ["recording"]), 40.0, 50.0)
 
 
 _SAMPLES = "s AS (SELECT user_id AS recording, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS k, CAST(round(value * 10) AS BIGINT) - 2000 AS x FROM events)"
@@ -296,7 +282,7 @@ def linear_upsample(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SAMPLES} SELECT recording, CAST(k // 2 AS BIGINT) AS k, round(avg(x), 9) AS x FROM s GROUP BY 1, 2")
 def pairwise_downsample(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(spark, d).groupBy("recording", F.floor(F.col("k") / 2).alias("k")).agg(F.round(F.avg("x"), 9).alias("x"))
+    return Y.averaged_pairs(_samples(spark, d), ["recording"])
 
 
 @query("SELECT event_id, CAST((2 * (event_id * 48000 + user_id)::HUGEINT * 1000000 + 44100) // (2 * 44100) AS BIGINT) AS at_us FROM events")
@@ -307,7 +293,7 @@ def sample_times(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH r AS (SELECT run_kind, TRY_CAST(json_extract_string(report, '$.rtf') AS DOUBLE) AS rtf FROM run_reports WHERE report IS NOT NULL AND json_valid(report)) SELECT run_kind, count(*) AS n_runs, count(rtf) AS n_rtf, round(max(rtf), 9) AS max_rtf, round(avg(rtf), 9) AS mean_rtf, round(quantile_cont(rtf, 0.95), 9) AS p95_rtf FROM r GROUP BY 1")
 def run_speed(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "run_reports").withColumn("v", F.try_parse_json("report")).where("v IS NOT NULL").withColumn("rtf", F.try_variant_get("v", "$.rtf", "double"))
-    return r.groupBy("run_kind").agg(F.count("*").alias("n_runs"), F.count("rtf").alias("n_rtf"), F.round(F.max("rtf"), 9).alias("max_rtf"), F.round(F.avg("rtf"), 9).alias("mean_rtf"), F.round(F.percentile("rtf", F.lit(0.95)), 9).alias("p95_rtf"))
+    return Y.speed_summary(r, "run_kind", "rtf")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(min(l_extendedprice), 2) AS low, round(max(l_extendedprice), 2) AS high, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY 1, 2")

@@ -9,6 +9,7 @@ from chronoloom.functions.scalars import stable_id, threshold_outcome, timeline_
 from chronoloom.operators import intervals as I
 from chronoloom.operators import scoring as S
 from chronoloom.operators import sequences as Q
+from chronoloom.operators import tallies as Y
 from chronoloom.operators.periods import continuous_periods, sweep
 from chronoloom.operators.texts import speaker_texts
 from chronoloom.plans.views import VIEWS, hyp_spans, ref_spans, scope, sql_cells, sql_union, words
@@ -389,8 +390,7 @@ def uem_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT recording, label, count(*) AS n_spans, CAST(sum(end_us - start_us) AS BIGINT) AS total_us, CAST(max(end_us - start_us) AS BIGINT) AS longest_us FROM hyp GROUP BY 1, 2")
 def span_counts(spark: SparkSession, d: str) -> DataFrame:
-    size = F.col("end_us") - F.col("start_us")
-    return hyp_spans(spark, d).groupBy("recording", "label").agg(F.count("*").alias("n_spans"), F.sum(size).alias("total_us"), F.max(size).alias("longest_us"))
+    return Y.span_counts(hyp_spans(spark, d), K)
 
 
 _STAB = sql_cells("st", {"a": "SELECT * FROM hyp WHERE label = 'A'", "b": "SELECT * FROM hyp WHERE label = 'B'", "x": "SELECT * FROM ref WHERE label = 'REF_00'", "y": "SELECT * FROM ref WHERE label = 'REF_01'"})
