@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.blocked import BLOCK, before, scanned
@@ -17,6 +21,8 @@ HYP = ("A", "B")
 NEUTRAL = ("UNKNOWN", "NON_SPEECH", "OVERLAP", "OTHER")
 #: Least time of a speaker who counts; recordings that are broadcast at most.
 FLOOR_US, MOST_BROADCAST = 250_000, 50_000
+#: Draws made at a time.
+DRAWN = 100_000
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -118,7 +124,10 @@ def attributed_words(words: DataFrame, hyp: DataFrame, keys: list[str], row: str
     In percent of the word's length: two labels of *material* share or more give UNKNOWN_BOUNDARY, one
     of *dominant* share or more is the label (ties: the first), anything else is UNKNOWN_WEAK.
     """
-    wide = label_durations(words, hyp, keys, row).groupBy(*keys, row).agg(*[F.sum(F.when(F.col("hyp_label") == x, F.col("common_us")).otherwise(0)).alias(f"_c{k}") for k, x in enumerate(labels)])
+    flat = continuous_periods(hyp.where(F.col("label").isin(*labels)).select(*keys, "label", "start_us", "end_us"), [*keys, "label"]).drop("n_rows").withColumnRenamed("label", "_label")
+    common = overlap_us(F.col("start_us"), F.col("end_us"), F.col("other_start_us"), F.col("other_end_us"))
+    touched = interval_join(words.select(*keys, row, "start_us", "end_us"), flat, keys)
+    wide = touched.groupBy(*keys, row).agg(*[F.sum(F.when(F.col("_label") == x, common).otherwise(0)).cast("bigint").alias(f"_c{k}") for k, x in enumerate(labels)])
     size = F.col("end_us") - F.col("start_us")
     c = [F.coalesce(f"_c{k}", F.lit(0)) for k in range(2)]
     label = (
@@ -176,13 +185,24 @@ def subgroup_scores(scores: DataFrame, dims: list[str]) -> DataFrame:
     return long.groupBy("_g.dim", "_g.value").agg(F.count("*").alias("n_recordings"), ratio(errors, F.sum("ref_us")).alias("pooled_der"), F.round(F.avg("der"), 9).alias("mean_der"), F.round(F.max("der"), 9).alias("worst_der"))
 
 
-def bootstrap_draws(n: int, iterations: int, seed: int) -> Column:
-    """Array by iteration of the population index that draw ``_j`` takes.
+def bootstrap_draws(spark: SparkSession, n: int, iterations: int, seed: int) -> DataFrame:
+    """(_i, _k): the population index that each of the *n* draws of every iteration takes.
 
-    Draw j of iteration i is the first 8 bytes of sha256("seed:i:j:n") modulo n.
+    Draw j of iteration i is the first 8 bytes of sha256("seed:i:j:n") modulo n. Draws are made in Arrow
+    batches where the iteration lives, so an iteration's rows stay together until they are summed.
     """
-    drawn = lambda i: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), i, F.lit(":"), F.col("_j"), F.lit(f":{n}")), 256), 1, 16), 16, 10)
-    return F.transform(F.sequence(F.lit(0), F.lit(iterations - 1)), lambda i: (drawn(i).cast("decimal(20,0)") % n).cast("bigint"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import sha256
+
+        for b in batches:
+            for i, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                head, tail, size = f"{seed}:{i}:".encode(), f":{n}".encode(), min(DRAWN, n - low)
+                first = b"".join([sha256(head + b"%d" % j + tail).digest()[:8] for j in range(low, low + size)])
+                drawn = (np.frombuffer(first, ">u8") % np.uint64(n)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, i, np.int64)), pa.array(drawn)], ["_i", "_k"])
+
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"), F.lit(DRAWN).cast("bigint"))).alias("_low")
+    return spark.range(iterations).select(F.col("id").alias("_i"), each).mapInArrow(run, "_i BIGINT, _k BIGINT")
 
 
 def bootstrap_suite(rows: DataFrame, statistics: dict[str, Column], iterations: int = 2_000, seed: int = 17_029, level: float = 0.95) -> DataFrame:
@@ -192,8 +212,8 @@ def bootstrap_suite(rows: DataFrame, statistics: dict[str, Column], iterations:
     defined), seed, n (recordings). A statistic that is null over all recordings has no row.
 
     Draws are hashes, so the result is the same on any cluster. Recordings are numbered by name; draws
-    are made where each draw number lives and joined by index: the index table has one row a recording
-    and iterations meet only in sums. All statistics use the same draws.
+    are joined by index: the index table has one row a recording and iterations meet only in sums,
+    combined before the shuffle. All statistics use the same draws.
     """
     spark = rows.sparkSession
     named = cut(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "recording").withColumn(BLOCK, F.spark_partition_id()), "scores")
@@ -204,7 +224,7 @@ def bootstrap_suite(rows: DataFrame, statistics: dict[str, Column], iterations:
     # numbered by name, range by range of the names
     blocks = named.groupBy(BLOCK).agg(F.count("*").alias("_n")).select(BLOCK, F.coalesce(F.sum("_n").over(before(Window.orderBy(BLOCK))), F.lit(0)).alias("_before"))
     indexed = named.withColumn("_r", F.row_number().over(Window.partitionBy(BLOCK).orderBy("recording")) - 1).join(F.broadcast(blocks), BLOCK).withColumn("_k", F.col("_r") + F.col("_before")).drop("recording", BLOCK, "_r", "_before")
-    draws = spark.range(n).select(F.col("id").alias("_j")).select(F.posexplode(bootstrap_draws(n, iterations, seed)).alias("_i", "_k"))
+    draws = bootstrap_draws(spark, n, iterations, seed)
     stats = [x.cast("double").alias(f"_s{k}") for k, x in enumerate(statistics.values())]
     samples = draws.join(F.broadcast(indexed) if n <= MOST_BROADCAST else indexed, "_k").groupBy("_i").agg(*stats)
     tail = (1 - level) / 2

@@ -85,9 +85,10 @@ def speaker_turns(words: DataFrame, keys: list[str], label: str = "word_label",
     meet by its number. Null labels are a label of their own; ties of start are ordered by word_id.
     """
     told = F.struct(F.col(label).alias("l"), *[F.col(c).alias(f"s{k}") for k, c in enumerate(same)])
-    near = scanned(words.withColumn("_told", told), keys, "start_us", ["word_id"], width, lag={"_pt": F.col("_told"), "_pe": F.col("end_us")})
+    rows = cut(words.select(*keys, label, *same, "start_us", "end_us", "word_id", "text", told.alias("_told")), "words")  # a scan reads its rows twice
+    near = scanned(rows, keys, "start_us", ["word_id"], width, lag={"_pt": F.col("_told"), "_pe": F.col("end_us")})
     goes_on = F.col("_pt").eqNullSafe(F.col("_told")) & (F.col("start_us") - F.col("_pe") <= gap_us)
-    flagged = cut(near.select(*keys, label, *same, "start_us", "end_us", "word_id", "text", F.when(goes_on, 0).otherwise(1).alias("_f")), "words")  # read twice by the next scan
+    flagged = cut(near.select(*keys, label, *same, "start_us", "end_us", "word_id", "text", F.when(goes_on, 0).otherwise(1).alias("_f")), "words")
     turns = scanned(flagged, keys, "start_us", ["word_id"], width, total={"turn": F.col("_f")})
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_us", "word_id", "text"))), lambda x: x["text"]), " ")
     return turns.groupBy(*keys, "turn", F.col(label).alias("label"), *same).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count("*").alias("n_words"), said.alias("text"))
