@@ -211,8 +211,13 @@ def _typed(kind: str, schema: list[tuple[str, str, str]]) -> list[Column]:
     return cols
 
 
+def surrogate_key(row: Column, node: Column) -> Column:
+    """Key of a nested object: the first 60 bits of the MD5 of its row and node, which any engine can make."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", row.cast("string"), node).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def _links() -> list[Column]:
-    key = lambda c: F.xxhash64("row_id", F.col(c))
+    key = lambda c: surrogate_key(F.col("row_id"), F.col(c))
     return [key("node").alias("node_key"), F.when(F.col("kind") != "", key("parent")).alias("parent_key"), F.col("row_id"), F.col("ordinal")]
 
 

@@ -170,9 +170,9 @@ x AS (SELECT 'period' AS kind, file_id, channel, speaker_id, start_us, end_us, n
 _P2_NODES = f"""WITH r AS (SELECT row_id, report FROM run_reports WHERE report IS NOT NULL AND json_valid(report)),
 b AS (SELECT row_id, k, json_extract(report, '$."' || k || '"') AS v FROM (SELECT row_id, report, unnest(json_keys(report)) AS k FROM r WHERE json_type(report) = 'OBJECT')),
 o AS (SELECT row_id, k, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v->>'$') THEN (v->>'$')::JSON ELSE v END AS v FROM b UNION ALL SELECT row_id, NULL, report FROM r WHERE json_type(report) = 'ARRAY'),
-t AS (SELECT o.row_id, o.k, x.type, x.fullkey FROM o, json_tree(o.v) x WHERE x.type = 'OBJECT'),
-c AS (SELECT row_id, string_split(replace(coalesce(k, '') || substr(fullkey, 2), '"', ''), '.') AS p FROM t),
-n AS (SELECT row_id, array_to_string(list_transform(p, lambda x: CASE WHEN x IN ({', '.join(f"'{x}'" for x in ARRAY_FIELDS)}) THEN x || '[0]' ELSE x END), '.') AS node FROM c),
+t AS (SELECT o.row_id, o.k, x.type, x.fullkey, x.value AS val FROM o, json_tree(o.v) x WHERE x.type = 'OBJECT'),
+c AS (SELECT row_id, val, string_split(replace(coalesce(k, '') || substr(fullkey, 2), '"', ''), '.') AS p FROM t),
+n AS (SELECT row_id, val, array_to_string(list_transform(p, lambda x: CASE WHEN x IN ({', '.join(f"'{x}'" for x in ARRAY_FIELDS)}) THEN x || '[0]' ELSE x END), '.') AS node FROM c),
 nodes AS (SELECT row_id, node FROM n WHERE ends_with(node, ']')),
 links AS (SELECT a.row_id, a.node, max_by(p.node, length(p.node)) AS parent FROM nodes a LEFT JOIN nodes p ON p.row_id = a.row_id AND starts_with(a.node, p.node || '.') GROUP BY a.row_id, a.node)"""
 _P2_FOUND = _P2_NODES + " SELECT row_id, coalesce(parent, '') AS parent, node FROM links" + "".join(
@@ -180,6 +180,26 @@ _P2_FOUND = _P2_NODES + " SELECT row_id, coalesce(parent, '') AS parent, node FR
 )
 
 
+def _p2_sql(name: str, columns: dict[str, tuple[str, str]]) -> str:
+    """The table of one kind: *columns* name a path and a type each."""
+    key = lambda x: f"CAST(('0x' || substr(md5(n.row_id || ':' || {x}), 1, 15)) AS BIGINT)"
+    cols = "".join(f", TRY_CAST(n.val->>'$.{path}' AS {kind}) AS {c}" for c, (path, kind) in columns.items())
+    kind = r"regexp_replace(n.node, '\[\d+\]', '[]', 'g')"
+    return _P2_NODES + rf" SELECT {key('n.node')} AS node_key, {key("coalesce(l.parent, '')")} AS parent_key, n.row_id, CAST(regexp_extract(n.node, '\[(\d+)\]$', 1) AS INT) AS ordinal{cols} FROM n JOIN links l ON l.row_id = n.row_id AND l.node = n.node WHERE {kind} = '{P2_TABLES[name]}'"
+
+
+_METRICS = {f"metrics_{x}": (f"metrics.{x}", "DOUBLE") for x in ("accuracy", "complete_merge", "coverage", "turn_coverage")}
+_P2_SQL = {
+    name: _p2_sql(name, columns)
+    for name, columns in {
+        "p2_candidates": {"candidate_id": ("candidate_id", "VARCHAR"), **_METRICS, "switch_base": ("switch_base", "DOUBLE")}, "p2_folds": {"fold": ("fold", "DOUBLE"), **_METRICS},
+        "p2_overrides": {"count": ("count", "DOUBLE"), "duration_us": ("duration_us", "DOUBLE"), "kind": ("kind", "VARCHAR")}, "p2_local_groups": {"count": ("count", "DOUBLE"), "embedding_valid": ("embedding_valid", "BOOLEAN"), "kind": ("kind", "VARCHAR")},
+        "p2_passes": {"name": ("name", "VARCHAR"), "wall_seconds": ("wall_seconds", "DOUBLE")}, "p2_samples": {"at_us": ("at_us", "DOUBLE"), "rss_mb": ("rss_mb", "DOUBLE")}, "p2_files": {"audio_id": ("audio_id", "VARCHAR")},
+        "p2_chunks": {"frames": ("frames", "DOUBLE"), "ordinal_2": ("ordinal", "DOUBLE")}, "p2_reviews": {"step": ("step", "DOUBLE"), "verdict": ("verdict", "VARCHAR")},
+    }.items()
+}
+
+
 def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
     """Reports that none of the tables hold, with the reason."""
     return rejected_reports(table(spark, d, "run_reports"))
@@ -187,6 +207,7 @@ def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **_P2_SQL,
         "p2_found": _P2_FOUND,
         "p2_kinds": _P2_NODES + r" SELECT regexp_replace(node, '\[\d+\]', '[]', 'g') AS kind, count(*) AS n_objects, count(DISTINCT row_id) AS n_reports FROM nodes GROUP BY 1",
         "p2_rejects": "SELECT row_id, CASE WHEN report IS NULL THEN 'MISSING' ELSE 'UNREADABLE' END AS reason FROM run_reports WHERE report IS NULL OR NOT json_valid(report)",

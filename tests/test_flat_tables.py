@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from chronoloom.operators.nested import flat_rows, flat_table, merged_schema, nested_nodes, schema_kinds
+from chronoloom.operators.nested import flat_rows, flat_table, merged_schema, nested_nodes, schema_kinds, surrogate_key
 from chronoloom.plans import training_data
 
 TEXTS = [
@@ -26,7 +26,7 @@ def test_runs_table(spark):
     assert got == {0: (0.5, 4.0, None, "x"), 1: (None, None, False, "5"), 2: (None,) * 4, 3: (None,) * 4}
     assert runs.where("parent_key IS NOT NULL").count() == 0
     # every other object refers to a row of some table
-    keys = nodes.select(F.xxhash64("row_id", "node").alias("k"))
+    keys = nodes.select(surrogate_key(F.col("row_id"), F.col("node")).alias("k"))
     every = flat_rows(nodes, schema)
     assert every.where("kind <> ''").join(keys, F.col("parent_key") == F.col("k"), "left_anti").count() == 0
 
