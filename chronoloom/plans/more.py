@@ -212,7 +212,15 @@ def warped_points(spark: SparkSession, d: str) -> DataFrame:
     return mapped_points(mids, seg, K, "mid_us")
 
 
-@query()
+_SPOKEN = "list_filter(regexp_split_to_array(trim(coalesce({0}, ''), ' ' || chr(9) || chr(10) || chr(13)), '\\s+'), lambda x: x <> '')"
+_TOLD = "array_to_string(list_transform({0}, lambda x: chr(CAST(list_position(al, x) AS INT))), '')"
+_CPWER = f"""WITH e AS (SELECT item_id, {_SPOKEN.format("text")} AS r0, {_SPOKEN.format("lead(text) OVER w")} AS r1, {_SPOKEN.format("lag(text) OVER w")} AS h1 FROM eval_items WINDOW w AS (PARTITION BY suite ORDER BY item_id)),
+a AS (SELECT *, list_distinct(list_concat(r0, r1, h1)) AS al FROM e), c AS (SELECT item_id, len(r0) + len(r1) AS ref_words, {_TOLD.format("r0")} AS a, {_TOLD.format("r1")} AS b, {_TOLD.format("h1")} AS h FROM a),
+d AS (SELECT item_id, least(levenshtein(a, b) + levenshtein(b, h), levenshtein(a, h) + 0) AS errors, ref_words FROM c)
+SELECT item_id, errors, ref_words, CASE WHEN ref_words > 0 THEN round(errors / CAST(ref_words AS DOUBLE), 9) WHEN errors > 0 THEN 1.0 ELSE 0.0 END AS rate FROM d"""
+
+
+@query(_CPWER)
 def assigned_word_errors(spark: SparkSession, d: str) -> DataFrame:
     """Each item and the next of its suite as two speakers, against the same texts exchanged."""
     from pyspark.sql import Window

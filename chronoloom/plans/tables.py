@@ -186,7 +186,14 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", F.col("text").alias("ref"), F.lead("text").over(w).alias("hyp"))
 
 
-@query()
+# DuckDB's distance counts bytes: the symbols of a pair, at most 127, are told as ASCII characters
+_CODES = "array_to_string(list_transform(range(1, 128), lambda x: chr(CAST(x AS INT))), '')"
+_CER = f"""WITH p AS (SELECT item_id, coalesce(text, '') AS r, coalesce(lead(text) OVER (PARTITION BY suite ORDER BY item_id), '') AS h FROM eval_items), a AS (SELECT *, array_to_string(list_distinct(string_split(r || h, '')), '') AS alpha FROM p),
+d AS (SELECT item_id, levenshtein(translate(r, alpha, substr({_CODES}, 1, length(alpha))), translate(h, alpha, substr({_CODES}, 1, length(alpha)))) AS char_distance, length(r) AS ref_chars FROM a)
+SELECT *, CASE WHEN ref_chars > 0 THEN round(char_distance / CAST(ref_chars AS DOUBLE), 9) WHEN char_distance > 0 THEN 1.0 ELSE 0.0 END AS cer FROM d"""
+
+
+@query(_CER)
 def cer_pairs(spark: SparkSession, d: str) -> DataFrame:
     return X.character_errors(_pairs(spark, d), "ref", "hyp").drop("ref", "hyp")
 
