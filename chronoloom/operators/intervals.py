@@ -20,14 +20,25 @@ def overlap_us(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", width: int = MINUTE_US) -> DataFrame:
+def bucket_width(*sides: DataFrame, least: int = MINUTE_US) -> int:
+    """A width of buckets at which intervals cost at most two rows each on average: the greatest mean length.
+
+    A single long interval costs as many rows as it has buckets, but no more than the rest saves.
+    """
+    mean = F.avg(F.col("end_us") - F.col("start_us"))
+    return max(least, *[int(df.agg(mean).first()[0] or 0) + 1 for df in sides])
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", width: int | None = MINUTE_US) -> DataFrame:
     """Pairs of equal keys whose intervals overlap; right's interval as other_start_us, other_end_us.
 
     Both sides are spread over the buckets they touch and joined on keys and bucket; a pair is kept in
     the bucket where its common part begins, so it comes once. ``left_semi`` and ``left_anti`` keep
     left rows with or without a partner. Choose *width* near the longer typical interval: an interval
-    of n buckets costs n rows.
+    of n buckets costs n rows; None measures it by :func:`bucket_width`, in one pass over both sides.
     """
+    width = bucket_width(left, right) if width is None else width
+
     def spread(df: DataFrame, s: str, e: str) -> DataFrame:
         return df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width))))
 

@@ -77,7 +77,10 @@ def orphan_references(references: list[Reference]) -> DataFrame:
     never read.
     """
     keys = ["parent_table", "key"]
-    rows = tagged_keys(references)
+    tagged = tagged_keys(references)
+    # a child without a time needs no order: it has no valid target
+    timeless = tagged.where("at_us IS NULL AND turn = 1")
+    rows = tagged.where("at_us IS NOT NULL")
     rows = rows.withColumn(BLOCK, block_of(F.col("at_us"), counted_width(rows, keys, F.col("at_us"), DAY_US)))
     local = rows.withColumn("_here", F.sum("step").over(upto(inside(keys, "at_us", "turn"))))
     days = rows.where("step <> 0").groupBy(*keys, BLOCK).agg(F.sum("step").alias("_step"))
@@ -89,7 +92,8 @@ def orphan_references(references: list[Reference]) -> DataFrame:
         .select(*keys, BLOCK, "_carry")
     )
     children = local.where("turn = 1")
-    return children.join(carry, [*keys, BLOCK]).where("_here + _carry <= 0").select("parent_table", "key", "src_table", "row_id", "at_us")
+    names = ["parent_table", "key", "src_table", "row_id", "at_us"]
+    return children.join(carry, [*keys, BLOCK]).where("_here + _carry <= 0").select(*names).unionByName(timeless.select(*names))
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

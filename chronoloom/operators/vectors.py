@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators.blocked import BLOCK, across, before, block_of, inside, upto
-from chronoloom.session import cut, drop
+from chronoloom.session import counted_cut, cut, drop
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -273,30 +273,54 @@ def spearman(rows: DataFrame, keys: list[str], a: str, b: str, width_a: float, w
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.corr("_ra", "_rb"), 6).alias("rho"))
 
 
+def _cluster_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map side of a round: rows go to the nearer of their key's centres, and are summed by key and cluster."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, c = _unit_rows(b.column("v"), b.num_rows), [np.asarray(b.column(f"c{k}").flatten().to_numpy(zero_copy_only=False)).reshape(b.num_rows, -1) for k in range(2)]
+        own = ((x * c[1]).sum(axis=1) > (x * c[0]).sum(axis=1)).astype(np.int64)
+        code = b.column("key").dictionary_encode()
+        group = code.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + own
+        held, group = np.unique(group, return_inverse=True)
+        sums = np.zeros((len(held), x.shape[1]))
+        np.add.at(sums, group, x)
+        dim, n = x.shape[1], len(held)
+        yield pa.RecordBatch.from_arrays(
+            [code.dictionary.take(pa.array(np.repeat(held // 2, dim))), pa.array(np.repeat(held % 2, dim).astype(np.int32)), pa.array(np.tile(np.arange(dim), n).astype(np.int32)), pa.array(sums.ravel())],
+            ["key", "cluster", "dim", "x"],
+        )
+
+
 def two_clusters(rows: DataFrame, keys: list[str], vector: str, row: str, iterations: int = 30) -> DataFrame:
-    """Spherical two-means per key: cluster 0 has the smallest row id. Seeds are the heaviest pair apart.
+    """Spherical two-means per key: id, cluster, distance to its centre. Cluster 0 has the smallest row id.
 
-    A key's vectors are fitted together by one grouped Arrow function; keys are recordings.
+    The first seed is the row farthest from the one with the smallest id, the other that farthest from
+    it. Each round sums what goes to either centre where the rows live, combined before the shuffle, so
+    a key's vectors never meet in one task; only centres, two a key, are joined back. Rounds end when no
+    centre moves by more than 1e-9 or after *iterations*. Ties go to cluster 0; an empty cluster keeps
+    its centre; a key of one row is one cluster; null vectors are left out.
     """
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        x = np.stack(pdf["v"].to_numpy())
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        second = int((x @ x[0]).argmin())
-        first = int((x @ x[second]).argmin())
-        centres = x[[min(first, second), max(first, second)]]
-        own = np.zeros(len(x), int)
-        for _ in range(iterations):
-            after = (x @ centres.T).argmax(axis=1)
-            if (after == own).all() and _:
-                break
-            own = after
-            for c in (0, 1):
-                if (own == c).any():
-                    s = x[own == c].sum(axis=0)
-                    centres[c] = s / max(np.linalg.norm(s), 1e-300)
-        if own[0]:
-            own, centres = 1 - own, centres[::-1]
-        return pd.DataFrame({"id": pdf["id"], "cluster": own, "distance": 1 - (x * centres[own]).sum(axis=1)})
-
-    return rows.select(*keys, F.col(row).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").groupBy(*keys).applyInPandas(fit, "id BIGINT, cluster INT, distance DOUBLE")
+    held = rows.select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("key"), F.col(row).cast("bigint").alias("id"), unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
+    base = cut(held, "vectors")
+    far = lambda c: F.min_by(F.struct("id", "v"), F.struct(F.round(dot(F.col("v"), c), 12).alias("d"), "id"))
+    start = base.groupBy("key").agg(F.min_by("v", "id").alias("s"))
+    second = base.join(start, "key").groupBy("key").agg(far(F.col("s")).alias("b"))
+    pair = base.join(second, "key").groupBy("key").agg(F.first("b").alias("b"), far(F.col("b.v")).alias("a"))
+    ordered = F.col("a.id") <= F.col("b.id")
+    centres = cut(pair.select("key", F.when(ordered, F.col("a.v")).otherwise(F.col("b.v")).alias("c0"), F.when(ordered, F.col("b.v")).otherwise(F.col("a.v")).alias("c1")), "centres")
+    for _ in range(iterations):
+        sums = base.join(centres, "key").select("key", "v", "c0", "c1").mapInArrow(_cluster_sums, "key STRING, cluster INT, dim INT, x DOUBLE").groupBy("key", "cluster", "dim").agg(F.sum("x").alias("x"))
+        made = sums.groupBy("key", "cluster").agg(unit(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"])).alias("c"))
+        new = made.groupBy("key").agg(*[F.max(F.when(F.col("cluster") == k, F.col("c"))).alias(f"n{k}") for k in range(2)])
+        moved = lambda k: F.exists(F.zip_with(F.coalesce(f"n{k}", f"c{k}"), f"c{k}", lambda p, q: F.abs(p - q)), lambda d: d > 1e-9)
+        step = centres.join(new, "key").select("key", F.coalesce("n0", "c0").alias("c0"), F.coalesce("n1", "c1").alias("c1"), (moved(0) | moved(1)).alias("moved"))
+        after, seen = counted_cut(step, "centres", F.count(F.when(F.col("moved"), 1)).alias("n"))
+        drop(centres)
+        centres = after
+        if not seen["n"]:
+            break
+    near = [dot(F.col("v"), F.col(f"c{k}")) for k in range(2)]
+    told = base.join(centres.select("key", "c0", "c1"), "key").select("key", "id", (F.round(near[1], 12) > F.round(near[0], 12)).cast("int").alias("cluster"), F.greatest(*near).alias("_d"))
+    least = told.groupBy("key").agg(F.min_by("cluster", "id").alias("_flip"))
+    return told.join(least, "key").select("id", F.when(F.col("_flip") == 1, 1 - F.col("cluster")).otherwise(F.col("cluster")).alias("cluster"), (1 - F.col("_d")).alias("distance"))

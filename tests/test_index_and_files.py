@@ -52,3 +52,20 @@ def test_rejected_reports(spark):
     rows = [(1, None), (2, ""), (3, '{"a": 1'), (4, '{"a": 1} x'), (5, '{"a": 1}'), (6, "[1, {}]"), (7, deep)]
     got = {r.row_id: r.reason for r in rejected_reports(spark.createDataFrame(rows, "row_id BIGINT, report STRING")).collect()}
     assert {k: v for k, v in got.items() if k < 7} == {1: "MISSING", 2: "UNREADABLE", 3: "UNREADABLE", 4: "UNREADABLE"} and got[7] in ("TOO_LARGE", "UNREADABLE")
+
+
+def test_bucket_width_bounds_what_is_spread(spark):
+    from chronoloom.operators.intervals import bucket_width, interval_join
+
+    long = spark.createDataFrame([("r", 0, 86_400_000_000), ("r", 5, 10)], "recording STRING, start_us BIGINT, end_us BIGINT")
+    short = spark.createDataFrame([("r", k * 1_000_000, k * 1_000_000 + 10) for k in range(50)], "recording STRING, start_us BIGINT, end_us BIGINT")
+    assert bucket_width(long, short) >= 43_200_000_000 and bucket_width(short) == 60_000_000 and bucket_width(short.where("false")) == 60_000_000
+    assert interval_join(long, short, ["recording"], width=None).count() == interval_join(long, short, ["recording"]).count() == 51
+
+
+def test_two_clusters_of_a_hot_key(spark):
+    rows = [("hot", i, [1.0, 0.01 * (i % 7)] if i % 3 else [0.01 * (i % 5), 1.0]) for i in range(2, 300)] + [("one", 900, [1.0, 0.0]), (None, 901, [0.0, 2.0]), (None, 902, [2.0, 0.0]), ("hot", 903, None)]
+    df = spark.createDataFrame(rows, "rec STRING, id BIGINT, v ARRAY<DOUBLE>")
+    got = {r.id: r.cluster for r in V.two_clusters(df, ["rec"], "v", "id").collect()}
+    assert got == {**{i: 0 if i % 3 else 1 for i in range(2, 300)}, 900: 0, 901: 0, 902: 1}
+    assert V.two_clusters(df.where("false"), ["rec"], "v", "id").count() == 0
