@@ -249,8 +249,7 @@ def change_boundaries(turns: DataFrame, keys: list[str], labels: tuple[str, str]
     """
     at = lambda x, what: F.max(F.when(F.col("label") == x, what))
     points = turns.where(F.col("label").isin(*labels)).groupBy(*keys, F.col("start_us").alias("at")).agg(*[at(x, F.col("end_us")).alias(f"_e{k}") for k, x in enumerate(labels)])
-    w = before(Window.partitionBy(*keys).orderBy("at"))
-    seen = points.select("*", *[F.max(f"_e{k}").over(w).alias(f"_m{k}") for k in range(2)]).withColumn("_last", F.greatest("_m0", "_m1"))
+    seen = scanned(points, keys, "at", [], HOUR_US, top_before={f"_m{k}": F.col(f"_e{k}") for k in range(2)}).withColumn("_last", F.greatest("_m0", "_m1"))
     there = lambda k: F.coalesce(F.when(F.col("_last") >= F.col("at"), F.col(f"_m{k}") >= F.col("at")).otherwise(F.col(f"_m{k}") == F.col("_last")), F.lit(False))
     fresh = [F.col(f"_e{k}").isNotNull() & ~there(k) for k in range(2)]
     return seen.where(F.col("_last").isNotNull() & (fresh[0] | fresh[1])).select(*keys, "at")
