@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
 from chronoloom.operators.blocked import BLOCK, across, before, block_of, counted_width, inside, upto
+from chronoloom.session import cut
 
 DAY_US = 86_400_000_000
 
@@ -77,7 +78,7 @@ def orphan_references(references: list[Reference]) -> DataFrame:
     never read.
     """
     keys = ["parent_table", "key"]
-    tagged = tagged_keys(references)
+    tagged = cut(tagged_keys(references), "keys")  # plain forms are dear, and the keys are read five times
     # a child without a time needs no order: it has no valid target
     timeless = tagged.where("at_us IS NULL AND turn = 1")
     rows = tagged.where("at_us IS NOT NULL")
