@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.ids import plain_form
 from chronoloom.llm.components import tied_rows
 from chronoloom.operators.blocked import BLOCK, across, before, inside
-from chronoloom.session import cut
+from chronoloom.session import counted_cut, cut
 
-#: Steps in which the share of a label in a component is told, components a task ranks, splits and bundles at most.
-STEPS, RANKED, MOST_SPLITS, MOST_BUNDLES = 8, 50_000, 100, 200_000
+#: Steps in which the share of a label in a component is told, components a task ranks, splits at most.
+STEPS, RANKED, MOST_SPLITS = 8, 50_000, 100
 
 
 class Flow:
@@ -89,8 +92,13 @@ class Flow:
 
 
 def whole_quotas(total: int, shares: dict[str, float]) -> dict[str, int]:
-    """Integers in proportion to the shares that add up to *total*; largest remainders, ties by name."""
-    whole = sum(shares.values()) or 1.0
+    """Integers in proportion to the shares that add up to *total*; largest remainders, ties by name.
+
+    Shares that are all 0 count as equal ones.
+    """
+    if not any(shares.values()):
+        shares = dict.fromkeys(shares, 1.0)
+    whole = sum(shares.values())
     exact = {s: total * w / whole for s, w in shares.items()}
     out = {s: int(x) for s, x in exact.items()}
     for s in sorted(shares, key=lambda s: (out[s] - exact[s], s))[: total - sum(out.values())]:
@@ -98,40 +106,73 @@ def whole_quotas(total: int, shares: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def allocate(bundles: list[tuple[str, int, int]], shares: dict[str, float]) -> dict[tuple[str, int], dict[str, int]]:
-    """How many components of each bundle (profile, size, number of components) go to each split.
-
-    A flow of rows runs from the bundles to the splits. Rows of a bundle beyond its own share of a
-    split cost 1, rows beyond the quota of the split 1000: the integral optimum meets the quotas of the
-    splits, and parts sizes and label profiles among them as evenly as that allows.
+def moved_rows(own: list[int], quotas: list[int]) -> list[list[tuple[int, int]]]:
+    """For each split, the splits that rows of its own shares move to, and how many, by min-cost flow.
 
-    Components cannot be parted, so the flow is rounded to whole ones: from the largest size down each
-    bundle gives every split its flow and what larger ones owe it, in whole components, the rest one
-    by one to the split that is owed most. Small components thereby settle what large ones leave.
+    In the flow from bundles to splits, rows of a bundle beyond its own share of a split cost 1, rows
+    beyond the quota of the split 1000. Each bundle's own shares are all of its rows, at no cost, so what
+    the cheapest flow changes depends on the sums of the own shares alone: the nodes of all bundles fall
+    into one a split, and the optimum stays what it is, however many bundles there are.
     """
-    total = sum(size * n for _, size, n in bundles)
     flow, arcs = Flow(), {}
-    for s, q in sorted(whole_quotas(total, shares).items()):
+    for s, (n, q) in enumerate(zip(own, quotas, strict=True)):
+        flow.arc("source", ("own", s), n, 0)
         flow.arc(("split", s), "sink", q, 0)
-        flow.arc(("split", s), "sink", total, 1000)
-    for profile, size, n in sorted(bundles):
-        flow.arc("source", (profile, size), size * n, 0)
-        for s, q in sorted(whole_quotas(size * n, shares).items()):
-            arcs[profile, size, s] = (flow.arc((profile, size), ("split", s), q, 0), flow.arc((profile, size), ("split", s), size * n, 1))
+        flow.arc(("split", s), "sink", sum(own), 1000)
+    for s, n in enumerate(own):
+        for t in range(len(own)):
+            arcs[s, t] = flow.arc(("own", s), ("split", t), n, int(s != t))
     flow.run("source", "sink")
-    owed = dict.fromkeys(sorted(shares), 0)
-    out: dict[tuple[str, int], dict[str, int]] = {}
-    for profile, size, n in sorted(bundles, key=lambda b: (-b[1], b[0])):
-        moved = {s: sum(map(flow.flow, arcs[profile, size, s])) for s in owed}
-        want = {s: max(0, moved[s] + owed[s]) for s in owed}
-        whole = sum(want.values())  # at least size * n, since what is owed adds up to nothing
-        given = {s: min(n, want[s] * n // whole) if whole else 0 for s in owed}
-        for _ in range(n - sum(given.values())):  # fewer than there are splits
-            given[max(owed, key=lambda s: (want[s] - given[s] * size, shares[s], s))] += 1
-        for s in owed:
-            owed[s] += moved[s] - given[s] * size
-        out[profile, size] = given
-    return out
+    return [[(t, flow.flow(arcs[s, t])) for t in range(len(own)) if t != s and flow.flow(arcs[s, t])] for s in range(len(own))]
+
+
+def allotted(bundles: Iterable[tuple[str, int, int, list[int]]], weights: list[float], own: list[int], moves: list[list[tuple[int, int]]]) -> Iterator[tuple[str, int, list[int]]]:
+    """(profile, size, components for each split) of bundles (profile, size, number, own shares), one after the other.
+
+    *bundles* come from the largest size down; only a few numbers a split are held. The rows that
+    :func:`moved_rows` moves lie evenly among those of the bundles in this order.
+
+    Components cannot be parted, so the flow is rounded to whole ones: each bundle gives every split
+    its flow and what larger ones owe it, in whole components, the rest one by one to the split that
+    is owed most. Small components thereby settle what large ones leave.
+    """
+    k = range(len(weights))
+    owed, seen = [0] * len(weights), [0] * len(weights)
+    for profile, size, n, shares in bundles:
+        flow = [0] * len(weights)
+        for s in k:
+            at, left, total = seen[s], shares[s], own[s]
+            for t, x in moves[s]:
+                # of every *total* rows *x* move; the others go on to the next split
+                if left:
+                    a = x * at // total
+                    m = x * (at + left) // total - a
+                    flow[t] += m
+                    at, left, total = at - a, left - m, total - x
+            flow[s] += left
+            seen[s] += shares[s]
+        want = [max(0, flow[s] + owed[s]) for s in k]
+        whole = sum(want)  # at least size * n, since what is owed adds up to nothing
+        given = [min(n, w * n // whole) if whole else 0 for w in want]
+        for _ in range(n - sum(given)):  # fewer than there are splits
+            given[max(k, key=lambda s: (want[s] - given[s] * size, weights[s], s))] += 1
+        for s in k:
+            owed[s] += flow[s] - given[s] * size
+        yield profile, size, given
+
+
+def allocate(bundles: list[tuple[str, int, int]], shares: dict[str, float]) -> dict[tuple[str, int], dict[str, int]]:
+    """How many components of each bundle (profile, size, number of components) go to each split.
+
+    The same steps as :func:`assign_splits` takes, over a list: own shares of the bundles, the cheapest
+    flow that meets the quotas, and whole components from the largest size down.
+    """
+    names = sorted(shares)
+    split = lambda n: [whole_quotas(n, shares)[s] for s in names]
+    held = [(profile, size, n, split(size * n)) for profile, size, n in sorted(bundles, key=lambda b: (-b[1], b[0]))]
+    own = [sum(x[s] for *_, x in held) for s in range(len(names))]
+    out = allotted(held, [shares[s] for s in names], own, moved_rows(own, split(sum(own))))
+    return {(profile, size): dict(zip(names, given, strict=True)) for profile, size, given in out}
 
 
 def assign_splits(rows: DataFrame, targets: DataFrame, row: str = "row_id", session: str = "session_id", group: str = "augmentation_group", recording: str = "recording_id", label: str = "split") -> DataFrame:
@@ -140,17 +181,18 @@ def assign_splits(rows: DataFrame, targets: DataFrame, row: str = "row_id", sess
     Returns row_id, component, split.
 
     Method: components of rows tied by session, group or recording are bundled by size and label
-    profile: which share of their rows each target split had, in eighths. The bundles are counted on
-    the cluster, and only their counts reach the driver; were there more than :data:`MOST_BUNDLES`,
-    sizes alone would bundle (at most the square root of twice the rows). :func:`allocate` solves the
-    quotas by min-cost flow and rounds it integrally; the members of a bundle are assigned by the order
-    of their hash, whose ranks are counted in blocks of about :data:`RANKED` components, so a bundle of
-    all single rows is never in one task.
+    profile: which share of their rows each target split had, in eighths. The own shares of the bundles
+    are told and summed on the cluster, the sums alone reach the driver, and :func:`moved_rows` solves
+    the quotas by min-cost flow. One task then reads the bundles, a row each, from the largest size
+    down and rounds the flow to whole components (:func:`allotted`); it holds none of them, so every
+    number of bundles takes the same way. The members of a bundle are assigned by the order of their
+    hash, whose ranks are counted in blocks of at most about :data:`RANKED` components, stretches of that
+    order, so a bundle of all single rows is never in one task and blocks do not change what is assigned.
 
     Defined cases: null keys and keys without letters or digits tie nothing; rows without keys are
     components of their own; repeated rows are tied by their recording; no rows give no rows; a
     component larger than any quota goes to the largest; shares are taken in proportion to their sum,
-    null and negative ones count as 0; without targets there is nothing to assign to, and beyond
+    null and negative ones count as 0, and if all are 0 as equal; without targets there is nothing to assign to, and beyond
     :data:`MOST_SPLITS` they are no table of targets: an error.
     """
     named = targets.select("split_name", "share").where("split_name IS NOT NULL").limit(MOST_SPLITS + 1).collect()
@@ -167,25 +209,35 @@ def assign_splits(rows: DataFrame, targets: DataFrame, row: str = "row_id", sess
     counts = tied.join(old, "row_id").groupBy("component").agg(F.count("*").alias("size"), *parts)
     eighths = F.concat_ws(",", *[F.round(F.col(f"_n{k}") * STEPS / F.col("size")).cast("int") for k in range(len(plain))])
     profile = cut(counts.select("component", "size", eighths.alias("profile")), "profile")
-    bundled = profile.groupBy("profile", "size").agg(F.count("*").alias("n"))
-    if bundled.count() > MOST_BUNDLES:
-        profile = profile.withColumn("profile", F.lit(""))
-        bundled = profile.groupBy("profile", "size").agg(F.count("*").alias("n"))
-    bundles = [(r.profile, r.size, r.n) for r in bundled.collect()]
-    bounds = []
-    for (name, size), given in allocate(bundles, shares).items():
-        at = 0
-        for s in sorted(given):
-            bounds.append((name, size, s, at, at + given[s]))
-            at += given[s]
-    table = spark.createDataFrame(bounds, "profile STRING, size BIGINT, new STRING, low BIGINT, high BIGINT").where("high > low")
-    n_blocks = max(1, -(-max((n for *_, n in bundles), default=0) // RANKED))
-    placed = profile.withColumn("_h", F.xxhash64("component")).withColumn(BLOCK, F.pmod("_h", F.lit(n_blocks)))
+    names = sorted(shares)
+
+    def own_shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            quotas = [whole_quotas(size * n, shares) for size, n in zip(b.column("size").to_pylist(), b.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[q[s] for s in names] for q in quotas], pa.list_(pa.int64()))], [*b.schema.names, "own"])
+
+    counted = profile.groupBy("profile", "size").agg(F.count("*").alias("n"))
+    sums = [F.sum(F.get("own", F.lit(k))).alias(f"own{k}") for k in range(len(names))]
+    bundled, seen = counted_cut(counted.mapInArrow(own_shares, "profile STRING, size BIGINT, n BIGINT, own ARRAY<BIGINT>"), "bundles", F.max("n").alias("most"), *sums)
+    own = [seen.get(f"own{k}") or 0 for k in range(len(names))]
+    quotas = whole_quotas(sum(own), shares)
+    moves = moved_rows(own, [quotas[s] for s in names])
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundles = ((r["profile"], r["size"], r["n"], r["own"]) for b in batches for r in b.to_pylist())
+        given = ((p, size, list(accumulate(g))) for p, size, g in allotted(bundles, [shares[s] for s in names], own, moves))
+        while some := list(islice(given, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["profile", "size", "ends"])
+
+    ends = cut(bundled.repartition(1).sortWithinPartitions(F.desc("size"), "profile").mapInArrow(give, "profile STRING, size BIGINT, ends ARRAY<BIGINT>"), "given")
+    bits = ((seen.get("most") or 0) // RANKED).bit_length()
+    placed = profile.withColumn("_h", F.xxhash64("component")).withColumn(BLOCK, F.shiftright("_h", 63 - bits))
     k = ["profile", "size"]
     blocks = placed.groupBy(*k, BLOCK).agg(F.count("*").alias("_n"))
-    blocks = blocks.select(*k, BLOCK, F.coalesce(F.sum("_n").over(before(across(k))), F.lit(0)).alias("_before"))
+    blocks = blocks.select(*k, BLOCK, F.coalesce(F.sum("_n").over(before(across(k))), F.lit(0)).alias("_before")).join(ends, k)
     ranked = placed.withColumn("_rank", F.row_number().over(inside(k, "_h", "component")) - 1).join(blocks, [*k, BLOCK]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    chosen = ranked.join(F.broadcast(table) if len(bounds) <= 100_000 else table, k).where("_rank >= low AND _rank < high").select("component", F.col("new").alias("split"))
+    new = F.get(F.array(*map(F.lit, names)), F.size(F.filter("ends", lambda x: x <= F.col("_rank"))))
+    chosen = ranked.select("component", new.alias("split"))
     return tied.join(chosen, "component").select("row_id", "component", "split")
 
 

@@ -5,11 +5,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import cross_split
+from chronoloom.llm import cross_split, split_assign
 from chronoloom.llm.components import representatives, tied_rows
 from chronoloom.llm.cross_split import coverage, cross_split_pairs, keyed_rows, matched_intervals, originals, row_links
 from chronoloom.llm.event_runs import collapse_runs
-from chronoloom.llm.split_assign import Flow, allocate, assign_splits, split_balance, whole_quotas
+from chronoloom.llm.split_assign import Flow, allocate, assign_splits, moved_rows, split_balance, whole_quotas
 
 SCHEMA = "row_id BIGINT, recording_id STRING, session_id STRING, split STRING, source_recording_id STRING, augmentation_group STRING, component STRING"
 
@@ -117,6 +117,50 @@ def test_planted_targets(spark):
     assert sorted(map(tuple, split_balance(got, targets).collect())) == [("A", 160, True, 0), ("B", 30, True, 0), ("C", 10, True, 0)]
 
 
+def test_size_switches_nothing(spark, monkeypatch):
+    """Neither the number of bundles nor that of components in one changes what is assigned."""
+    rows = [(i, None, f"s{i}", "AB"[i % 2], None, None, "c") for i in range(120)] + [(200 + i, None, f"t{i // 3}", "AB"[i // 3 % 2], None, None, "c") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    targets = spark.createDataFrame([("A", 0.5), ("B", 0.5)], "split_name STRING, share DOUBLE")
+    new = sorted(map(tuple, assign_splits(df, targets).collect()))
+    # singles and threes of either label are halved each
+    label = {r[0]: r[3] for r in rows}
+    assert Counter((i < 200, label[i], s) for i, _, s in new) == {(single, x, s): 30 if single else 15 for single in (True, False) for x in "AB" for s in "AB"}
+    for name, least in (("MOST_BUNDLES", 2), ("RANKED", 7)):
+        with monkeypatch.context() as m:
+            m.setattr(split_assign, name, least, raising=False)
+            assert sorted(map(tuple, assign_splits(df, targets).collect())) == new
+
+
+def test_few_nodes_cost_as_little():
+    """The flow with a node a split is as cheap as that with a node a bundle."""
+    rng = random.Random(13)
+    for _ in range(20):
+        shares = {s: rng.random() for s in "ABCD"[: rng.randrange(2, 5)]}
+        supply = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 25))]
+        quotas, own = whole_quotas(sum(supply), shares), [whole_quotas(n, shares) for n in supply]
+        flow, beyond, over = Flow(), [], []
+        for s, q in quotas.items():
+            flow.arc(("split", s), "sink", q, 0)
+            over.append(flow.arc(("split", s), "sink", sum(supply), 1000))
+        for b, n in enumerate(supply):
+            flow.arc("source", ("bundle", b), n, 0)
+            for s, q in own[b].items():
+                flow.arc(("bundle", b), ("split", s), q, 0)
+                beyond.append(flow.arc(("bundle", b), ("split", s), n, 1))
+        flow.run("source", "sink")
+        assert sum(map(flow.flow, over)) == 0
+        moves = moved_rows([sum(x[s] for x in own) for s in shares], list(quotas.values()))
+        assert sum(n for m in moves for _, n in m) == sum(map(flow.flow, beyond))
+
+
+def test_shares_of_nothing_are_equal(spark):
+    rows = [(i, None, None, "A", None, None, "c") for i in range(20)]
+    targets = spark.createDataFrame([("A", 0.0), ("B", None)], "split_name STRING, share DOUBLE")
+    got = assign_splits(spark.createDataFrame(rows, SCHEMA), targets)
+    assert Counter(r.split for r in got.collect()) == {"A": 10, "B": 10}
+
+
 def brute_pairs(rows):
     plain = lambda x: "".join(c for c in (x or "").lower() if c.isalnum()) or None
     src = {}
