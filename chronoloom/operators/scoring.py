@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ HYP = ("A", "B")
 NEUTRAL = ("UNKNOWN", "NON_SPEECH", "OVERLAP", "OTHER")
 #: Least time of a speaker who counts; recordings that are broadcast at most.
 FLOOR_US, MOST_BROADCAST = 250_000, 50_000
-#: Draws made at a time.
-DRAWN = 100_000
+#: Draws made at a time and, about, in a task; recordings of a block that draws are packed for.
+DRAWN, TASK_DRAWS, BLOCK_ROWS = 100_000, 4_000_000, 4_096
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -185,24 +186,57 @@ def subgroup_scores(scores: DataFrame, dims: list[str]) -> DataFrame:
     return long.groupBy("_g.dim", "_g.value").agg(F.count("*").alias("n_recordings"), ratio(errors, F.sum("ref_us")).alias("pooled_der"), F.round(F.avg("der"), 9).alias("mean_der"), F.round(F.max("der"), 9).alias("worst_der"))
 
 
-def bootstrap_draws(spark: SparkSession, n: int, iterations: int, seed: int) -> DataFrame:
+def _drawn(seed: int, i: int, low: int, high: int, n: int) -> np.ndarray:
+    """Population indices of draws *low* to *high* of iteration *i*."""
+    head, tail = f"{seed}:{i}:".encode(), f":{n}".encode()
+    first = b"".join([sha256(head + b"%d" % j + tail).digest()[:8] for j in range(low, high)])
+    return (np.frombuffer(first, ">u8") % np.uint64(n)).astype(np.int64)
+
+
+def bootstrap_draws(spark: SparkSession, n: int, iterations: int, seed: int, block: int | None = None) -> DataFrame:
     """(_i, _k): the population index that each of the *n* draws of every iteration takes.
 
     Draw j of iteration i is the first 8 bytes of sha256("seed:i:j:n") modulo n. Draws are made in Arrow
-    batches where the iteration lives, so an iteration's rows stay together until they are summed.
+    batches where the iteration lives, so an iteration's rows stay together until they are summed. With
+    *block* the draws of a batch that fall into the same *block* indices (32,768 at most) are one row:
+    (_i, _b, _o), the block and the places in it.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hashlib import sha256
+    parts = -(-n // DRAWN)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                head, tail, size = f"{seed}:{i}:".encode(), f":{n}".encode(), min(DRAWN, n - low)
-                first = b"".join([sha256(head + b"%d" % j + tail).digest()[:8] for j in range(low, low + size)])
-                drawn = (np.frombuffer(first, ">u8") % np.uint64(n)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, i, np.int64)), pa.array(drawn)], ["_i", "_k"])
-
-    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"), F.lit(DRAWN).cast("bigint"))).alias("_low")
-    return spark.range(iterations).select(F.col("id").alias("_i"), each).mapInArrow(run, "_i BIGINT, _k BIGINT")
+            for at in b.column(0).to_pylist():
+                i, low = at // parts, at % parts * DRAWN
+                k = _drawn(seed, i, low, min(n, low + DRAWN), n)
+                if block is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), i, np.int64)), pa.array(k)], ["_i", "_k"])
+                    continue
+                k.sort()
+                own = k // block
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                places = pa.ListArray.from_arrays(pa.array(np.r_[first, len(k)].astype(np.int32)), pa.array((k % block).astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), i, np.int64)), pa.array(own[first]), places], ["_i", "_b", "_o"])
+
+    tasks = min(iterations * parts, max(spark.sparkContext.defaultParallelism, iterations * n // TASK_DRAWS))
+    return spark.range(0, iterations * parts, 1, tasks).mapInArrow(run, "_i BIGINT, _k BIGINT" if block is None else "_i BIGINT, _b BIGINT, _o ARRAY<SMALLINT>")
+
+
+def drawn_rows(indexed: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
+    """The rows of *indexed* (numbered by _k from 0 to *n* - 1) that every iteration _i draws.
+
+    Few rows are broadcast. Of more, blocks of :data:`BLOCK_ROWS` meet the draws of the block, packed: a
+    draw costs two bytes of shuffle. Spark takes the draws for as small as the range that they are made
+    from, so either join says which side is built.
+    """
+    spark = indexed.sparkSession
+    if n <= MOST_BROADCAST:
+        return bootstrap_draws(spark, n, iterations, seed).join(F.broadcast(indexed), "_k")
+    values = [c for c in indexed.columns if c != "_k"]
+    row = F.struct("_k", *values)
+    lists = indexed.groupBy(F.expr(f"_k DIV {BLOCK_ROWS}").alias("_b")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    columns = lists.select("_b", *[F.col("_rows")[c].alias(c) for c in values])
+    packed = bootstrap_draws(spark, n, iterations, seed, BLOCK_ROWS).join(columns.hint("shuffle_hash"), "_b")
+    return packed.select("_i", *values, F.explode("_o").alias("_at")).select("_i", *[F.col(c)[F.col("_at")].alias(c) for c in values])
 
 
 def bootstrap_suite(rows: DataFrame, statistics: dict[str, Column], iterations: int = 2_000, seed: int = 17_029, level: float = 0.95) -> DataFrame:
@@ -212,8 +246,8 @@ def bootstrap_suite(rows: DataFrame, statistics: dict[str, Column], iterations:
     defined), seed, n (recordings). A statistic that is null over all recordings has no row.
 
     Draws are hashes, so the result is the same on any cluster. Recordings are numbered by name; draws
-    are joined by index: the index table has one row a recording and iterations meet only in sums,
-    combined before the shuffle. All statistics use the same draws.
+    are joined by index (:func:`drawn_rows`) and iterations meet only in sums, combined before the
+    shuffle. All statistics use the same draws.
     """
     spark = rows.sparkSession
     named = cut(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "recording").withColumn(BLOCK, F.spark_partition_id()), "scores")
@@ -224,9 +258,8 @@ def bootstrap_suite(rows: DataFrame, statistics: dict[str, Column], iterations:
     # numbered by name, range by range of the names
     blocks = named.groupBy(BLOCK).agg(F.count("*").alias("_n")).select(BLOCK, F.coalesce(F.sum("_n").over(before(Window.orderBy(BLOCK))), F.lit(0)).alias("_before"))
     indexed = named.withColumn("_r", F.row_number().over(Window.partitionBy(BLOCK).orderBy("recording")) - 1).join(F.broadcast(blocks), BLOCK).withColumn("_k", F.col("_r") + F.col("_before")).drop("recording", BLOCK, "_r", "_before")
-    draws = bootstrap_draws(spark, n, iterations, seed)
     stats = [x.cast("double").alias(f"_s{k}") for k, x in enumerate(statistics.values())]
-    samples = draws.join(F.broadcast(indexed) if n <= MOST_BROADCAST else indexed, "_k").groupBy("_i").agg(*stats)
+    samples = drawn_rows(indexed, n, iterations, seed).groupBy("_i").agg(*stats)
     tail = (1 - level) / 2
     entries = lambda f: F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), *f(f"_s{k}")) for k, m in enumerate(statistics)])).alias("e")
     bounds = samples.agg(*[x for k in range(len(stats)) for x in (F.percentile(f"_s{k}", F.lit(tail)).alias(f"_s{k}l"), F.percentile(f"_s{k}", F.lit(1 - tail)).alias(f"_s{k}u"), F.count(f"_s{k}").alias(f"_s{k}n"))])

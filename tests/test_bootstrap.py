@@ -1,4 +1,5 @@
 import random
+import re
 from hashlib import sha256
 
 import pytest
@@ -35,6 +36,25 @@ def test_draws_and_bounds(spark):
     assert got["pooled"].point == pytest.approx(sum(x[1] for x in rows) / sum(x[2] for x in rows), abs=1e-9)
 
 
+def test_packed_draws(spark, monkeypatch):
+    """Beyond what is broadcast, recordings meet their draws block by block, and draws are not broadcast."""
+    for name, most in (("MOST_BROADCAST", 10), ("BLOCK_ROWS", 8), ("DRAWN", 20)):
+        monkeypatch.setattr(S, name, most, raising=False)
+    rng = random.Random(3)
+    rows = [(f"r{k:02}", rng.randrange(50), rng.random() if k % 3 else None) for k in range(53)]
+    df = spark.createDataFrame(rng.sample(rows, 53), "recording STRING, e BIGINT, v DOUBLE")
+    made = S.bootstrap_suite(df, {"mean": F.avg("e"), "least": F.min("v"), "known": F.count("v")}, 200)
+    got = {r.metric: r for r in made.collect()}
+    plan = made._jdf.queryExecution().sparkPlan().toString().split("\n")
+    joins = [x for x in plan if re.search(r"Join \[_[bk]#", x)]
+    assert len(joins) == 1 and "ShuffledHashJoin" in joins[0] and "BuildRight" in joins[0]
+    samples = [[rows[k] for k in ks] for ks in drawn(53, 200)]
+    expected = {"mean": [sum(x[1] for x in s) / 53 for s in samples], "least": [min(x[2] for x in s if x[2] is not None) for s in samples], "known": [sum(x[2] is not None for x in s) for s in samples]}
+    assert set(got) == set(expected)
+    for m, v in expected.items():
+        assert (got[m].lower, got[m].upper, got[m].iterations) == pytest.approx((quantile(v, 0.025), quantile(v, 0.975), 200), abs=2e-9)
+
+
 def changes(turns):
     out = set()
     for at in {s for _, s, _ in turns}:
