@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,22 +81,43 @@ def wav_files(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "wav")
     local = folder.removeprefix("file://")
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        import os
+    def head(n: int) -> bytes:
+        form = b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", n)
+        return b"RIFF" + struct.pack("<I", len(form) + n) + form
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by recording and k; a file has its name once it is whole."""
+        os.makedirs(local, exist_ok=True)
+        f, own, n = None, None, 0
+
+        def end() -> None:
+            size = f.tell() - len(head(0))
+            f.seek(0)
+            f.write(head(size))
+            f.close()
+            os.replace(f.name, f"{local}/{own}.wav")
+
+        for b in batches:
+            x, low = b.column(1).to_numpy(zero_copy_only=False).astype("<i2"), 0
+            runs = pc.run_end_encode(b.column(0))
+            for name, high in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if f is None or name != own:
+                    if f is not None:
+                        end()
+                    f, own, n = open(f"{local}/.{name}-{uuid.uuid4().hex}", "wb"), name, n + 1  # noqa: SIM115
+                    f.write(head(0))
+                f.write(x[low:high].repeat(2).tobytes())
+                low = high
+        if f is not None:
+            end()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    ordered = _samples(spark, d).repartition("recording").sortWithinPartitions("recording", "k").select("recording", "x")
+    if not ordered.mapInArrow(write, "n BIGINT").agg(F.sum("n")).first()[0]:
         os.makedirs(local, exist_ok=True)
-        x = pdf.sort_values("k")["x"].to_numpy().astype("<i2")
-        data = x.repeat(2).tobytes()
-        head = b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", len(data))
-        path = f"{local}/{pdf['recording'].iloc[0]}.wav"
-        with open(path, "wb") as f:
-            f.write(b"RIFF" + struct.pack("<I", 4 + len(head) + len(data)) + b"WAVE" + head + data)
-        return pd.DataFrame({"path": [path]})
-
-    made = _samples(spark, d).groupBy("recording").applyInPandas(write, "path STRING").collect()
     kept_until_exit(spark, folder)
     spark.dataSource.register(WavSource)
-    read = spark.read.format("wav").option("path", ",".join(sorted(r.path for r in made))).option("framesPerChunk", 37).load()
+    read = spark.read.format("wav").option("path", folder).option("framesPerChunk", 37).load()
     x = F.transform("samples", lambda v: F.round(v.cast("double") * 32768).cast("bigint"))
     add = lambda s, v: s + v
     chunk = read.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("recording"), "sample_rate_hz", "channels", F.size("samples").alias("n"), F.aggregate(x, F.lit(0).cast("bigint"), add).alias("t"), F.aggregate(F.transform(x, lambda v: v * v), F.lit(0).cast("bigint"), add).alias("q"))

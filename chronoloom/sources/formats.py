@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -62,9 +64,15 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"attributable": F.coalesce("attributable", F.lit(True)), "overlap_flag": F.coalesce("overlap_flag", F.lit(False))})
 
 
-class _Frames(InputPartition):
-    def __init__(self, path: str, first: int, n: int, layout: tuple) -> None:
-        self.path, self.first, self.n, self.layout = path, first, n, layout
+#: Bytes that a task reads, what opening a file counts as, and frames that are decoded at a time.
+TASK_BYTES, OPEN_BYTES, FRAMES = 16 << 20, 16 << 10, 1 << 20
+
+
+class _Pieces(InputPartition):
+    """Ranges of files: (path, from, to); a chunk belongs to the range that holds its first byte."""
+
+    def __init__(self, pieces: list[tuple[str, int, float]]) -> None:
+        self.pieces = pieces
 
 
 def wav_layout(path: str) -> tuple[int, int, int, int, int]:
@@ -91,45 +99,82 @@ def wav_layout(path: str) -> tuple[int, int, int, int, int]:
     raise ValueError(f"{path}: no data")
 
 
+def _wav_sizes(path: str) -> Iterator[tuple[str, int]]:
+    """A file and its size, or those of all WAV files of a folder by name."""
+    if not os.path.isdir(path):
+        yield path, os.path.getsize(path)
+        return
+    with os.scandir(path) as found:
+        yield from sorted((f.path, f.stat().st_size) for f in found if f.name.lower().endswith(".wav") and f.name[0] not in "._")
+
+
 class _WavReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options["path"].split(",") if p]
         self.chunk = int(options.get("framesPerChunk", 240_000))
+        self.bytes = int(options.get("bytesPerTask", TASK_BYTES))
         if any("://" in p and not p.startswith("file://") for p in self.paths):
             raise ValueError("only local and shared paths are read")
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        out, held, load = [], [], 0
         for p in self.paths:
-            path = p.removeprefix("file://")
-            layout = wav_layout(path)
-            out += [_Frames(path, k, min(self.chunk, layout[4] - k), layout) for k in range(0, layout[4], self.chunk)]
-        return out
-
-    def read(self, partition: _Frames) -> Iterator:
-        import numpy as np
+            for path, size in _wav_sizes(p.removeprefix("file://")):
+                cuts = [*range(0, max(size, 1), self.bytes), float("inf")]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    cost = OPEN_BYTES + min(size, high) - low
+                    if held and load + cost > self.bytes:
+                        out.append(_Pieces(held))
+                        held, load = [], 0
+                    held.append((path, low, high))
+                    load += cost
+        return [*out, *([_Pieces(held)] if held else [])]
+
+    def read(self, partition: _Pieces) -> Iterator:
         import pyarrow as pa
 
-        channels, rate, width, at, _ = partition.layout
-        with open(partition.path, "rb") as f:
-            f.seek(at + partition.first * channels * width)
-            raw = np.frombuffer(f.read(partition.n * channels * width), np.uint8).reshape(-1, width)
-        if width == 1:
-            x = (raw[:, 0].astype(np.int32) - 128) << 24
-        else:
-            x = np.zeros(len(raw), np.uint32)
-            for k in range(width):
-                x |= raw[:, k].astype(np.uint32) << np.uint32(8 * (4 - width + k))
-            x = x.view(np.int32)
-        mono = (x.astype(np.float64) / 2147483648.0).reshape(-1, channels).mean(axis=1)
-        samples = pa.ListArray.from_arrays(pa.array([0, len(mono)], pa.int32()), pa.array(mono.astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([partition.first], pa.int64()), pa.array([rate], pa.int32()), pa.array([channels], pa.int32()), samples], ["path", "first_frame", "sample_rate_hz", "channels", "samples"])
+        held, n = [], 0
+        for path, low, high in partition.pieces:
+            channels, rate, width, at, frames = wav_layout(path)
+            step = self.chunk * channels * width
+            first, last = max(0, -(-(low - at) // step)), -(-frames // self.chunk)
+            if high - at < last * step:
+                last = max(0, -(-int(high - at) // step))
+            many = max(1, FRAMES // self.chunk)
+            for c in range(first, last, many):
+                ends = [min(k * self.chunk, frames) for k in range(c, min(c + many, last) + 1)]
+                mono = _decoded(path, at, channels, width, ends[0], ends[-1])
+                places = pa.array([min(e - ends[0], len(mono)) for e in ends], pa.int32())
+                k = len(ends) - 1
+                held.append(pa.RecordBatch.from_arrays([pa.array([path] * k), pa.array(ends[:-1], pa.int64()), pa.array([rate] * k, pa.int32()), pa.array([channels] * k, pa.int32()), pa.ListArray.from_arrays(places, pa.array(mono))], ["path", "first_frame", "sample_rate_hz", "channels", "samples"]))
+                n += len(mono)
+                if n >= FRAMES or len(held) >= 1_000:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _decoded(path: str, at: int, channels: int, width: int, first: int, last: int) -> np.ndarray:
+    """The channel mean, in [-1, 1], of the frames *first* to *last* of a file."""
+    with open(path, "rb") as f:
+        f.seek(at + first * channels * width)
+        raw = np.frombuffer(f.read((last - first) * channels * width), np.uint8).reshape(-1, width)
+    if width == 1:
+        x = (raw[:, 0].astype(np.int32) - 128) << 24
+    else:
+        x = np.zeros(len(raw), np.uint32)
+        for k in range(width):
+            x |= raw[:, k].astype(np.uint32) << np.uint32(8 * (4 - width + k))
+        x = x.view(np.int32)
+    return (x.astype(np.float64) / 2147483648.0).reshape(-1, channels).mean(axis=1).astype(np.float32)
 
 
 class WavSource(DataSource):
-    """``spark.read.format("wav")``: PCM WAV files as chunks of frames, one input partition a chunk.
+    """``spark.read.format("wav")``: PCM WAV files, or those of folders, as chunks of frames.
 
-    Samples are the channel mean in [-1, 1]; option framesPerChunk bounds a chunk.
+    Samples are the channel mean in [-1, 1]; option framesPerChunk bounds a chunk. A task reads ranges of
+    files of bytesPerTask in all, so small files share a task; headers are read there, not on the driver.
     """
 
     @classmethod

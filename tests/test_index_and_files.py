@@ -1,11 +1,13 @@
 import random
+import struct
+import wave
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.operators import vectors as V
 from chronoloom.operators.nested import rejected_reports
-from chronoloom.sources.formats import read_words
+from chronoloom.sources.formats import WavSource, read_words
 
 
 def vectors(spark, n=400, hot=0.4):
@@ -69,3 +71,25 @@ def test_two_clusters_of_a_hot_key(spark):
     got = {r.id: r.cluster for r in V.two_clusters(df, ["rec"], "v", "id").collect()}
     assert got == {**{i: 0 if i % 3 else 1 for i in range(2, 300)}, 900: 0, 901: 0, 902: 1}
     assert V.two_clusters(df.where("false"), ["rec"], "v", "id").count() == 0
+
+
+def wav(path, samples):
+    with wave.open(str(path), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(b"".join(struct.pack("<hh", x, x) for x in samples))
+
+
+def test_small_wav_files_share_a_task_and_large_ones_are_split(spark, tmp_path):
+    sizes = {"large": 5_000, "none": 0, **{f"s{k}": 1 + k % 80 for k in range(60)}}
+    for name, n in sizes.items():
+        wav(tmp_path / f"{name}.wav", range(n))
+    (tmp_path / ".left").write_bytes(b"RIFF")
+    spark.dataSource.register(WavSource)
+    whole = sorted((f"{name}.wav", at, [x / 32768 for x in range(n)[at : at + 37]]) for name, n in sizes.items() for at in range(0, n, 37))
+    for limit in (None, 1_000, 37 * 4, 101):
+        read = spark.read.format("wav").option("path", f"file://{tmp_path}").option("framesPerChunk", 37)
+        df = (read.option("bytesPerTask", limit) if limit else read).load()
+        assert sorted((r.path.rpartition("/")[2], r.first_frame, list(r.samples)) for r in df.collect()) == whole
+        assert df.rdd.getNumPartitions() == 1 if limit is None else df.rdd.getNumPartitions() >= 5_000 * 4 // limit
