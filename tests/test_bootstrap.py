@@ -36,6 +36,13 @@ def test_draws_and_bounds(spark):
     assert got["pooled"].point == pytest.approx(sum(x[1] for x in rows) / sum(x[2] for x in rows), abs=1e-9)
 
 
+def draws_join(made):
+    """The line of the plan that joins draws and recordings."""
+    plan = made._jdf.queryExecution().sparkPlan().toString().split("\n")
+    (found,) = [x for x in plan if re.search(r"Join \[_[bk]#", x)]
+    return found
+
+
 def test_packed_draws(spark, monkeypatch):
     """Beyond what is broadcast, recordings meet their draws block by block, and draws are not broadcast."""
     for name, most in (("MOST_BROADCAST", 10), ("BLOCK_ROWS", 8), ("DRAWN", 20)):
@@ -45,9 +52,7 @@ def test_packed_draws(spark, monkeypatch):
     df = spark.createDataFrame(rng.sample(rows, 53), "recording STRING, e BIGINT, v DOUBLE")
     made = S.bootstrap_suite(df, {"mean": F.avg("e"), "least": F.min("v"), "known": F.count("v")}, 200)
     got = {r.metric: r for r in made.collect()}
-    plan = made._jdf.queryExecution().sparkPlan().toString().split("\n")
-    joins = [x for x in plan if re.search(r"Join \[_[bk]#", x)]
-    assert len(joins) == 1 and "ShuffledHashJoin" in joins[0] and "BuildRight" in joins[0]
+    assert "ShuffledHashJoin" in draws_join(made) and "BuildRight" in draws_join(made)
     samples = [[rows[k] for k in ks] for ks in drawn(53, 200)]
     expected = {"mean": [sum(x[1] for x in s) / 53 for s in samples], "least": [min(x[2] for x in s if x[2] is not None) for s in samples], "known": [sum(x[2] is not None for x in s) for s in samples]}
     assert set(got) == set(expected)
@@ -90,3 +95,19 @@ def test_suite_of_three_recordings(spark):
         "word_attribution_precision": 2 / 3, "word_attribution_coverage": 3 / 4,
     }
     assert got == pytest.approx(expected, abs=2e-9)
+
+
+def test_suite_is_the_same_packed_and_broadcast(spark, monkeypatch):
+    rng = random.Random(12)
+    count = ("ref_us", "error_us", "n_ref_us", "n_error_us", "split_us", "h1_us", "b_tp", "b_fp", "b_fn", "w_all", "w_given", "w_right")
+    maybe, flags = ("coverage", "accuracy", "o_tp", "o_fp", "o_fn"), ("h1", "h2", "merged", "split")
+    rows = [(f"r{k}", rng.random(), *[rng.randrange(1, 99) for _ in count], *[rng.randrange(9) if rng.random() < 0.7 else None for _ in maybe], *[rng.random() < 0.5 for _ in flags]) for k in range(40)]
+    kinds = ", ".join(["recording STRING, jer DOUBLE", *[f"{c} BIGINT" for c in (*count, *maybe)], *[f"{c} BOOLEAN" for c in flags]])
+    df = spark.createDataFrame(rows, kinds)
+    one = S.scoring_suite(df, 100)
+    assert "BroadcastHashJoin" in draws_join(one)
+    for name, most in (("MOST_BROADCAST", 10), ("BLOCK_ROWS", 16), ("DRAWN", 30)):
+        monkeypatch.setattr(S, name, most, raising=False)
+    other = S.scoring_suite(df, 100)
+    assert "ShuffledHashJoin" in draws_join(other) and "BuildRight" in draws_join(other)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect())) and one.count() == 14
