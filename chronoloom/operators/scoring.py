@@ -296,7 +296,7 @@ def suite_rows(sums: DataFrame, changes: DataFrame, words: DataFrame, keys: list
     pairs come first by name is taken.
     """
     c = F.col
-    counted = words.groupBy(*keys).agg(F.count("*").alias("w_all"), F.count(F.when(c("word_label").isin(*HYP), 1)).alias("w_given"), *[F.count(F.when((c("label") == REF[0]) & (c("word_label") == a) | (c("label") == REF[1]) & (c("word_label") == b), 1)).alias(n) for n, a, b in (("w_straight", *HYP), ("w_crossed", *HYP[::-1]))])
+    counted = cut(words.groupBy(*keys).agg(F.count("*").alias("w_all"), F.count(F.when(c("word_label").isin(*HYP), 1)).alias("w_given"), *[F.count(F.when((c("label") == REF[0]) & (c("word_label") == a) | (c("label") == REF[1]) & (c("word_label") == b), 1)).alias(n) for n, a, b in (("w_straight", *HYP), ("w_crossed", *HYP[::-1]))]), "counted")
     more, less = c("c01") + c("c10"), c("c00") + c("c11")
     crossed_first = (c("h0_us") == 0) & (c("h1_us") > 0) & (c("r0_us") > 0) | (c("r0_us") == 0) & (c("r1_us") > 0) & (c("h0_us") > 0)
     m = sums.join(changes, keys, "left").join(counted, keys, "left").withColumn("swapped", (more > less) | (more == less) & crossed_first)

@@ -13,6 +13,7 @@ from chronoloom.operators import tallies as Y
 from chronoloom.operators.periods import continuous_periods, sweep
 from chronoloom.operators.texts import speaker_texts
 from chronoloom.plans.views import VIEWS, hyp_spans, ref_spans, scope, sql_cells, sql_union, words
+from chronoloom.session import cut
 from chronoloom.sources.formats import rttm_lines, uem_lines
 
 K = ["recording"]
@@ -235,14 +236,17 @@ def bootstrap_der_mean(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bootstrap_der_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals of the scorer's metrics, recordings resampled 2,000 times."""
+    """Intervals of the scorer's metrics, recordings resampled 2,000 times.
+
+    Parts are made one after another: as one plan they took the driver's memory, and scans made their input again.
+    """
     inside = scope(spark, d)
-    points = lambda spans, labels: I.points_inside(S.change_boundaries(spans, K, labels), inside, K, "at")
-    changes = S.boundary_matches(points(ref_spans(spark, d), S.REF), points(hyp_spans(spark, d), S.HYP), K, "at", 500_000)
+    points = lambda spans, labels: cut(I.points_inside(S.change_boundaries(spans, K, labels), inside, K, "at"), "points")
+    changes = cut(S.boundary_matches(points(ref_spans(spark, d), S.REF), points(hyp_spans(spark, d), S.HYP), K, "at", 500_000), "changes")
     spoken = words(spark, d).drop("text")
     held = I.interval_join(spoken, continuous_periods(inside, K).drop("n_rows"), K).where("other_start_us <= start_us AND end_us <= other_end_us").select(*spoken.columns)
     said = S.attributed_words(held, hyp_spans(spark, d), K)
-    return S.scoring_suite(S.suite_rows(S.cell_sums(_cells(spark, d), K), changes, said, K))
+    return S.scoring_suite(S.suite_rows(cut(S.cell_sums(_cells(spark, d), K), "sums"), changes, said, K))
 
 
 @query(_SCORES + " SELECT count(*) AS n_recordings, round(max(abs(coverage_0 - coverage_1)), 9) AS worst_coverage_gap, round(avg(abs(coverage_0 - coverage_1)), 9) AS mean_coverage_gap, round(min(least(accuracy_0, accuracy_1)), 9) AS worst_accuracy FROM scores")
